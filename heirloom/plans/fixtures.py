@@ -1,0 +1,79 @@
+"""Views over the given tables that stand in for the inputs of each job."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def memories_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as memories of six types, with deleted rows still in."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    sectioned = F.concat(
+        F.lit("REFERENCE "),
+        k.cast("string"),
+        F.lit("\n\n"),
+        F.array_join(
+            F.transform(
+                F.split("text", "\n"),
+                lambda line, i: F.when(
+                    i % 3 == 0,
+                    F.concat(
+                        F.when(i % 2 == 0, "## ").otherwise("### "),
+                        F.lit("Part "),
+                        i.cast("string"),
+                        F.lit("\n\n"),
+                        line,
+                    ),
+                ).otherwise(line),
+            ),
+            "\n",
+        ),
+    )
+    content = (
+        F.when(k % 37 == 0, F.concat(F.lit("Hey there! "), F.col("text")))
+        .when(k % 41 == 0, F.concat(F.lit("see "), F.repeat(F.lit("https://example.com/"), 12)))
+        .when(k % 3 == 0, sectioned)
+        .otherwise(F.col("text"))
+    )
+    memory_type = (
+        F.when(k % 6 == 0, "procedural")
+        .when(k % 6 == 1, "semantic")
+        .when(k % 6 == 2, "procedural")
+        .when(k % 6 == 3, "schematic")
+        .when(k % 6 == 4, "semantic")
+        .otherwise("episodic")
+    )
+    tag_list = F.concat(
+        F.col("lang"),
+        F.lit(","),
+        F.col("source"),
+        F.when(k % 17 == 0, ",A2A").otherwise(""),
+        F.when(k % 19 == 0, F.concat(F.lit(",from:"), F.col("source"))).otherwise(""),
+        F.when(k % 23 == 0, ",dream_extracted").otherwise(""),
+    )
+    return d.select(
+        k.alias("src_ord"),
+        F.concat(F.lit("docs:"), k.cast("string")).alias("id"),
+        content.alias("content"),
+        memory_type.alias("memory_type"),
+        F.split(tag_list, ",").alias("tags"),
+        F.col("source").alias("agent_id"),
+        F.when(k % 29 != 0, (k % 100) / 100.0).alias("salience_raw"),
+        (k % 31 == 0).alias("deleted"),
+    )
+
+
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live memories in the shape every operator takes."""
+    return (
+        memories_raw(spark, sf_dir)
+        .where(~F.col("deleted"))
+        .withColumn("salience", F.coalesce("salience_raw", F.lit(0.5)).cast("float"))
+        .drop("deleted", "salience_raw")
+    )
