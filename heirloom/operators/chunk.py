@@ -316,6 +316,9 @@ def with_chunks(
 
 def explode_chunks(df: DataFrame, *keep: str, chunks: str = "chunks") -> DataFrame:
     """One row per chunk: the kept columns, ``chunk_ix``, ``heading_path``, ``body``."""
-    return df.select(*keep, F.posexplode(chunks).alias("chunk_ix", "_c")).select(
-        *keep, "chunk_ix", F.col("_c.heading_path"), F.col("_c.body")
+    # Outer, so that no filter on the array is derived and pushed below its making.
+    return (
+        df.select(*keep, F.posexplode_outer(chunks).alias("chunk_ix", "_c"))
+        .where(F.col("chunk_ix").isNotNull())
+        .select(*keep, "chunk_ix", F.col("_c.heading_path"), F.col("_c.body"))
     )

@@ -67,10 +67,15 @@ def convert(memories: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> DataFr
 
 
 def examples(converted: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
-    """Examples of a conversion, keyed by source position and chunk position."""
-    rows = converted.where(F.col("verdict") == USED).select(
-        "src_ord", "memory_id", "agent_id", F.explode("framed").alias("c")
-    )
+    """Examples of a conversion, keyed by source position and chunk position.
+
+    Rejected memories have no framed chunks. The outer explode keeps the optimizer
+    from deriving a filter on the array, which it would push below the conversion
+    and so run the whole conversion a second time.
+    """
+    rows = converted.select(
+        "src_ord", "memory_id", "agent_id", F.explode_outer("framed").alias("c")
+    ).where(F.col("c").isNotNull())
     return rows.select(
         F.struct(F.col("src_ord"), F.col("c.chunk_ix").alias("ix")).alias("example_key"),
         ex.messages(F.col("c.question"), F.col("c.body")).alias("messages"),
@@ -114,7 +119,8 @@ def summary(converted: DataFrame) -> DataFrame:
 def framing_split(converted: DataFrame) -> DataFrame:
     """Examples per instruction kind."""
     return (
-        converted.select(F.explode("framed.instruction_kind").alias("instruction_kind"))
+        converted.select(F.explode_outer("framed.instruction_kind").alias("instruction_kind"))
+        .where(F.col("instruction_kind").isNotNull())
         .groupBy("instruction_kind")
         .agg(F.count("*").alias("n"))
     )

@@ -77,3 +77,21 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("salience", F.coalesce("salience_raw", F.lit(0.5)).cast("float"))
         .drop("deleted", "salience_raw")
     )
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A memory store: JSON tags, soft deletes, unknown types, malformed tags."""
+    k = F.col("src_ord")
+    return memories_raw(spark, sf_dir).select(
+        "src_ord",
+        "id",
+        "content",
+        F.when(k % 47 == 0, "wat")
+        .when(k % 53 == 0, F.upper("memory_type"))
+        .otherwise(F.col("memory_type"))
+        .alias("memory_type"),
+        F.col("salience_raw").alias("salience"),
+        F.when(k % 43 == 0, "not json").otherwise(F.to_json("tags")).alias("tags"),
+        F.when(k % 59 != 0, F.col("agent_id")).alias("agent_id"),
+        F.when(F.col("deleted"), "2026-01-01").alias("deleted_at"),
+    )

@@ -87,6 +87,9 @@ APPRENTICE = row(
     created_at=TS,
 )
 
+# Apprentices change: every change appends a version, the last one counts.
+APPRENTICE_VERSION = T.StructType([*APPRENTICE.fields, T.StructField("version", TS)])
+
 UPLOAD = row(file_id=STR, dataset=DATASET_REF, projected_sha256=STR, uploaded_at=TS)
 
 JOB = row(
