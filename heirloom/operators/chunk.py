@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from heirloom.config import ChunkConfig
 from heirloom.functions import text as t
+from heirloom.functions.memo import per_application
 
 CHUNK_TYPE = "STRUCT<heading_path: ARRAY<STRING>, body: STRING>"
 DASH = " — "
@@ -255,40 +256,29 @@ def split_oversized(chunks: Column, cfg: ChunkConfig = ChunkConfig()) -> Column:
     )
 
 
-def with_outline(df: DataFrame, content: str, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Add the intermediate columns of sectioning for the text column ``content``.
-
-    ``_text`` trimmed text (NULL when blank), ``_title``, ``_lines`` (without a
-    lifted title line) and ``_heads``. Text without ``##`` is never split into
-    lines.
-    """
-    trimmed = t.strip(F.col(content))
-    return (
-        df.withColumn("_text", F.nullif(trimmed, F.lit("")))
-        .withColumn("_title", document_title(F.col("_text"), cfg))
-        .withColumn(
-            "_lines",
-            F.when(
-                F.col("_text").contains("##"),
-                t.let(
-                    t.lines(F.col("_text")),
-                    lambda ls: F.when(F.col("_title").isNull(), ls).otherwise(
-                        F.slice(ls, F.lit(2), F.size(ls))
-                    ),
-                ),
-            ),
-        )
-        .withColumn("_heads", headings(F.col("_lines")))
-    )
+OUTLINE_COLUMNS = ("_text", "_title", "_lines", "_heads")
 
 
-OUTLINE_COLUMNS = ("_text", "_title", "_lines", "_heads")
+@per_application
+def _outline(content: str, cfg: ChunkConfig) -> dict[str, Column]:
+    """The outline columns in the order in which they build on each other."""
+    body_lines = t.let(
+        t.lines(F.col("_text")),
+        lambda ls: F.when(F.col("_title").isNull(), ls).otherwise(
+            F.slice(ls, F.lit(2), F.size(ls))
+        ),
+    )
+    return {
+        "_text": F.nullif(t.strip(F.col(content)), F.lit("")),
+        "_title": document_title(F.col("_text"), cfg),
+        "_lines": F.when(F.col("_text").contains("##"), body_lines),
+        "_heads": headings(F.col("_lines")),
+    }
 
 
-def with_chunks(
-    df: DataFrame, content: str = "content", cfg: ChunkConfig = ChunkConfig(), out: str = "chunks"
-) -> DataFrame:
-    """Add ``out``: the chunks of ``content`` as an array. NULL text gives NULL."""
+@per_application
+def _chunks(cfg: ChunkConfig) -> dict[str, Column]:
+    """From the outline to units, and from units to chunks."""
     title = F.col("_title")
     whole = F.array(
         F.struct(
@@ -298,20 +288,35 @@ def with_chunks(
             F.col("_text").alias("body"),
         )
     )
-    sectioned = merge_short_forward(
-        sections(title, F.col("_lines"), F.col("_heads")), cfg
-    )
-    units = (
-        F.when(F.col("_text").isNull(), F.lit(None))
+    sectioned = merge_short_forward(sections(title, F.col("_lines"), F.col("_heads")), cfg)
+    return {
+        "_units": F.when(F.col("_text").isNull(), F.lit(None))
         .when(F.coalesce(F.size("_heads"), F.lit(0)) > 0, sectioned)
-        .otherwise(whole)
-    )
-    return (
-        with_outline(df, content, cfg)
-        .withColumn("_units", units)
-        .withColumn(out, split_oversized(F.col("_units"), cfg))
-        .drop(*OUTLINE_COLUMNS, "_units")
-    )
+        .otherwise(whole),
+        "_chunks": split_oversized(F.col("_units"), cfg),
+    }
+
+
+def with_outline(df: DataFrame, content: str, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Add the intermediate columns of sectioning for the text column ``content``.
+
+    ``_text`` trimmed text (NULL when blank), ``_title``, ``_lines`` (without a
+    lifted title line) and ``_heads``. Text without ``##`` is never split into
+    lines.
+    """
+    for name, column in _outline(content, cfg).items():
+        df = df.withColumn(name, column)
+    return df
+
+
+def with_chunks(
+    df: DataFrame, content: str = "content", cfg: ChunkConfig = ChunkConfig(), out: str = "chunks"
+) -> DataFrame:
+    """Add ``out``: the chunks of ``content`` as an array. NULL text gives NULL."""
+    df = with_outline(df, content, cfg)
+    for name, column in _chunks(cfg).items():
+        df = df.withColumn(name, column)
+    return df.drop(*OUTLINE_COLUMNS, "_units").withColumnRenamed("_chunks", out)
 
 
 def explode_chunks(df: DataFrame, *keep: str, chunks: str = "chunks") -> DataFrame:

@@ -10,19 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heirloom.config import PASS, USED, ConvertConfig
+from heirloom.config import PASS, USED, ConvertConfig, FrameConfig
+from heirloom.functions.memo import per_application
 from heirloom.functions.text import let
 from heirloom.operators import chunk as chunking
 from heirloom.operators import examples as ex
 from heirloom.operators import frame, gate
 
 
-def with_framed_chunks(df: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
-    """Add ``framed``: every chunk with its question (NULL when unframeable).
-
-    The tag question is the same for all chunks of a memory and is built once.
-    """
-
+@per_application
+def _framed(cfg: FrameConfig) -> Column:
     def framed(tag_question: Column) -> Column:
         return F.transform(
             "chunks",
@@ -37,7 +34,15 @@ def with_framed_chunks(df: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> D
             ),
         )
 
-    return df.withColumn("framed", let(frame.from_tags(F.col("tags"), cfg.frame), framed))
+    return let(frame.from_tags(F.col("tags"), cfg), framed)
+
+
+def with_framed_chunks(df: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
+    """Add ``framed``: every chunk with its question (NULL when unframeable).
+
+    The tag question is the same for all chunks of a memory and is built once.
+    """
+    return df.withColumn("framed", _framed(cfg.frame))
 
 
 def convert(memories: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heirloom.config import PASS, REJECTION_REASONS, GateConfig
 from heirloom.functions import text as t
+from heirloom.functions.memo import per_application
 
 # Tag prefixes that carry routing, not subject matter.
 ROUTING_PREFIXES = ("from:", "to:")
@@ -81,6 +82,7 @@ def not_prose(trimmed: Column, cfg: GateConfig = GateConfig()) -> Column:
     return (alnum * 2 < F.length(trimmed)) | (word_bytes(trimmed) < cfg.min_word_bytes)
 
 
+@per_application
 def assess(
     cfg: GateConfig = GateConfig(),
     trimmed: str = "_trimmed",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heirloom.plans import memory_queries  # noqa: F401
+from heirloom.plans import memory_queries, session_queries  # noqa: F401
 from heirloom.plans.registry import ORACLES, QUERIES, Query
 
 

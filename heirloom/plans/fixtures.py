@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heirloom.sources import sessions
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,3 +97,182 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 59 != 0, F.col("agent_id")).alias("agent_id"),
         F.when(F.col("deleted"), "2026-01-01").alias("deleted_at"),
     )
+
+
+# ---------------------------------------------------------------- sessions
+
+
+def conversation_session_id(conv: Column) -> Column:
+    """Conversation numbers as session ids of all ranges."""
+    wide = conv.cast("decimal(20,0)")
+    spawn = F.lit(str(2**63)).cast("decimal(20,0)")
+    worker = F.lit(str(2**62)).cast("decimal(20,0)")
+    return (
+        F.when(conv % 100 == 98, wide + spawn)
+        .when(conv % 100 == 99, wide + worker)
+        .otherwise(wide)
+        .cast("decimal(20,0)")
+    )
+
+
+def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as session lines with tools, thinking, images and bad lines."""
+    c, n, text = F.col("conv_id"), F.col("turn"), F.col("text")
+
+    def block(**members: Column) -> Column:
+        return F.to_json(F.struct(*[v.alias(k) for k, v in members.items()]))
+
+    def text_block(body: Column) -> Column:
+        return block(type=F.lit("text"), text=body)
+
+    tool_only = (c % 4 == 1) & (n % 4 == 2)
+    first = n == 0
+    result = F.when(
+        c % 3 == 0, F.to_json(F.struct(F.length("text").alias("chars")))
+    ).otherwise(F.to_json(F.struct(text.alias("t"))))
+    # The string form is the member of a one-member object, without its wrapping.
+    result = F.when(c % 3 == 0, result).otherwise(
+        F.substring(result, F.lit(6), F.length(result) - 6)
+    )
+    user_blocks = F.array(
+        F.when(
+            n % 4 == 2,
+            F.concat(
+                F.lit('{"type":"tool_result","tool_use_id":"c1","content":'),
+                result,
+                F.lit(',"is_error":'),
+                (c % 5 == 0).cast("string"),
+                F.lit("}"),
+            ),
+        ),
+        F.when(tool_only, None)
+        .when(
+            first & (c % 11 == 5),
+            block(type=F.lit("image"), media_type=F.lit("image/png"), data=F.lit("AA==")),
+        )
+        .when(first & (c % 13 == 6), text_block(F.lit(" \n ")))
+        .when(first & (c % 9 == 4), text_block(F.concat(F.lit("Hey there "), text)))
+        .otherwise(text_block(text)),
+        F.when(c % 5 == 2, F.lit('{"type":"audio","x":1}')),
+    )
+    assistant_blocks = F.array(
+        F.when(
+            (c % 7).isin(0, 3),
+            block(
+                type=F.lit("thinking"),
+                thinking=F.concat(F.lit(" Think "), n.cast("string")),
+                signature=F.when(c % 7 == 0, "sig").otherwise(""),
+            ),
+        ),
+        F.when(
+            (n % 4 == 3) | ((c % 4 == 1) & (n % 4 == 1)),
+            F.concat(
+                F.lit('{"type":"tool_use","id":"c1","name":"run","input":'),
+                F.to_json(F.struct(n.alias("q"), c.alias("conv"))),
+                F.lit("}"),
+            ),
+        ),
+        F.when(c % 17 == 9, text_block(F.lit("")))
+        .when((c % 19 == 3) & (n % 4 == 1), text_block(F.concat(text, F.lit(" OPENAI_API_KEY=x1"))))
+        .otherwise(text_block(text)),
+    )
+    blocks = F.when(F.col("role") == "user", user_blocks).otherwise(assistant_blocks)
+    line = (
+        F.when(
+            F.col("role") == "system",
+            F.to_json(F.struct("role", text.alias("content"))),
+        )
+        .when(
+            (c % 23 == 4) & (n == 2), F.lit('{"role":"user","content":[{"type":"text"}]}')
+        )
+        .otherwise(
+            F.concat(
+                F.lit('{"role":"'),
+                F.col("role"),
+                F.lit('","content":['),
+                F.array_join(F.filter(blocks, lambda b: b.isNotNull()), ","),
+                F.lit("]}"),
+            )
+        )
+    )
+    sid = conversation_session_id(c)
+    return table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("session-"), sid.cast("string"), F.lit(".jsonl")).alias("file_path"),
+        sid.alias("session_id"),
+        F.floor(n / 4).cast("bigint").alias("block"),
+        n.alias("pos"),
+        line.alias("line"),
+    )
+
+
+def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per session file, with the verdict its name leads to."""
+    sid = conversation_session_id(F.col("conv_id"))
+    names = (
+        table(spark, sf_dir, "conversations")
+        .select("conv_id")
+        .distinct()
+        .select(F.concat(F.lit("session-"), sid.cast("string"), F.lit(".jsonl")).alias("file_path"))
+    )
+    return names.withColumn("session_id", sessions.session_id(F.col("file_path"))).withColumn(
+        "file_verdict", sessions.file_verdict(F.col("session_id"))
+    )
+
+
+def readable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the sessions that are not skipped by name."""
+    return session_lines(spark, sf_dir).where(
+        sessions.file_verdict(F.col("session_id")).isNull()
+    )
+
+
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecar texts, one per 64 conversations; some stamps repeat, some texts are bad."""
+    c = F.col("conv_id")
+    model = (
+        F.when(c % 5 == 0, "claude-x")
+        .when(c % 5 == 1, "gpt-x")
+        .when(c % 5 == 2, "Qwen-Open")
+        .when(c % 5 == 3, "studio-llm")
+    )
+    stamp = F.struct(
+        conversation_session_id(c).alias("session_id"),
+        F.concat(F.lit("agent"), (c % 4).cast("string")).alias("agent_id"),
+        model.alias("model"),
+        F.when(c % 10 == 7, "open_reasoning").alias("license_class"),
+    )
+    repeat = F.struct(
+        conversation_session_id(c).alias("session_id"),
+        F.lit("late").alias("agent_id"),
+        F.lit("grok-late").alias("model"),
+        F.lit(None).cast("string").alias("license_class"),
+    )
+    rows = (
+        table(spark, sf_dir, "conversations")
+        .select("conv_id")
+        .distinct()
+        .where(c % 3 != 0)
+        .select(
+            F.floor(c / 64).alias("node"),
+            c.alias("conv_id"),
+            F.when(c % 6 == 1, F.array(stamp, repeat)).otherwise(F.array(stamp)).alias("s"),
+        )
+    )
+    grouped = rows.groupBy("node").agg(
+        F.flatten(
+            F.transform(
+                F.sort_array(F.collect_list(F.struct("conv_id", "s"))), lambda x: x["s"]
+            )
+        ).alias("sessions")
+    )
+    text = F.to_json(
+        F.struct(
+            F.concat(F.lit("node"), F.col("node").cast("string")).alias("node_id"), "sessions"
+        )
+    )
+    return grouped.select("node", text.alias("value"))
+
+
+def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First stamp per session over all sidecars."""
+    return sessions.stamps(sessions.parse_bundles(bundles(spark, sf_dir)))

@@ -94,29 +94,38 @@ def session_lines(spark: SparkSession, globs: list[str]) -> DataFrame:
     )
 
 
-def read_bundle(spark: SparkSession, directory: str) -> DataFrame:
-    """The bundle sidecar as zero or one row ``{node_id, sessions}``.
-
-    A missing, malformed or ill-typed file counts as absent.
-    """
+def parse_bundles(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Bundle sidecars as ``node_id, sessions``; malformed or ill-typed ones vanish."""
     schema = T.StructType([*TRACE_BUNDLE.fields, T.StructField("_corrupt", STR)])
+    parsed = texts.withColumn(
+        "_b",
+        F.from_json(
+            F.col(text), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        ),
+    )
+    sessions = F.coalesce("_b.sessions", F.array().cast(T.ArrayType(STAMP)))
+    known = F.forall(
+        sessions,
+        lambda s: s["session_id"].isNotNull()
+        & F.coalesce(s["license_class"].isin(*LICENSE_CLASSES), s["license_class"].isNull()),
+    )
+    return (
+        parsed.where(F.col("_b._corrupt").isNull() & known)
+        .withColumn("node_id", F.col("_b.node_id"))
+        .withColumn("sessions", sessions)
+        .drop("_b", text)
+    )
+
+
+def read_bundle(spark: SparkSession, directory: str) -> DataFrame:
+    """The sidecar of a directory as zero or one row; a missing file is absent."""
     try:
         text = spark.read.text(f"{directory.rstrip('/')}/harvest.json", wholetext=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], row(node_id=STR, sessions=T.ArrayType(STAMP)))
-    parsed = text.select(
-        F.from_json(
-            "value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-        ).alias("b")
-    ).select("b.*")
-    sound = F.forall(
-        F.coalesce("sessions", F.array().cast(T.ArrayType(STAMP))),
-        lambda s: s["session_id"].isNotNull()
-        & F.coalesce(s["license_class"].isin(*LICENSE_CLASSES), s["license_class"].isNull()),
-    )
-    return parsed.where(F.col("_corrupt").isNull() & sound).select("node_id", "sessions")
+        text = spark.createDataFrame([], row(value=STR))
+    return parse_bundles(text)
 
 
 def stamps(bundle: DataFrame) -> DataFrame:
