@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from heirloom.plans import memory_queries, session_queries  # noqa: F401
+from heirloom.plans import (  # noqa: F401
+    job_queries,
+    memory_queries,
+    registry_queries,
+    session_queries,
+    stream_queries,
+)
 from heirloom.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -276,3 +276,228 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First stamp per session over all sidecars."""
     return sessions.stamps(sessions.parse_bundles(bundles(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- registry
+
+
+def _sha(name: Column) -> Column:
+    return F.sha2(name, 256)
+
+
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as models: a tree with a missing parent, a cycle and stale hashes."""
+    c = F.col("c_custkey")
+    name = F.concat(F.lit("ds"), (c % 120).cast("string"))
+    return table(spark, sf_dir, "customer").select(
+        c.cast("string").alias("name"),
+        F.col("c_mktsegment").alias("base_model"),
+        F.when(
+            c % 13 != 0,
+            F.struct(
+                name.alias("name"),
+                F.when(c % 11 == 0, "stale").otherwise(_sha(name)).alias("sha256"),
+            ),
+        ).alias("dataset"),
+        F.concat(F.lit("j"), c.cast("string")).alias("job_id"),
+        F.concat(F.lit("trainer"), F.col("c_nationkey").cast("string")).alias("trainer_agent"),
+        F.when(c == 0, None)
+        .when(c == 5, "11")
+        .when(c % 97 == 0, "gone")
+        .otherwise(F.floor(c / 2).cast("string"))
+        .alias("parent"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (c * 7919) % 100_003).alias("created_at"),
+    )
+
+
+def dataset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as dataset sidecars."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("ds"), k.cast("string"))
+    return table(spark, sf_dir, "supplier").select(
+        name.alias("name"),
+        _sha(name).alias("sha256"),
+        (k % 40 + 1).alias("example_count"),
+        (k % 17 + 1).alias("memories_used"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (k * 31) % 977).alias("created_at"),
+    )
+
+
+def apprentices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as apprentices: some untrained, some with references to nothing."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("app"), k.cast("string")).alias("id"),
+        F.col("p_brand").alias("master_agent"),
+        F.col("p_name").alias("name"),
+        F.when(k % 4 != 0, (k % 1777).cast("string")).alias("job_id"),
+        F.when(k % 3 != 0, (k * 2).cast("string")).alias("model"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (k * 101) % 7919).alias("created_at"),
+    )
+
+
+def submitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as submitted training files with the dataset each claims."""
+    o = F.col("o_orderkey")
+    name = F.concat(F.lit("ds"), (F.col("o_custkey") % 120).cast("string"))
+    return table(spark, sf_dir, "orders").select(
+        o.cast("string").alias("file_id"),
+        F.struct(name.alias("name"), _sha(name).alias("sha256")).alias("dataset"),
+        (o % 13 == 0).alias("_lost"),
+        (o % 17 == 0).alias("_other"),
+    )
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bindings of those files: some lost, some to another dataset."""
+    return (
+        submitted_files(spark, sf_dir)
+        .where(~F.col("_lost"))
+        .select(
+            "file_id",
+            F.struct(
+                F.col("dataset.name").alias("name"),
+                F.when(F.col("_other"), "other").otherwise(F.col("dataset.sha256")).alias("sha256"),
+            ).alias("dataset"),
+        )
+    )
+
+
+def used_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents went into which dataset, with their example counts."""
+    d = F.col("doc_id")
+    lines = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("ds"), (d % 120).cast("string")).alias("dataset"),
+        F.struct(F.concat(F.lit("docs:"), d.cast("string")).alias("memory_id")).alias("provenance"),
+        F.explode(F.sequence(F.lit(1), (d % 3 + 1).cast("int"))).alias("n"),
+    )
+    from heirloom.operators.lineage import dataset_memories
+
+    return dataset_memories(lines)
+
+
+# -------------------------------------------------------------------- jobs
+
+# Upstream words the event types stand for.
+EVENT_STATUS = {
+    "signup": "pending",
+    "view": "running",
+    "click": "completed",
+    "error": "error",
+    "purchase": "new_state",
+}
+
+
+def event_status() -> Column:
+    status = F
+    for kind, word in EVENT_STATUS.items():
+        status = status.when(F.col("event_type") == kind, word)
+    return status
+
+
+def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of a job log: older shapes, reused ids, junk, blank lines."""
+    e, u = F.col("event_id"), F.col("user_id")
+    outcome = (
+        F.when(F.col("event_type") == "click", "succeeded")
+        .when(F.col("event_type") == "error", "failed")
+        .when((F.col("event_type") == "purchase") & (e % 2 == 0), "cancelled")
+    )
+    name = F.concat(F.lit("ds"), (u % 120).cast("string"))
+    record = F.struct(
+        F.concat(F.lit("j"), u.cast("string")).alias("id"),
+        F.lit("together").alias("provider"),
+        F.when(e % 6 != 0, F.concat(F.lit("ft-"), (u % 50).cast("string"))).alias(
+            "provider_job_id"
+        ),
+        F.struct(name.alias("name"), _sha(name).alias("sha256")).alias("dataset"),
+        F.concat(F.lit("base-"), (u % 3).cast("string")).alias("base_model"),
+        F.concat(F.lit("out-"), u.cast("string")).alias("output_name"),
+        F.lit("lora_sft").alias("method"),
+        F.struct(
+            F.when(e % 5 != 0, F.lit(4)).alias("n_epochs"),
+            F.when(e % 7 != 0, F.lit(32)).alias("lora_r"),
+        ).alias("hyperparams"),
+        F.when((u % 20 == 7) & (e % 2 == 0), "other").otherwise("forge").alias("trainer_agent"),
+        F.struct(F.lit("managed").alias("kind")).alias("compute"),
+        F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + u * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        .alias("submitted_at"),
+        F.when(
+            outcome.isNotNull(),
+            F.struct(
+                outcome.alias("outcome"),
+                F.lit("2024-02-01T00:00:00Z").alias("observed_at"),
+            ),
+        ).alias("terminal"),
+        F.when(e % 9 == 0, "2024-01-15T00:00:00Z").alias("cancel_requested_at"),
+        F.when(e % 4 != 0, F.round(F.col("value") * 1e9).cast("decimal(20,0)")).alias(
+            "total_price_nanodollars"
+        ),
+    )
+    line = (
+        F.when(e % 101 == 3, F.lit("{ this is not json"))
+        .when(e % 101 == 5, F.lit('{"id":"x"}'))
+        .when(e % 101 == 7, F.lit(""))
+        .otherwise(F.to_json(record))
+    )
+    return table(spark, sf_dir, "events").select(e.alias("event_id"), line.alias("value"))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines decoded, with ``line_no`` from the event order."""
+    from heirloom.operators.jobs import parse_snapshots
+
+    lines = snapshot_lines(spark, sf_dir).withColumn("line_no", F.col("event_id") + 1)
+    return parse_snapshots(lines)
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heirloom.operators.jobs import fold
+
+    good = snapshots(spark, sf_dir).where(F.col("job").isNotNull())
+    return fold(good.select("job.*", F.col("line_no").alias("seq")))
+
+
+def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as captured poll responses with every form of error text."""
+    e = F.col("event_id")
+    error = (
+        F.when(e % 5 == 0, F.to_json(F.struct(F.lit("plain words").alias("error"))))
+        .when(
+            e % 5 == 1,
+            F.to_json(F.struct(F.struct(F.lit(" nested words ").alias("message")).alias("error"))),
+        )
+        .when(e % 5 == 2, F.to_json(F.struct(F.lit(" first ").alias("error_message"))))
+        .when(e % 5 == 3, F.to_json(F.struct(F.lit("  ").alias("error_message"))))
+        .otherwise("{}")
+    )
+    status = F.when((F.col("event_type") == "error") & (e % 3 == 0), "user_error").otherwise(
+        event_status()
+    )
+    head = F.to_json(
+        F.struct(
+            status.alias("status"),
+            F.when(e % 8 == 0, F.round(F.col("value") * 1e9).cast("bigint")).alias("total_price"),
+        )
+    )
+    # Join the two objects by dropping the inner braces.
+    body = F.when(error == "{}", head).otherwise(
+        F.concat(
+            F.substring(head, F.lit(1), F.length(head) - 1),
+            F.lit(","),
+            F.substring(error, F.lit(2), F.length(error)),
+        )
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("id"), e.alias("observed_at"), body.alias("body")
+    )
+
+
+def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"),
+        e.alias("ix"),
+        F.when(e % 50 != 0, F.col("value")).alias("loss"),
+        F.when(e % 70 != 0, (e % 30) / 10.0 - 0.5).alias("epoch"),
+    )

@@ -27,16 +27,17 @@ def read_job_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_snapshots(lines.select("file_path", "line_no", "value"))
 
 
+def parse_trainer_states(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Log rows ``run_id, ix, loss, epoch`` of whole state texts; a bad text is an error."""
+    history = F.from_json(F.col(text), TRAINER_STATE, {"mode": "FAILFAST"})["log_history"]
+    return texts.select("run_id", F.posexplode(history).alias("ix", "r")).select(
+        "run_id", "ix", "r.loss", "r.epoch"
+    )
+
+
 def read_trainer_state(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Log rows ``run_id, ix, loss, epoch``; the run is named by its file."""
-    return (
-        spark.read.schema(TRAINER_STATE)
-        .option("multiLine", True)
-        .option("mode", "FAILFAST")
-        .json(path)
-        .select(
-            file_stem(F.col("_metadata.file_path")).alias("run_id"),
-            F.posexplode("log_history").alias("ix", "r"),
-        )
-        .select("run_id", "ix", "r.loss", "r.epoch")
+    """Trainer state files; the run is named by its file."""
+    texts = spark.read.text(path, wholetext=True)
+    return parse_trainer_states(
+        texts.select(file_stem(F.col("_metadata.file_path")).alias("run_id"), "value")
     )

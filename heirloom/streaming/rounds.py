@@ -54,3 +54,31 @@ class RoundCloser(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+def close_rounds(messages: DataFrame, timeout_ms: int = 0) -> DataFrame:
+    """Closed rounds from a stream of decoded messages with ``session_id, seq, role, blocks``.
+
+    Only a flag per message enters the state operator; text stays in the stream's
+    source and is joined by ``(session_id, turn)`` when a round is used.
+    """
+    narrow = messages.where(F.col("role").isNotNull()).select(
+        "session_id", "seq", starts_round(F.col("role"), F.col("blocks")).alias("opens")
+    )
+    return narrow.groupBy("session_id").transformWithState(
+        statefulProcessor=RoundCloser(timeout_ms),
+        outputStructType=OUTPUT,
+        outputMode="append",
+        timeMode="ProcessingTime",
+    )
+
+
+def write_closed(closed: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    return (
+        closed.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
