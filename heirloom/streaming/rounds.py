@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from heirloom.operators.messages import starts_round
 
 OUTPUT = "session_id DECIMAL(20,0), turn_index INT, first_seq BIGINT, messages BIGINT, reason STRING"
+ClosedRound = Row("session_id", "turn_index", "first_seq", "messages", "reason")
 STATE = "turn_index INT, first_seq BIGINT, messages BIGINT"
 
 
@@ -33,14 +34,14 @@ class RoundCloser(StatefulProcessor):
         turn, first, count = held if held else (0, None, 0)
         for r in sorted(rows, key=lambda m: m.seq):
             if r.opens and count:
-                yield Row(key[0], turn, first, count, "next_round")
+                yield ClosedRound(key[0], turn, first, count, "next_round")
                 turn, first, count = turn + 1, None, 0
             first = r.seq if first is None else first
             count += 1
         self.open.update((turn, first, count))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
         if self.timeout_ms:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
             self.handle.registerTimer(
                 timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
             )
@@ -49,7 +50,7 @@ class RoundCloser(StatefulProcessor):
         if self.open.exists():
             turn, first, count = self.open.get()
             if count:
-                yield Row(key[0], turn, first, count, "timeout")
+                yield ClosedRound(key[0], turn, first, count, "timeout")
             self.open.update((turn + 1, None, 0))
 
     def close(self) -> None:
@@ -60,7 +61,9 @@ def close_rounds(messages: DataFrame, timeout_ms: int = 0) -> DataFrame:
     """Closed rounds from a stream of decoded messages with ``session_id, seq, role, blocks``.
 
     Only a flag per message enters the state operator; text stays in the stream's
-    source and is joined by ``(session_id, turn)`` when a round is used.
+    source and is joined by ``(session_id, turn)`` when a round is used. With a
+    timeout the query keeps running to watch the clock, so it needs an interval
+    trigger; without one it can run to the end of what has arrived.
     """
     narrow = messages.where(F.col("role").isNotNull()).select(
         "session_id", "seq", starts_round(F.col("role"), F.col("blocks")).alias("opens")
@@ -69,7 +72,7 @@ def close_rounds(messages: DataFrame, timeout_ms: int = 0) -> DataFrame:
         statefulProcessor=RoundCloser(timeout_ms),
         outputStructType=OUTPUT,
         outputMode="append",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if timeout_ms else "None",
     )
 
 
