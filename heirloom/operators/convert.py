@@ -16,6 +16,7 @@ from heirloom.functions.text import let
 from heirloom.operators import chunk as chunking
 from heirloom.operators import examples as ex
 from heirloom.operators import frame, gate
+from heirloom.session import evaluated_once
 
 
 @per_application
@@ -56,7 +57,7 @@ def convert(memories: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> DataFr
     )
     framed = with_framed_chunks(chunking.with_chunks(gated, "_body", cfg.chunk), cfg)
     kept = F.filter("framed", lambda c: c["question"].isNotNull())
-    return framed.withColumn("_kept", F.coalesce(kept, F.expr("array()"))).select(
+    outcome = framed.withColumn("_kept", F.coalesce(kept, F.expr("array()"))).select(
         "src_ord",
         F.col("id").alias("memory_id"),
         "agent_id",
@@ -69,14 +70,13 @@ def convert(memories: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> DataFr
         .alias("unframeable_chunks"),
         F.col("_kept").alias("framed"),
     )
+    return evaluated_once(outcome, "verdict", "unframeable_chunks", "framed")
 
 
 def examples(converted: DataFrame, cfg: ConvertConfig = ConvertConfig()) -> DataFrame:
     """Examples of a conversion, keyed by source position and chunk position.
 
-    Rejected memories have no framed chunks. The outer explode keeps the optimizer
-    from deriving a filter on the array, which it would push below the conversion
-    and so run the whole conversion a second time.
+    Rejected memories have no framed chunks.
     """
     rows = converted.select(
         "src_ord", "memory_id", "agent_id", F.explode_outer("framed").alias("c")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heirloom.config import PASS, REJECTION_REASONS, GateConfig
 from heirloom.functions import text as t
 from heirloom.functions.memo import per_application
+from heirloom.session import evaluated_once
 
 # Tag prefixes that carry routing, not subject matter.
 ROUTING_PREFIXES = ("from:", "to:")
@@ -109,11 +110,12 @@ def assess(
 
 def with_verdict(memories: DataFrame, cfg: GateConfig = GateConfig()) -> DataFrame:
     """Add ``verdict``. Map-only; the trimmed text is computed once per row."""
-    return (
+    judged = (
         memories.withColumn("_trimmed", t.strip(F.col("content")))
         .withColumn("verdict", assess(cfg))
         .drop("_trimmed")
     )
+    return evaluated_once(judged, "verdict")
 
 
 def rejection_reasons(spark: SparkSession) -> DataFrame:

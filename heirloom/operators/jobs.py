@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from heirloom.functions import text as t
 from heirloom.schemas import JOB, STR
+from heirloom.session import evaluated_once
 
 # Upstream status words and the phase each stands for.
 STATUS_PHASE = {
@@ -101,11 +102,12 @@ def parse_snapshots(lines: DataFrame, raw: str = "value") -> DataFrame:
             for f in JOB.fields
         ]
     )
-    return (
+    decoded = (
         parsed.withColumn("skip_reason", reason)
         .withColumn("job", F.when(F.col("skip_reason").isNull(), job))
         .drop("_j", raw)
     )
+    return evaluated_once(decoded, "skip_reason", "job")
 
 
 def skipped_snapshots(parsed: DataFrame) -> DataFrame:
@@ -188,9 +190,8 @@ def failure_reason(raw: Column, upstream: Column) -> Column:
 def parse_polls(polls: DataFrame, body: str = "body") -> DataFrame:
     """Captured poll responses as phase, artifact, reason and price."""
     v = F.col("_v")
-    return (
+    decoded = (
         polls.withColumn("_v", F.try_parse_json(body))
-        .where(v.isNotNull())
         .withColumn(
             "upstream_status",
             F.coalesce(F.try_variant_get(v, "$.status", "string"), F.lit("")),
@@ -208,8 +209,11 @@ def parse_polls(polls: DataFrame, body: str = "body") -> DataFrame:
             "total_price_nanodollars",
             F.try_variant_get(v, "$.total_price", "decimal(20,0)"),
         )
+        .withColumn("_sound", v.isNotNull())
         .drop("_v", body)
     )
+    made = ("upstream_status", "phase", "artifact", "error", "total_price_nanodollars", "_sound")
+    return evaluated_once(decoded, *made).where("_sound").drop("_sound")
 
 
 def poll_fold(polls: DataFrame, key: str = "id", order: str = "observed_at") -> DataFrame:

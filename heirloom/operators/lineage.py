@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heirloom.session import materialize
+from heirloom.session import materialize_counted
 
 MAX_GENERATIONS = 100_000
 
@@ -63,29 +63,30 @@ def ancestry(models: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("generation"),
         F.col("name").alias("model"),
     )
-    pairs = materialize(pairs, "ancestry")
-    jumps = materialize(
-        parent_edges(models).select(F.col("name").alias("model"), F.col("parent").alias("to")),
-        "jumps",
+    pairs, size = materialize_counted(pairs, "ancestry")
+    edges = parent_edges(models)
+    jumps, jumping = materialize_counted(
+        edges.select(F.col("name").alias("model"), F.col("parent").alias("to")), "jumps"
     )
-    stride, size = 1, pairs.count()
+    stride = 1
     while stride <= MAX_GENERATIONS:
+        if jumping == 0:
+            return pairs
         further = pairs.join(jumps, "model").select(
             "start", (F.col("generation") + stride).alias("generation"), F.col("to").alias("model")
         )
-        grown = materialize(
+        grown, grown_size = materialize_counted(
             pairs.unionByName(further)
             .groupBy("start", "model")
             .agg(F.min("generation").alias("generation"))
             .select("start", "generation", "model"),
             "ancestry",
         )
-        grown_size = grown.count()
         if grown_size == size:
             return pairs
         pairs, size = grown, grown_size
         onward = jumps.select(F.col("model").alias("to"), F.col("to").alias("_next"))
-        jumps = materialize(
+        jumps, jumping = materialize_counted(
             jumps.join(onward, "to").select("model", F.col("_next").alias("to")), "jumps"
         )
         stride *= 2

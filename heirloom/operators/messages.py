@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heirloom.functions import text as t
+from heirloom.functions.memo import per_application
+from heirloom.session import evaluated_once
 
 # Members every known block type must carry, with their JSON type.
 BLOCK_MEMBERS = {
@@ -69,6 +71,20 @@ def typed_block(b: Column) -> Column:
     )
 
 
+@per_application
+def _sound_message() -> Column:
+    return F.coalesce(
+        F.col("_role").isin("user", "assistant")
+        & F.forall("_content", lambda b: F.coalesce(valid_block(b), F.lit(False))),
+        F.lit(False),
+    )
+
+
+@per_application
+def _typed_blocks() -> Column:
+    return F.transform("_content", typed_block)
+
+
 def decode(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``role`` and ``blocks``; both are NULL for a line that is not a message.
 
@@ -81,17 +97,14 @@ def decode(lines: DataFrame, line: str = "line") -> DataFrame:
         "_role",
         F.when(has_type(member(F.col("_v"), "role"), "STRING"), as_string(F.col("_v"), "role")),
     ).withColumn("_content", F.try_variant_get("_v", "$.content", "array<variant>"))
-    sound = F.coalesce(
-        F.col("_role").isin("user", "assistant")
-        & F.forall("_content", lambda b: F.coalesce(valid_block(b), F.lit(False))),
-        F.lit(False),
-    )
-    return (
+    sound = _sound_message()
+    decoded = (
         shaped.withColumn("_ok", sound)
         .withColumn("role", F.when(F.col("_ok"), F.col("_role")))
-        .withColumn("blocks", F.when(F.col("_ok"), F.transform("_content", typed_block)))
+        .withColumn("blocks", F.when(F.col("_ok"), _typed_blocks()))
         .drop("_v", "_role", "_content", "_ok", line)
     )
+    return evaluated_once(decoded, "role", "blocks")
 
 
 def starts_round(role: Column, blocks: Column) -> Column:

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heirloom.session import spread
 from heirloom.sources import sessions
 
 
+# Tables with heavy work per row, and the key they are spread by when they are small.
+HEAVY = {"documents": "doc_id", "conversations": "conv_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, HEAVY[name]) if name in HEAVY else rows
 
 
 def memories_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

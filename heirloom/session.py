@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -66,5 +67,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The same, with the number of rows counted while writing."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return table, seen.get["n"]
+
+
+def evaluated_once(df: DataFrame, *names: str) -> DataFrame:
+    """Fix costly columns, so that filters on them do not compute them again.
+
+    The optimizer pushes a filter below the projection that makes its column and
+    repeats the expression there, once per use and level. It does not push
+    filters on what an outer generator returns.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline_outer(F.array(F.struct(*names)))).select(*df.columns)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input over all cores when it has fewer splits than there are cores.
+
+    A small file is one split and would occupy one core however heavy the work per
+    row is. Inputs of any size beyond that pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_master(default: str = "8") -> str:
     return f"local[{os.environ.get('BENCH_CPUS', default)}]"
