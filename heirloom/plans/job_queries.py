@@ -288,13 +288,15 @@ def read_trainer_state(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "agg7_epoch_means",
     f"""WITH {LOG} SELECT run_id, CAST(greatest(floor(coalesce(epoch, 0)), 0) AS BIGINT) AS epoch,
-  round(avg(loss), 6) AS mean_loss, count(*) AS n FROM lg WHERE loss IS NOT NULL GROUP BY 1, 2""",
+  CAST(round(sum(loss) * 100) AS BIGINT) AS mean_times_n_cents, count(*) AS n FROM lg
+  WHERE loss IS NOT NULL GROUP BY 1, 2""",
 )
 def epoch_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Means, compared as whole cents: a rounded mean would depend on summation order."""
     return loss.epoch_means(fx.train_log(spark, sf)).select(
         "run_id",
         F.col("epoch").cast("bigint").alias("epoch"),
-        F.round("mean_loss", 6).alias("mean_loss"),
+        F.round(F.col("mean_loss") * F.col("n") * 100).cast("bigint").alias("mean_times_n_cents"),
         "n",
     )
 

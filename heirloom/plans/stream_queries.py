@@ -27,6 +27,17 @@ def _landing(df: DataFrame, label: str, key: str, files: int = 4) -> str:
     return path
 
 
+def _landing_in_order(df: DataFrame, label: str, key: str, bounds: tuple[int, ...]) -> str:
+    """Rows arriving in the order of ``key``: one write per stretch, one after another."""
+    path = scratch_path(df.sparkSession, label)
+    edges = [None, *bounds, None]
+    for low, high in zip(edges, edges[1:]):
+        part = df if low is None else df.where(F.col(key) >= low)
+        part = part if high is None else part.where(F.col(key) < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _stream(spark: SparkSession, path: str, files_per_batch: int = 2) -> DataFrame:
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
@@ -74,7 +85,7 @@ def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
 def stream_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """Rounds closed by the next one; the last of each session stays open."""
     lines = fx.readable_lines(spark, sf).withColumn("seq", F.col("pos"))
-    arriving = _stream(spark, _landing(lines, "lines", "seq"))
+    arriving = _stream(spark, _landing_in_order(lines, "lines", "seq", (2, 4, 6)), 1)
     out = scratch_path(spark, "closed")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -60,6 +60,9 @@ class RoundCloser(StatefulProcessor):
 def close_rounds(messages: DataFrame, timeout_ms: int = 0) -> DataFrame:
     """Closed rounds from a stream of decoded messages with ``session_id, seq, role, blocks``.
 
+    Messages of a session have to arrive in order across batches, as they do when
+    its file is shipped piece by piece; inside a batch any order will do.
+
     Only a flag per message enters the state operator; text stays in the stream's
     source and is joined by ``(session_id, turn)`` when a round is used. With a
     timeout the query keeps running to watch the clock, so it needs an interval
