@@ -55,7 +55,8 @@ def dream_derived(tags: Column) -> Column:
 
 
 def greeting_opener(text: Column) -> Column:
-    return t.starts_with_any(F.lower(t.first_line(text)), GREETING_OPENERS)
+    opening = F.lower(t.first_line(text))
+    return t.let(opening, lambda first: t.starts_with_any(first, GREETING_OPENERS))
 
 
 def direct_address(text: Column) -> Column:

@@ -9,13 +9,17 @@ from heirloom.session import spread
 from heirloom.sources import sessions
 
 
-# Tables with heavy work per row, and the key they are spread by when they are small.
-HEAVY = {"documents": "doc_id", "conversations": "conv_id", "events": "event_id"}
+# Tables with heavy work per row, and the unique key they are spread by when they are small.
+HEAVY = {
+    "documents": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+    "events": ["event_id"],
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, HEAVY[name]) if name in HEAVY else rows
+    return spread(rows, *HEAVY[name]) if name in HEAVY else rows
 
 
 def memories_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,7 +428,7 @@ def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(e % 5 != 0, F.lit(4)).alias("n_epochs"),
             F.when(e % 7 != 0, F.lit(32)).alias("lora_r"),
         ).alias("hyperparams"),
-        F.when((u % 20 == 7) & (e % 2 == 0), "other").otherwise("forge").alias("trainer_agent"),
+        F.when((u % 20 == 7) & (e % 2 == 0), "other").otherwise("smith").alias("trainer_agent"),
         F.struct(F.lit("managed").alias("kind")).alias("compute"),
         F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + u * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         .alias("submitted_at"),

@@ -15,7 +15,7 @@ from heirloom.sources.lines import read_lines, with_line_numbers
 SNAPS = """sn AS (SELECT event_id, event_id + 1 AS line_no, concat('j', user_id) AS id,
   user_id % 120 % 50 AS ft, CASE WHEN event_id % 6 <> 0 THEN concat('ft-', user_id % 50) END AS pid,
   concat('base-', user_id % 3) AS base_model,
-  CASE WHEN user_id % 20 = 7 AND event_id % 2 = 0 THEN 'other' ELSE 'forge' END AS trainer_agent,
+  CASE WHEN user_id % 20 = 7 AND event_id % 2 = 0 THEN 'other' ELSE 'smith' END AS trainer_agent,
   CASE WHEN event_id % 5 <> 0 THEN 4 ELSE 3 END AS n_epochs,
   CASE WHEN event_id % 7 <> 0 THEN 32 ELSE 16 END AS lora_r,
   1700000000 + user_id * 60 AS submitted,

@@ -266,10 +266,11 @@ def heading_of(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "chk4_heading_trail",
-    f"{OUTLINE} SELECT src_ord, sec, array_to_string(live, ' > ') AS trail FROM trail WHERE ish",
-)
+_TRAIL = f"{OUTLINE} SELECT src_ord, sec, array_to_string(live, ' > ') AS trail FROM trail WHERE ish"
+
+
+@query("win2_heading_trail", _TRAIL)
+@query("chk4_heading_trail", _TRAIL)
 def heading_trail(spark: SparkSession, sf: str) -> DataFrame:
     rows = chunk.with_outline(fx.memories(spark, sf), "content")
     trails = chunk.heading_trails(F.col("_heads"))

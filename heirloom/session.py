@@ -15,8 +15,10 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def get_spark(app_name: str = "heirloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every job here relies on.
 
-    Partition counts are left to AQE: it starts from a high initial number and
-    merges small shuffle partitions, so the same job fits a laptop and a cluster.
+    AQE merges small shuffle partitions and splits skewed ones. Give
+    ``spark.sql.shuffle.partitions`` for the data at hand: high enough that a
+    partition fits an executor, since AQE merges but does not divide evenly
+    filled ones.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -85,14 +87,16 @@ def evaluated_once(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*others, F.inline_outer(F.array(F.struct(*names)))).select(*df.columns)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread an input over all cores when it has fewer splits than there are cores.
 
     A small file is one split and would occupy one core however heavy the work per
-    row is. Inputs of any size beyond that pass through without a shuffle.
+    row is. Inputs of any size beyond that pass through without a shuffle. ``keys``
+    should be unique per row: a partitioning by less would be taken over by later
+    windows and keep a hot group in one task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def local_master(default: str = "8") -> str:

@@ -53,10 +53,10 @@ def running_total(
     """
     keys = [*group, block]
     staged = df.withColumn("_amount", amount.cast("bigint"))
-    subtotals = staged.groupBy(*keys).agg(
-        F.sum("_amount").alias("_block_sum"),
-        F.min_by("_amount", F.struct(*order)).alias("_block_first"),
-    )
+    sums = [F.sum("_amount").alias("_block_sum")]
+    if skip_first:
+        sums.append(F.min_by("_amount", F.struct(*order)).alias("_block_first"))
+    subtotals = staged.groupBy(*keys).agg(*sums)
     along = W.partitionBy(*group).orderBy(block)
     before = F.sum("_block_sum").over(along.rowsBetween(W.unboundedPreceding, -1))
     offset = F.coalesce(before, F.lit(0))

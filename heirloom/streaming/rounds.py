@@ -6,8 +6,10 @@ ends when the next one begins, or when its session stays silent.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -68,6 +70,8 @@ def close_rounds(messages: DataFrame, timeout_ms: int = 0) -> DataFrame:
     timeout the query keeps running to watch the clock, so it needs an interval
     trigger; without one it can run to the end of what has arrived.
     """
+    # Ship the processor itself: executors need not have this package installed.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     narrow = messages.where(F.col("role").isNotNull()).select(
         "session_id", "seq", starts_round(F.col("role"), F.col("blocks")).alias("opens")
     )
