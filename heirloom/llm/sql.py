@@ -32,3 +32,31 @@ FROM h JOIN m ON h.source IS NOT DISTINCT FROM m.source AND h.place = m.place
 """
 
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1}
+
+OP7 = r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(
+   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+n AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(words, []) AS words FROM w),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(
+   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+bw AS (SELECT DISTINCT item_id, len(part) AS size, array_to_string(part, ' ') AS part FROM (
+   SELECT item_id, unnest(list_transform(range(1, greatest(2, len(words) - 11)),
+     lambda i: words[i:i + 12])) AS part FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT row_no, size, unnest(range(1, len(words) - size + 2)) AS pos, words
+   FROM n, sizes WHERE len(words) >= size),
+hit AS (SELECT d.row_no, d.pos, d.size, bw.item_id FROM dw d JOIN bw
+   ON bw.size = d.size AND bw.part = array_to_string(d.words[d.pos:d.pos + d.size - 1], ' ')),
+found AS (SELECT row_no, count(DISTINCT place) AS n_hit FROM (
+   SELECT row_no, unnest(range(pos, pos + size)) AS place FROM hit) GROUP BY row_no),
+ids AS (SELECT row_no, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (
+   SELECT DISTINCT row_no, item_id::VARCHAR AS item_id FROM hit) GROUP BY row_no)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM n LEFT JOIN found USING (row_no) LEFT JOIN ids USING (row_no)
+"""
+
+ORACLES["op7_decontaminate"] = OP7
