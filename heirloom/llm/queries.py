@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirloom.llm import decontaminate, language, mixing, simhash
+from heirloom.llm import decontaminate, language, mixing, quality, simhash
 from heirloom.llm.sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def to_learn(rows: DataFrame) -> DataFrame:
+    """The rows that models may learn from."""
+    return rows.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = mixing.mix_ledger(table(spark, sf_dir, "documents"))
     return ledger.select("doc_id", "size", "source_size", "target", "taken")
@@ -24,8 +29,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language.fit(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    found = language.predict(docs, model)
+    found = language.predict(docs, language.fit(to_learn(docs)))
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -34,6 +38,18 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    found = quality.score(docs, quality.fit(to_learn(docs), to_learn(labels)))
+    return found.select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
