@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirloom.llm import decontaminate, language, mixing, quality, simhash
+from heirloom.llm import decontaminate, fingerprints, html, language, mixing, quality, simhash, warc
 from heirloom.llm.sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,25 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+    return found.select(
+        *("doc_id", "n_chars", "edited_sha256"),
+        fingerprints.hex_digits(F.col("fp")).alias("fingerprint"),
+        fingerprints.hex_digits(F.col("edited_fp")).alias("edited_fingerprint"),
+        *("near_edited", "near_next"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 

@@ -60,3 +60,15 @@ FROM n LEFT JOIN found USING (row_no) LEFT JOIN ids USING (row_no)
 """
 
 ORACLES["op7_decontaminate"] = OP7
+
+OP9 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+ORACLES["op9_warc"] = OP9
