@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StructField, StructType
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -30,3 +32,29 @@ def groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
+
+
+def with_results(
+    docs: DataFrame,
+    keep: Sequence[str],
+    inputs: dict[str, Column],
+    results: Sequence[StructField],
+    work: Callable[..., Sequence[pa.Array]],
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the arrays that ``work`` makes of ``inputs``.
+
+    Work gets the arrays of a batch by name. A kept column that has a result's name gives
+    way to it. Rows stay where they are, so documents need not be joined to their results.
+    """
+    keep = [c for c in keep if c not in {r.name for r in results}]
+    rows = docs.select(*keep, *[c.alias(f"in_{name}") for name, c in inputs.items()])
+    names = [*keep, *[r.name for r in results]]
+    at = {name: len(keep) + i for i, name in enumerate(inputs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = work(**{name: batch.column(i) for name, i in at.items()})
+            columns = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, *found], names)
+
+    return rows.mapInArrow(run, StructType([*[rows.schema[c] for c in keep], *results]))

@@ -19,15 +19,16 @@ that repeat get equal results. Further columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from heirloom.llm.arrow_text import groups, string_parts
+from heirloom.llm.arrow_text import groups, string_parts, with_results
 
 UNDETERMINED = "und"
 PIECE = 1 << 19
@@ -221,35 +222,35 @@ def fit(labelled: DataFrame, config: PpmConfig | None = None) -> Ppm | None:
     return Ppm(languages, order, *[counted.column(i).to_numpy() for i in range(3)])
 
 
-def predict(docs: DataFrame, model: Ppm | None) -> DataFrame:
-    """doc_id, lang_pred, score (the share of the best language if all are equally likely
-    before) and bits (its code length a byte) of every document."""
-    rows = docs.select(
-        "doc_id", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"), "text"
-    )
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang_pred string, score double, bits double"
+def predict(docs: DataFrame, model: Ppm | None, keep: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The kept columns with lang_pred, score (the share of the best language if all are
+    equally likely before) and bits (its code length a byte) of every document."""
     if model is None:
-        none = F.lit(0.0)
-        return docs.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), none.alias("score"), none.alias("bits"))
+        none = {"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "bits": F.lit(0.0)}
+        return docs.select(*keep, *[c.alias(prefix + n) for n, c in none.items()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(text: pa.Array, lettered: pa.Array) -> list[pa.Array]:
         model = shared.value
-        names = np.array(model.languages, object)
-        for batch in batches:
-            lettered = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            bits = model.code_lengths(batch.column(2))
-            best, least = bits.argmin(axis=1), bits.min(axis=1)
-            share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-            _, offsets = string_parts(batch.column(2))
-            name = np.where(lettered, names[best], UNDETERMINED)
-            columns = [
-                batch.column(0),
-                pa.array(name.tolist(), pa.string()),
-                pa.array(np.where(lettered, share, 0.0)),
-                pa.array(least / np.maximum(np.diff(offsets), 1)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits"])
-
-    return rows.mapInArrow(run, schema)
+        bits = model.code_lengths(text)
+        best, least = bits.argmin(axis=1), bits.min(axis=1)
+        share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+        has = lettered.to_numpy(zero_copy_only=False).astype(bool)
+        name = np.where(has, np.array(model.languages, object)[best], UNDETERMINED)
+        size = np.diff(string_parts(text)[1])
+        return [
+            pa.array(name.tolist(), pa.string()),
+            pa.array(np.where(has, share, 0.0)),
+            pa.array(least / np.maximum(size, 1)),
+        ]
+
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    results = [StructField(prefix + n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("bits", DoubleType()))]
+    return with_results(docs, keep, {"text": F.col("text"), "lettered": lettered}, results, work)
+
+
+def spoken(docs: DataFrame, model: Ppm | None, least: float = 0.5) -> DataFrame:
+    """The documents, as they came, whose language is known with a score of ``least`` or more."""
+    found = predict(docs, model, docs.columns, "llm_")
+    kept = found.filter((F.col("llm_lang_pred") != UNDETERMINED) & (F.col("llm_score") >= least))
+    return kept.select(*docs.columns)

@@ -17,15 +17,16 @@ that repeat get equal results; further columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from heirloom.llm.arrow_text import groups, string_parts
+from heirloom.llm.arrow_text import groups, string_parts, with_results
 from heirloom.llm.language import drawn
 
 PIECE = 1 << 20
@@ -250,15 +251,17 @@ def fit(docs: DataFrame, labels: DataFrame, config: CrfConfig | None = None) ->
     return train(table.column(1), known, config)
 
 
-def score(docs: DataFrame, model: Crf) -> DataFrame:
-    """doc_id and score of every document."""
+def score(docs: DataFrame, model: Crf, keep: Sequence[str] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns and the score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array(shared.value.scores(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "score"])
+    def work(text: pa.Array) -> list[pa.Array]:
+        return [pa.array(shared.value.scores(text))]
 
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return with_results(docs, keep, {"text": F.col("text")}, [StructField(name, DoubleType())], work)
+
+
+def good(docs: DataFrame, model: Crf, least: float = 0.7) -> DataFrame:
+    """The documents, as they came, that score ``least`` or more."""
+    found = score(docs, model, docs.columns, "llm_quality")
+    return found.filter(F.col("llm_quality") >= least).select(*docs.columns)

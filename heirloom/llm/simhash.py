@@ -27,8 +27,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from heirloom.llm.arrow_text import groups, string_parts
+from heirloom.llm.arrow_text import groups, string_parts, with_results
 from heirloom.llm.components import components
 from heirloom.session import materialize, materialize_counted
 
@@ -141,16 +142,13 @@ def fingerprint_column(column: pa.Array, width: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the 64-bit fingerprint as a signed number, of every document."""
+    """doc_id, text_hash and fp, the 64-bit fingerprint as a signed number, of every document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = fingerprint_column(batch.column(1), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+    def work(text: pa.Array) -> list[pa.Array]:
+        return [pa.array(fingerprint_column(text, width).view(np.int64))]
 
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return with_results(rows, ["doc_id", "text_hash"], {"text": F.col("text")}, [StructField("fp", LongType())], work)
 
 
 def gray_rank(fp: Column) -> Column:
@@ -370,7 +368,7 @@ def links(classes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id, the smallest id reachable over links, of every document."""
+    """doc_id, text_hash, fp and component_id, the smallest id reachable over links, of every document."""
     prints = materialize(fingerprints(docs, width), "simhash")
     classes, count = materialize_counted(
         prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes"
@@ -379,7 +377,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     grown = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grown.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialize(grown.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def distinct_documents(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The documents, as they came, without near duplicates: of each component the one that
+    has the smallest id stays. Of rows that repeat it, one stays; where no row of a
+    component has an id, one for each text does.
+    """
+    found = materialize(near_duplicates(docs, width, radius), "simhash-found")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    key = [F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")]
+    same = docs["doc_id"].eqNullSafe(F.col("of_id")) & (F.xxhash64(docs["text"]) == F.col("of_hash"))
+    kept = docs.join(found.filter(~stays).select(*key).distinct(), same, "left_anti")
+    repeats = found.filter(stays).groupBy(*key).count().filter("count > 1").drop("count")
+    repeats = materialize(repeats, "simhash-repeats")
+    if repeats.isEmpty():
+        return kept
+    once = kept.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeats, same, "left_anti").unionAll(once)
 
 
 def hex_digits(fp: Column) -> Column:
