@@ -72,3 +72,86 @@ FROM d LEFT JOIN f USING (payload_digest)
 """
 
 ORACLES["op9_warc"] = OP9
+
+OP6 = r"""
+WITH known(said, name) AS (VALUES
+  ('this work is licensed under the gnu general public license version 3', 'gpl3_work'),
+  ('this program is free software', 'gpl_program'),
+  ('you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version', 'gpl3_later'),
+  ('you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version', 'gpl2_later'),
+  ('this program is distributed in the hope that it will be useful but without any warranty', 'gpl_hope'),
+  ('licensed under the gnu general public license version 3', 'gpl3_line'),
+  ('licensed under the apache license version 2 0 the license', 'apache2_the'),
+  ('licensed under the apache license version 2 0', 'apache2_line'),
+  ('you may not use this file except in compliance with the license', 'apache2_comply'),
+  ('unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied', 'apache2_basis'),
+  ('released under the mit license', 'mit_line'),
+  ('licensed under the mit license', 'mit_under'),
+  ('permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions', 'mit_grant'),
+  ('the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software', 'mit_notice'),
+  ('the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement', 'mit_as_is'),
+  ('redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', 'bsd_use'),
+  ('redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer', 'bsd_source'),
+  ('redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution', 'bsd_binary'),
+  ('neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission', 'bsd_name'),
+  ('licensed under cc by nc 4 0', 'cc_by_nc_4'),
+  ('licensed under cc by sa 4 0', 'cc_by_sa_4'),
+  ('licensed under cc by 4 0', 'cc_by_4'),
+  ('this work is licensed under a creative commons attribution 4 0 international license', 'cc_by_4_work'),
+  ('all rights reserved license', 'reserved')),
+cut AS (SELECT row_number() OVER () AS row_no, doc_id,
+  string_split_regex(coalesce(text, ''), '[.!?;:]+[ \t\r\n\f]+|[\r\n]+') AS lines,
+  string_split_regex(coalesce(text, ''), '[.!?;:]+[ \t\r\n\f]+|\n[ \t\r\n\f]*\n') AS paragraphs FROM documents),
+pieces AS (SELECT row_no, 1 AS way, unnest(lines) AS part, generate_subscripts(lines, 1) AS pos FROM cut
+  UNION ALL SELECT row_no, 2, unnest(paragraphs), generate_subscripts(paragraphs, 1) FROM cut),
+ids AS (SELECT row_no, way, count(*) AS n, string_agg(name, ',' ORDER BY pos) AS names,
+  string_agg('<' || name || '>', '' ORDER BY pos) AS tags
+  FROM pieces JOIN known ON said = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) GROUP BY row_no, way),
+best AS (SELECT row_no, arg_max(names, 2 * n + (way = 1)::INT) AS names,
+  arg_max(tags, 2 * n + (way = 1)::INT) AS tags FROM ids GROUP BY row_no),
+r0 AS (SELECT row_no, names, replace(tags, '<bsd_use><bsd_source><bsd_binary><bsd_name>', '<>') AS tags,
+  '' || CASE WHEN contains(tags, '<bsd_use><bsd_source><bsd_binary><bsd_name>') THEN 'BSD-3-Clause,' ELSE '' END AS found FROM best),
+r1 AS (SELECT row_no, names, replace(tags, '<bsd_use><bsd_source><bsd_binary>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<bsd_use><bsd_source><bsd_binary>') THEN 'BSD-2-Clause,' ELSE '' END AS found FROM r0),
+r2 AS (SELECT row_no, names, replace(tags, '<mit_grant><mit_notice><mit_as_is>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<mit_grant><mit_notice><mit_as_is>') THEN 'MIT,' ELSE '' END AS found FROM r1),
+r3 AS (SELECT row_no, names, replace(tags, '<mit_grant><mit_notice>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<mit_grant><mit_notice>') THEN 'MIT,' ELSE '' END AS found FROM r2),
+r4 AS (SELECT row_no, names, replace(tags, '<gpl_program><gpl3_later><gpl_hope>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<gpl_program><gpl3_later><gpl_hope>') THEN 'GPL-3.0-or-later,' ELSE '' END AS found FROM r3),
+r5 AS (SELECT row_no, names, replace(tags, '<gpl_program><gpl3_later>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<gpl_program><gpl3_later>') THEN 'GPL-3.0-or-later,' ELSE '' END AS found FROM r4),
+r6 AS (SELECT row_no, names, replace(tags, '<gpl_program><gpl2_later>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<gpl_program><gpl2_later>') THEN 'GPL-2.0-or-later,' ELSE '' END AS found FROM r5),
+r7 AS (SELECT row_no, names, replace(tags, '<apache2_the><apache2_comply><apache2_basis>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<apache2_the><apache2_comply><apache2_basis>') THEN 'Apache-2.0,' ELSE '' END AS found FROM r6),
+r8 AS (SELECT row_no, names, replace(tags, '<apache2_the><apache2_comply>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<apache2_the><apache2_comply>') THEN 'Apache-2.0,' ELSE '' END AS found FROM r7),
+r9 AS (SELECT row_no, names, replace(tags, '<apache2_the>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<apache2_the>') THEN 'Apache-2.0,' ELSE '' END AS found FROM r8),
+r10 AS (SELECT row_no, names, replace(tags, '<apache2_line>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<apache2_line>') THEN 'Apache-2.0,' ELSE '' END AS found FROM r9),
+r11 AS (SELECT row_no, names, replace(tags, '<mit_line>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<mit_line>') THEN 'MIT,' ELSE '' END AS found FROM r10),
+r12 AS (SELECT row_no, names, replace(tags, '<mit_under>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<mit_under>') THEN 'MIT,' ELSE '' END AS found FROM r11),
+r13 AS (SELECT row_no, names, replace(tags, '<gpl3_work>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<gpl3_work>') THEN 'GPL-3.0-only,' ELSE '' END AS found FROM r12),
+r14 AS (SELECT row_no, names, replace(tags, '<gpl3_line>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<gpl3_line>') THEN 'GPL-3.0-only,' ELSE '' END AS found FROM r13),
+r15 AS (SELECT row_no, names, replace(tags, '<cc_by_nc_4>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<cc_by_nc_4>') THEN 'CC-BY-NC-4.0,' ELSE '' END AS found FROM r14),
+r16 AS (SELECT row_no, names, replace(tags, '<cc_by_sa_4>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<cc_by_sa_4>') THEN 'CC-BY-SA-4.0,' ELSE '' END AS found FROM r15),
+r17 AS (SELECT row_no, names, replace(tags, '<cc_by_4>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<cc_by_4>') THEN 'CC-BY-4.0,' ELSE '' END AS found FROM r16),
+r18 AS (SELECT row_no, names, replace(tags, '<cc_by_4_work>', '<>') AS tags,
+  found || CASE WHEN contains(tags, '<cc_by_4_work>') THEN 'CC-BY-4.0,' ELSE '' END AS found FROM r17),
+named AS (SELECT row_no, names, tags, list_filter(string_split(found, ','), lambda x: x <> '') AS all_found FROM r18)
+SELECT doc_id, coalesce(names, '') AS sentences,
+  coalesce(array_to_string(list_filter(all_found, lambda x, i: list_position(all_found, x) = i), ','), '') AS licenses,
+  coalesce(replace(trim(regexp_replace(replace(tags, '<>', ''), '[<>]+', ' ', 'g')), ' ', ','), '') AS leftover
+FROM cut LEFT JOIN named USING (row_no)
+"""
+
+ORACLES["op6_license_scan"] = OP6
