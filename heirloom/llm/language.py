@@ -104,7 +104,8 @@ class Ppm:
             total = np.bincount(group, weights=count)
             kinds = np.bincount(group)
             escape = -np.log2(kinds / (total + kinds))
-            grams = np.unique(gram)
+            # The zero bytes before a text are a context that no text has as bytes.
+            grams = np.union1d(gram, [0])
             if k == 0:
                 self.nothing = np.full(width, 8.0)
                 self.nothing[context[new]] += escape

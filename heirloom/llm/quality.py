@@ -57,7 +57,6 @@ def _own_features(part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     if not len(filled):
         return out
     kind = _CLASS[part]
-    kind[end[end < len(part)]] = _SPACE  # the newlines
     first = begin[filled]
     count = {
         k: np.add.reduceat((kind == k).view(np.uint8), first, dtype=np.int64)

@@ -48,12 +48,13 @@ _LOWER[65:91] += 32
 @dataclass(frozen=True)
 class GruConfig:
     """``rows``: labelled documents drawn of each class, about. ``vocabulary``: words with a
-    vector of their own; rarer ones have their characters only."""
+    vector of their own; rarer ones have their characters only. ``steps``: updates of a
+    round, after which the windows that stand for a document are chosen anew."""
 
     rows: int = 1500
     vocabulary: int = 20_000
     rounds: int = 3
-    epochs: int = 4
+    steps: int = 150
     batch: int = 256
     rate: float = 0.01
     seed: int = 7
@@ -320,6 +321,15 @@ def _best(value: np.ndarray, text: np.ndarray, top: int) -> np.ndarray:
     return order[place < top]
 
 
+def _batches(chosen: np.ndarray, config: GruConfig, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    done = 0
+    while done < config.steps:
+        rng.shuffle(chosen)
+        for lo in range(0, len(chosen), config.batch):
+            done += 1
+            yield chosen[lo : lo + config.batch].copy()
+
+
 def train(texts: pa.Array, labels: np.ndarray, config: GruConfig) -> Scorer:
     rng = np.random.default_rng(config.seed)
     raw, offsets = string_parts(texts)
@@ -353,21 +363,18 @@ def train(texts: pa.Array, labels: np.ndarray, config: GruConfig) -> Scorer:
         other = rng.choice(len(text), min(len(text), len(y)), replace=False)
         other = other[y[text[other]] == 0]
         chosen = np.unique(np.concatenate([chosen[learn[chosen]], other[learn[other]]]))
-        for _ in range(config.epochs):
-            rng.shuffle(chosen)
-            for lo in range(0, len(chosen), config.batch):
-                at = chosen[lo : lo + config.batch]
-                used_ids, local = np.unique(grid[at], return_inverse=True)
-                grads = net.gradients(
-                    [names[i] for i in used_ids] if names else [b""], local.reshape(grid[at].shape), real[at], y[text[at]]
-                )
-                step += 1
-                for k, v in grads.items():
-                    m, s = moments[k]
-                    m += 0.1 * (v - m)
-                    s += 0.01 * (v * v - s)
-                    rate = config.rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-                    net.p[k] = (net.p[k] - rate).astype(np.float32)
+        for at in _batches(chosen, config, rng):
+            used_ids, local = np.unique(grid[at], return_inverse=True)
+            grads = net.gradients(
+                [names[i] for i in used_ids] if names else [b""], local.reshape(grid[at].shape), real[at], y[text[at]]
+            )
+            step += 1
+            for k, v in grads.items():
+                m, s = moments[k]
+                m += 0.1 * (v - m)
+                s += 0.01 * (v * v - s)
+                rate = config.rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+                net.p[k] = (net.p[k] - rate).astype(np.float32)
         scorer = Scorer(net, 1.0, 0.0)
         value = scorer.window_logits(scorer._ids(words), start, size)
     worst = np.full(len(y), -np.inf)

@@ -21,7 +21,7 @@ def corpus(rng, n):
 
 
 def trained(rows):
-    config = toxicity.GruConfig(rounds=2, epochs=4)
+    config = toxicity.GruConfig(rounds=2, steps=100)
     return toxicity.train(pa.array([r[1] for r in rows]), np.array([r[2] for r in rows]), config)
 
 
@@ -82,7 +82,7 @@ def test_spark_fit_and_score(spark):
     rows = corpus(random.Random(3), 120)
     docs = spark.createDataFrame([r[:2] + (None,) for r in rows] + [(None, None, 1)], "doc_id BIGINT, text STRING, label INT")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1), (1, None)], "doc_id BIGINT, label INT")
-    model = toxicity.fit(docs, labels, toxicity.GruConfig(rounds=1, epochs=1))
+    model = toxicity.fit(docs, labels, toxicity.GruConfig(rounds=1, steps=5))
     got = toxicity.score(docs, model).collect()
     assert len(got) == 121 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(docs.limit(0), model).collect() == []
