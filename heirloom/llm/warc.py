@@ -158,6 +158,8 @@ def parse_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byt
             del buffer[:2]
         while (end := buffer.find(b"\r\n\r\n")) < 0:
             if not more():
+                if buffer:
+                    raise ValueError("an archive ends inside a record")
                 return
             while buffer[:2] == b"\r\n":
                 del buffer[:2]
