@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from heirloom.session import evaluated_once
 
-WORD = r"[^\x20\x09-\x0D]+"
+WHITE = r"[\x20\x09-\x0D]+"
 BYTES = 0x0101010101010101
 #: Terms that byte counters hold without reaching the sign of the highest one.
 CHUNK = 127
@@ -69,7 +69,7 @@ def _votes(hashes: Column) -> Column:
 
 def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     """Adds the fingerprint of a text column. Each step is worked out once a row."""
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
+    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), WHITE), "")
     rows = evaluated_once(rows.withColumn("fp_words", words), "fp_words")
     rows = evaluated_once(rows.withColumn("fp_hashes", _term_hashes(F.col("fp_words"))).drop("fp_words"), "fp_hashes")
     rows = evaluated_once(rows.withColumn("fp_votes", F.when(F.size("fp_hashes") > 0, _votes(F.col("fp_hashes")))), "fp_votes")
@@ -114,7 +114,8 @@ def with_next(docs: DataFrame, *names: str) -> DataFrame:
     sent, as a guest, to the end of the block before. So each document moves once.
     """
     starts = _starts(docs)
-    table = F.lit(starts).cast("array<bigint>")
+    # A text that the optimizer turns into one constant.
+    table = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
     steps = max(len(starts) - 1, 1).bit_length()
     key = _key(F.col("doc_id"))
     rows = docs.withColumn("nx_key", key)
