@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heirloom.session import materialize_counted
-
-MAX_GENERATIONS = 100_000
+from heirloom.session import materialize, materialize_counted
 
 
 class UnknownModel(LookupError):
@@ -49,48 +47,124 @@ def parent_edges(models: DataFrame) -> DataFrame:
     return models.where(F.col("parent").isNotNull()).select("name", "parent").join(known, "parent")
 
 
-def ancestry(models: DataFrame) -> DataFrame:
-    """Every model with each of its ancestors: ``start, generation, model``.
+def _ranked(nodes: DataFrame, size: int) -> DataFrame:
+    """(node, end, steps) from nodes(node, to): where each chain ends and how far that is.
 
-    Pointer doubling: round k joins the pairs so far with pointers that jump 2^k
-    generations, so the number of rounds is logarithmic in the longest chain. A
-    chain that enters a cycle meets the same ancestors again; keeping the
-    smallest generation of each pair ends such walks exactly where they repeat.
-    Every round is written to the shared folder, which also cuts the lineage.
+    Pointer doubling: a round lets every node jump as far again as it did before, so
+    their number is logarithmic. Chains that run into a cycle never end; they stop
+    after ``size`` steps or more, on a node of the cycle.
     """
-    pairs = models.select(
-        F.col("name").alias("start"),
-        F.lit(0).cast("bigint").alias("generation"),
-        F.col("name").alias("model"),
+    state = nodes.select(
+        "node",
+        F.coalesce("to", "node").alias("end"),
+        F.col("to").isNotNull().cast("bigint").alias("steps"),
     )
-    pairs, size = materialize_counted(pairs, "ancestry")
+    state, stride = materialize(state, "ranks"), 1
+    while stride < 2 * size:
+        onward = state.select(
+            F.col("node").alias("end"), F.col("end").alias("_end"), F.col("steps").alias("_steps")
+        )
+        moved = state.join(onward, "end")
+        if moved.where("_steps > 0").isEmpty():
+            return state
+        state = materialize(
+            moved.select("node", F.col("_end").alias("end"), (F.col("steps") + F.col("_steps")).alias("steps")),
+            "ranks",
+        )
+        stride *= 2
+    return state
+
+
+def chain_ends(models: DataFrame) -> DataFrame:
+    """(start, last_generation, last_model): where the walk of every model ends.
+
+    One row for each model all along. A walk ends at a root, or where a cycle comes
+    round to the model at which it was entered.
+    """
     edges = parent_edges(models)
-    jumps, jumping = materialize_counted(
-        edges.select(F.col("name").alias("model"), F.col("parent").alias("to")), "jumps"
+    nodes, size = materialize_counted(
+        models.select(F.col("name").alias("node")).join(
+            edges.select(F.col("name").alias("node"), F.col("parent").alias("to")), "node", "left"
+        ),
+        "chain-nodes",
+    )
+    ranks = _ranked(nodes, size)
+    on_cycle, n = materialize_counted(
+        ranks.where(F.col("steps") >= size).select(F.col("end").alias("node")).distinct(), "cycle-nodes"
+    )
+    if n == 0:
+        return ranks.select(
+            F.col("node").alias("start"), F.col("steps").alias("last_generation"), F.col("end").alias("last_model")
+        )
+    # The least name marks a cycle; looking 2^k ahead doubles with every round.
+    ring = materialize(
+        nodes.join(on_cycle, "node").select("node", F.col("to").alias("ahead"), F.col("node").alias("least")), "cycles"
     )
     stride = 1
-    while stride <= MAX_GENERATIONS:
-        if jumping == 0:
-            return pairs
-        further = pairs.join(jumps, "model").select(
-            "start", (F.col("generation") + stride).alias("generation"), F.col("to").alias("model")
+    while stride < n:
+        ahead = ring.select(F.col("node").alias("ahead"), F.col("ahead").alias("_ahead"), F.col("least").alias("_least"))
+        ring = materialize(
+            ring.join(ahead, "ahead").select(
+                "node", F.col("_ahead").alias("ahead"), F.least("least", "_least").alias("least")
+            ),
+            "cycles",
         )
-        grown, grown_size = materialize_counted(
-            pairs.unionByName(further)
-            .groupBy("start", "model")
-            .agg(F.min("generation").alias("generation"))
-            .select("start", "generation", "model"),
+        stride *= 2
+    length = ring.groupBy("least").agg(F.count(F.lit(1)).alias("length"))
+    before = nodes.join(on_cycle, "node").select(F.col("to").alias("end"), F.col("node").alias("before"))
+    entry = ring.select(F.col("node").alias("end"), "least").join(length, "least").join(before, "end").drop("least")
+    opened = nodes.join(on_cycle.withColumn("_on", F.lit(True)), "node", "left").select(
+        "node", F.when(F.col("_on").isNull(), F.col("to")).alias("to")
+    )
+    return _ranked(opened, size).join(entry, "end", "left").select(
+        F.col("node").alias("start"),
+        (F.col("steps") + F.coalesce(F.col("length") - 1, F.lit(0))).alias("last_generation"),
+        F.coalesce("before", "end").alias("last_model"),
+    )
+
+
+def ancestry(models: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Models with each of their ancestors: ``start, generation, model``.
+
+    ``starts(start)`` names the models whose walks are wanted, all if it is left out;
+    the result has a row for each generation of each. Round k continues the pairs so
+    far by pointers that jump 2^k generations and writes only what is new. The ends of
+    the chains are known, so a walk stops exactly where a cycle repeats.
+    """
+    ends = chain_ends(models)
+    if starts is not None:
+        ends = ends.join(starts.select("start").distinct(), "start", "left_semi")
+    pairs = [
+        materialize(
+            ends.select(
+                "start", F.lit(0).cast("bigint").alias("generation"), F.col("start").alias("model"), "last_generation"
+            ),
             "ancestry",
         )
-        if grown_size == size:
-            return pairs
-        pairs, size = grown, grown_size
-        onward = jumps.select(F.col("model").alias("to"), F.col("to").alias("_next"))
-        jumps, jumping = materialize_counted(
-            jumps.join(onward, "to").select("model", F.col("_next").alias("to")), "jumps"
+    ]
+    jumps = parent_edges(models).select(F.col("name").alias("model"), F.col("parent").alias("to"))
+    jumps, stride = materialize(jumps, "jumps"), 1
+    while True:
+        longer = [p.where(F.col("generation") + stride <= F.col("last_generation")) for p in pairs]
+        further, n = materialize_counted(
+            _union(longer).join(jumps, "model").select(
+                "start", (F.col("generation") + stride).alias("generation"), F.col("to").alias("model"), "last_generation"
+            ),
+            "ancestry",
         )
+        if n == 0:
+            return _union(pairs).drop("last_generation")
+        pairs.append(further)
+        onward = jumps.select(F.col("model").alias("to"), F.col("to").alias("_next"))
+        jumps = materialize(jumps.join(onward, "to").select("model", F.col("_next").alias("to")), "jumps")
         stride *= 2
-    raise RuntimeError(f"ancestry deeper than {MAX_GENERATIONS} generations")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionAll(table)
+    return whole
 
 
 def lineage_all(models: DataFrame, dataset_meta: DataFrame) -> DataFrame:
@@ -115,40 +189,22 @@ def annotate(walk: DataFrame, models: DataFrame, dataset_meta: DataFrame) -> Dat
 
 
 def walk_from(models: DataFrame, name: str) -> DataFrame:
-    """The walk of one model, as a recursive query; unknown names are an error."""
-    if models.where(F.col("name") == name).isEmpty():
+    """The walk of one model; unknown names are an error. No depth is too deep."""
+    start = models.where(F.col("name") == name).select(F.col("name").alias("start"))
+    if start.isEmpty():
         raise UnknownModel(f"no model {name!r}")
-    return models.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(start, generation, model, parent, seen)
-          MAX RECURSION LEVEL 10000 AS (
-          SELECT name, 0L, name, parent, array(name) FROM {models} WHERE name = :name
-          UNION ALL
-          SELECT w.start, w.generation + 1, m.name, m.parent, array_append(w.seen, m.name)
-          FROM walk w JOIN {models} m ON m.name = w.parent
-          WHERE NOT array_contains(w.seen, w.parent)
-        )
-        SELECT start, generation, model FROM walk
-        """,
-        args={"name": name},
-        models=models,
-    )
+    return ancestry(models, start)
 
 
 def lineage_of(models: DataFrame, dataset_meta: DataFrame, name: str) -> DataFrame:
     return annotate(walk_from(models, name), models, dataset_meta)
 
 
-def incomplete(walk: DataFrame, models: DataFrame) -> DataFrame:
-    """Per start the last generation and why the walk ended there.
+def incomplete(ends: DataFrame, models: DataFrame) -> DataFrame:
+    """Per start the last generation and why the walk ended there, from ``chain_ends``.
 
     ``reason`` is NULL at a true root, else names the missing parent or the cycle.
     """
-    ends = walk.groupBy("start").agg(
-        F.max("generation").alias("last_generation"),
-        F.max_by("model", "generation").alias("last_model"),
-        F.count("*").alias("entries"),
-    )
     parents = models.select(F.col("name").alias("last_model"), "parent")
     known = models.select(F.col("name").alias("parent"), F.lit(True).alias("_known"))
     parent, last = quoted(F.col("parent")), quoted(F.col("last_model"))
@@ -158,7 +214,8 @@ def incomplete(walk: DataFrame, models: DataFrame) -> DataFrame:
         .select(
             "start",
             "last_generation",
-            "entries",
+            (F.col("last_generation") + 1).alias("entries"),
+            # The sentences.
             F.when(F.col("parent").isNull(), F.lit(None).cast("string"))
             .when(
                 F.col("_known").isNull(),

@@ -9,8 +9,9 @@ from heirloom.operators import cost, jobs, loss
 from heirloom.plans import fixtures as fx
 from heirloom.plans.registry import query
 from heirloom.session import scratch_path
+from heirloom.sinks.dataset import dataset_lines
 from heirloom.sources import jobs as src
-from heirloom.sources.lines import read_lines, with_line_numbers
+from heirloom.sources.lines import most_splits, placed, read_lines
 
 SNAPS = """sn AS (SELECT event_id, event_id + 1 AS line_no, concat('j', user_id) AS id,
   user_id % 120 % 50 AS ft, CASE WHEN event_id % 6 <> 0 THEN concat('ft-', user_id % 50) END AS pid,
@@ -45,13 +46,7 @@ POLLS = f"""po AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS observed_a
 def _write_log(spark: SparkSession, sf: str) -> str:
     """The job log as ordered text parts."""
     path = scratch_path(spark, "joblog")
-    lines = fx.snapshot_lines(spark, sf)
-    (
-        lines.repartitionByRange(4, "event_id")
-        .sortWithinPartitions("event_id")
-        .select("value")
-        .write.text(path)
-    )
+    fx.snapshot_lines(spark, sf).orderBy("event_id").select("value").write.text(path)
     return path
 
 
@@ -81,16 +76,13 @@ def line_number(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as lines; the number of every physical line is exact."""
     path = scratch_path(spark, "lines")
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-    (
-        docs.repartitionByRange(4, "doc_id")
-        .sortWithinPartitions("doc_id")
-        .select("text")
-        .coalesce(1)
-        .write.text(path)
+    docs.orderBy("doc_id").select("text").write.text(path)
+    # Lines are numbered over all ordered parts; those of one file, as in a job log, alike.
+    lines = read_lines(spark, path)
+    numbered = placed(lines, False, "place", most_splits(spark, path))
+    return numbered.select(
+        (F.col("place") + 1).alias("line_no"), F.length("value").cast("bigint").alias("n")
     )
-    # One file here; its splits are read and numbered apart.
-    numbered = with_line_numbers(read_lines(spark, path))
-    return numbered.select("line_no", F.length("value").cast("bigint").alias("n"))
 
 
 @query("win3_job_fold", f"WITH {SNAPS} SELECT id, line_no, outcome, n_epochs::BIGINT AS n_epochs FROM jb")
@@ -109,12 +101,8 @@ def job_fold(spark: SparkSession, sf: str) -> DataFrame:
 )
 def current_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """The ordered listing; its places are numbered for the comparison."""
-    from heirloom.sinks.dataset import dataset_lines, write_ordered_lines
-
-    listed = jobs.current_jobs(fx.snapshots(spark, sf))
     path = scratch_path(spark, "listing")
-    key = F.struct(-F.unix_timestamp("submitted_at"), F.col("id"))
-    write_ordered_lines(listed.withColumn("example_key", key), F.col("id"), path)
+    jobs.current_jobs(fx.snapshots(spark, sf)).select("id").write.text(path)
     return dataset_lines(spark, path).select(
         (F.col("position") + 1).alias("place"), F.col("line").alias("id")
     )

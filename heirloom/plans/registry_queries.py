@@ -98,7 +98,7 @@ DIGEST = (
 def write_dataset(spark: SparkSession, sf: str) -> DataFrame:
     root, _ = _written(spark, sf)
     lines = ds.dataset_lines(spark, ds.data_path(root, "all"))
-    return lines.groupBy("line").agg(F.count("*").alias("n")).agg(
+    return lines.groupBy(F.sha2("line", 256)).agg(F.count("*").alias("n")).agg(
         F.sum("n").alias("lines"), F.count("*").alias("distinct_lines")
     )
 
@@ -149,16 +149,36 @@ def document_digest(spark: SparkSession, sf: str) -> DataFrame:
     return ds.dataset_digest(docs, "doc_id", "text")
 
 
-@query("snk7_verify_dataset", "SELECT 'all' AS name, true AS matches")
+@query(
+    "snk7_verify_dataset",
+    """SELECT * FROM (VALUES ('all', true), ('carriage_return', false), ('one_letter', false),
+  ('swapped', false), ('shortened', false)) t(name, matches)""",
+)
 def verify_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The dataset as it was written, and copies of it that were altered."""
     root, _ = _written(spark, sf)
-    return ds.verify_dataset(spark, root, "all")
+    lines = ds.dataset_lines(spark, ds.data_path(root, "all"))
+    at, line = F.col("position"), F.col("line")
+    altered = {
+        "carriage_return": (at, F.when(at == 0, F.concat(line, F.lit("\r"))).otherwise(line)),
+        "one_letter": (at, F.when(at == 0, F.overlay(line, F.lit("x"), F.lit(3))).otherwise(line)),
+        "swapped": (F.when(at < 2, 1 - at).otherwise(at), line),
+        "shortened": (at, F.when(at > 0, line)),
+    }
+    checked = ds.verify_dataset(spark, root, "all")
+    meta = spark.read.text(ds.meta_path(root, "all"))
+    for name, (order, value) in altered.items():
+        copy = lines.select(order.alias("order"), value.alias("value")).where("value IS NOT NULL")
+        copy.orderBy("order").select("value").write.text(ds.data_path(root, name))
+        meta.write.text(ds.meta_path(root, name))
+        checked = checked.unionByName(ds.verify_dataset(spark, root, name).withColumn("name", F.lit(name)))
+    return checked
 
 
 @query(
     "src8_read_dataset",
-    f"{LINES} SELECT kind AS instruction_kind, count(*) AS n, sum(length(line) * 0 + 2)::BIGINT "
-    "AS messages FROM lines GROUP BY kind",
+    f"{LINES} SELECT kind AS instruction_kind, count(*) AS n, "
+    "sum(json_array_length(line, '$.messages'))::BIGINT AS messages FROM lines GROUP BY kind",
 )
 def read_dataset(spark: SparkSession, sf: str) -> DataFrame:
     root, _ = _written(spark, sf)
@@ -236,9 +256,7 @@ def validate_export(spark: SparkSession, sf: str) -> DataFrame:
 def read_registry(spark: SparkSession, sf: str) -> DataFrame:
     """Models written as JSON records and read back with the explicit schema."""
     path = scratch_path(spark, "models")
-    fx.models(spark, sf).withColumn("f", F.xxhash64("name") % 8).repartition("f").drop(
-        "f"
-    ).write.json(path)
+    fx.models(spark, sf).write.json(path)
     back = spark.read.schema(MODEL).json(path)
     missing = read_records(spark, path + "/none", MODEL)
     return back.unionByName(missing).select(
@@ -249,23 +267,26 @@ def read_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "srt2_newest_first",
-    f"""WITH {MODELS}, {META}, {APPR},
-  a AS (SELECT 'model' AS kind, name AS key FROM mo ORDER BY created DESC, name LIMIT 20),
-  b AS (SELECT 'dataset' AS kind, name AS key FROM me ORDER BY created DESC, name LIMIT 20),
-  c AS (SELECT 'apprentice' AS kind, id AS key FROM ap ORDER BY created DESC, id LIMIT 20)
-  SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""",
+    f"""WITH {MODELS}, {META}, {APPR}
+  SELECT 'model' AS kind, row_number() OVER (ORDER BY created DESC, name) AS place, name AS key FROM mo
+  UNION ALL SELECT 'dataset', row_number() OVER (ORDER BY created DESC, name), name FROM me
+  UNION ALL SELECT 'apprentice', row_number() OVER (ORDER BY created DESC, id), id FROM ap""",
 )
 def newest_first(spark: SparkSession, sf: str) -> DataFrame:
-    """The twenty newest records of each kind: a top-k listing."""
-
-    def head(df: DataFrame, kind: str, key: str) -> DataFrame:
-        top = registry.newest_first(df, "created_at", key).limit(20)
-        return top.select(F.lit(kind).alias("kind"), F.col(key).alias("key"))
+    """All records of each kind in order; the order is written out and numbered."""
+
+    def listed(df: DataFrame, kind: str, key: str) -> DataFrame:
+        path = scratch_path(spark, "listing")
+        registry.newest_first(df, "created_at", key).select(key).write.text(path)
+        lines = ds.dataset_lines(spark, path)
+        return lines.select(
+            F.lit(kind).alias("kind"), (F.col("position") + 1).alias("place"), F.col("line").alias("key")
+        )
 
     return (
-        head(fx.models(spark, sf), "model", "name")
-        .unionByName(head(fx.dataset_meta(spark, sf), "dataset", "name"))
-        .unionByName(head(fx.apprentices(spark, sf), "apprentice", "id"))
+        listed(fx.models(spark, sf), "model", "name")
+        .unionByName(listed(fx.dataset_meta(spark, sf), "dataset", "name"))
+        .unionByName(listed(fx.apprentices(spark, sf), "apprentice", "id"))
     )
 
 
@@ -340,7 +361,9 @@ def price_band(spark: SparkSession, sf: str) -> DataFrame:
 )
 def apprentice_to_model(spark: SparkSession, sf: str) -> DataFrame:
     models = fx.models(spark, sf)
-    out = registry.apprentice_lineage(fx.apprentices(spark, sf), models, lin.ancestry(models))
+    apprentices = fx.apprentices(spark, sf)
+    starts = apprentices.select(F.col("model").alias("start"))
+    out = registry.apprentice_lineage(apprentices, models, lin.ancestry(models, starts))
     return out.select(
         "apprentice", "trained", "generation", "ancestor", F.col("note").isNotNull().alias("has_note")
     )
@@ -362,7 +385,7 @@ def lineage_walk(spark: SparkSession, sf: str) -> DataFrame:
     f"{WALK} SELECT start, generation::BIGINT AS generation, model FROM wk WHERE start = '11'",
 )
 def walk_of_one(spark: SparkSession, sf: str) -> DataFrame:
-    """One model by recursive query; this one runs into a cycle."""
+    """One model alone; this one runs into a cycle."""
     return lin.walk_from(fx.models(spark, sf), "11")
 
 
@@ -372,7 +395,7 @@ def walk_of_one(spark: SparkSession, sf: str) -> DataFrame:
 )
 def cycle_guard(spark: SparkSession, sf: str) -> DataFrame:
     models = fx.models(spark, sf)
-    ends = lin.incomplete(lin.ancestry(models), models)
+    ends = lin.incomplete(lin.chain_ends(models), models)
     return ends.where(F.col("reason").startswith("parent cycle")).select("start", "entries")
 
 
@@ -382,7 +405,7 @@ def cycle_guard(spark: SparkSession, sf: str) -> DataFrame:
 )
 def incomplete_reason(spark: SparkSession, sf: str) -> DataFrame:
     models = fx.models(spark, sf)
-    return lin.incomplete(lin.ancestry(models), models)
+    return lin.incomplete(lin.chain_ends(models), models)
 
 
 @query(
@@ -551,19 +574,19 @@ def attach(spark: SparkSession, sf: str) -> DataFrame:
     "job11_registry_name_check",
     """SELECT doc_id, n = '' OR contains(n, '/') OR contains(n, chr(92)) OR contains(n, '..')
   OR starts_with(n, '.') OR regexp_matches(n, '[\\x00-\\x1f\\x7f]') AS invalid FROM
-  (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN concat('.', split_part(text, ' ', 1))
+  (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN concat('.', text)
    WHEN 1 THEN concat(source, '/', lang) WHEN 2 THEN concat(lang, chr(92)) WHEN 3 THEN ''
-   WHEN 4 THEN substr(text, 1, 400) WHEN 5 THEN concat(lang, '..', source) ELSE source END AS n
+   WHEN 4 THEN text WHEN 5 THEN concat(lang, '..', source) ELSE source END AS n
    FROM documents)""",
 )
 def registry_name_check(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
     name = (
-        F.when(k % 7 == 0, F.concat(F.lit("."), F.substring_index("text", " ", 1)))
+        F.when(k % 7 == 0, F.concat(F.lit("."), F.col("text")))
         .when(k % 7 == 1, F.concat("source", F.lit("/"), "lang"))
         .when(k % 7 == 2, F.concat("lang", F.lit("\\")))
         .when(k % 7 == 3, "")
-        .when(k % 7 == 4, F.substring("text", 1, 400))
+        .when(k % 7 == 4, F.col("text"))
         .when(k % 7 == 5, F.concat("lang", F.lit(".."), "source"))
         .otherwise(F.col("source"))
     )

@@ -38,14 +38,17 @@ def get_spark(app_name: str = "heirloom", master: str | None = None, **conf: str
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) a fresh local folder is made and recorded in the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session in which that
+    is unset (tests, a laptop) gets a fresh local folder, recorded in the session.
+    Elsewhere executors would each write to their own disk, so it is an error.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         existing = spark.sparkContext.getCheckpointDir()
         if existing:
             return existing
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext.getCheckpointDir()
@@ -87,17 +90,5 @@ def evaluated_once(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*others, F.inline_outer(F.array(F.struct(*names)))).select(*df.columns)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input over all cores when it has fewer splits than there are cores.
-
-    A small file is one split and would occupy one core however heavy the work per
-    row is. Inputs of any size beyond that pass through without a shuffle. ``keys``
-    should be unique per row: a partitioning by less would be taken over by later
-    windows and keep a hot group in one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def local_master(default: str = "8") -> str:
     return f"local[{os.environ.get('BENCH_CPUS', default)}]"

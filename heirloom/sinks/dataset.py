@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirloom import __version__
 from heirloom.config import USED
 from heirloom.operators import examples as ex
 from heirloom.schemas import DATASET_META, EXAMPLE
-from heirloom.sources.lines import read_lines, running_total
+from heirloom.sources.lines import most_splits, placed, read_lines
 
 # Fixed value: lines per leaf and leaves per branch of the digest tree.
 FANOUT = 65536
@@ -67,12 +67,11 @@ def dataset_digest(ordered: DataFrame, position: str = "position", line: str = "
     identity. Content and order decide it; partitioning and file layout do not,
     and no task ever holds more than one leaf or branch.
     """
-    at = F.col(position)
-    hashed = ordered.select(
-        at.alias("_at"),
-        F.floor(at / FANOUT).cast("bigint").alias("_leaf"),
-        F.sha2(F.col(line), 256).alias("_h"),
-    )
+    return _tree(ordered.select(F.col(position).alias("_at"), F.sha2(F.col(line), 256).alias("_h")))
+
+
+def _tree(hashed: DataFrame) -> DataFrame:
+    """The identity of ``_at, _h``: places and hashes of lines."""
 
     def fold(rows: DataFrame, key: Column, order: str) -> DataFrame:
         entries = F.sort_array(F.collect_list(F.struct(order, "_h", "_n")))
@@ -81,7 +80,8 @@ def dataset_digest(ordered: DataFrame, position: str = "position", line: str = "
             F.sha2(text, 256).alias("_h"), F.sum("_n").alias("_n")
         )
 
-    leaves = fold(hashed.withColumn("_n", F.lit(1).cast("bigint")), F.col("_leaf"), "_at")
+    leaf_of = F.floor(F.col("_at") / FANOUT).cast("bigint")
+    leaves = fold(hashed.withColumn("_n", F.lit(1).cast("bigint")), leaf_of, "_at")
     leaves = leaves.withColumnRenamed("_key", "_ix")
     branch_of = F.floor(F.col("_ix") / FANOUT).cast("bigint")
     branches = fold(leaves, branch_of, "_ix").withColumnRenamed("_key", "_ix")
@@ -94,27 +94,37 @@ def dataset_digest(ordered: DataFrame, position: str = "position", line: str = "
 
 def dataset_lines(spark: SparkSession, path: str) -> DataFrame:
     """Stored lines with their dense 0-based position across the ordered parts."""
-    rows = read_lines(spark, path).withColumn("one", F.lit("dataset"))
-    block = F.struct("file_path", "block_start")
-    numbered = running_total(
-        rows.withColumn("part", block), ["one"], "part", ["row_pos"], F.lit(1), "_n"
-    )
-    return numbered.select(
-        (F.col("_n") - 1).alias("position"), F.col("value").alias("line")
-    )
+    numbered = placed(read_lines(spark, path), False, "position", most_splits(spark, path))
+    return numbered.select("position", F.col("value").alias("line"))
 
 
 def stored_digest(spark: SparkSession, path: str) -> DataFrame:
-    return dataset_digest(dataset_lines(spark, path))
-
+    """The identity of stored lines, from their bytes as they are.
 
-def file_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """Byte-exact hash of each file, for uploads that are single files."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("sha256"))
+    A line is hashed in the scan, before anything decodes or strips it; only hashes
+    and places go on. The scan does not say whether a part ends with a newline, but
+    its size does: lines are one byte short in all where the last one is missing. The
+    places of such ends become part of the identity, so a dataset as it was written
+    has the plain one.
+    """
+    lines = read_lines(spark, path, exact=True).select(
+        "file_path", "block_start", "row_pos", "file_size",
+        F.sha2(F.col("value").cast("binary"), 256).alias("_h"),
+        (F.octet_length("value") + 1).alias("_bytes"),
     )
+    hashed = placed(lines, False, "_at", most_splits(spark, path))
+    cut = (
+        hashed.groupBy("file_path")
+        .agg(F.max("_at").alias("_at"), (F.sum("_bytes") != F.max("file_size")).alias("_cut"))
+        .where("_cut")
+        .agg(F.array_join(F.sort_array(F.collect_list("_at")), ",").alias("_cuts"))
+    )
+    one = F.lit(1)
+    both = _tree(hashed).withColumn("_one", one).join(cut.withColumn("_one", one), "_one")
+    whole = F.when(F.col("_cuts") == "", F.col("sha256")).otherwise(
+        F.sha2(F.concat_ws(":", "sha256", "_cuts"), 256)
+    )
+    return both.select(whole.alias("sha256"), "lines")
 
 
 # ------------------------------------------------------------------- write
@@ -256,15 +266,6 @@ def write_dataset(
     return read_meta(spark, root, name)
 
 
-def write_with_counts(examples: DataFrame, path: str) -> int:
-    """Write and count in the same pass."""
-    seen = Observation("written")
-    write_ordered_lines(
-        examples.observe(seen, F.count(F.lit(1)).alias("n")), ex.to_jsonl(), path
-    )
-    return seen.get["n"]
-
-
 # -------------------------------------------------------------------- read
 
 

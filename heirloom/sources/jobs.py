@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from heirloom.operators.jobs import parse_snapshots
 from heirloom.schemas import STR, TRAINER_STATE, row
-from heirloom.sources.lines import file_stem, read_lines, with_line_numbers
+from heirloom.sources.lines import file_stem, most_splits, read_lines, with_line_numbers
 
 
 def read_job_log(spark: SparkSession, path: str) -> DataFrame:
@@ -17,7 +17,7 @@ def read_job_log(spark: SparkSession, path: str) -> DataFrame:
     The log is read in splits and still numbered exactly. A missing log is empty.
     """
     try:
-        lines = with_line_numbers(read_lines(spark, path))
+        lines = with_line_numbers(read_lines(spark, path), most_splits(spark, path))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

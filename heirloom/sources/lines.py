@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 BLOCK = ["file_path", "block_start"]
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines as ``file_path, block_start, row_pos, value``, split at ``\\n`` only.
+def read_lines(spark: SparkSession, paths: str | list[str], exact: bool = False) -> DataFrame:
+    """Lines as ``file_path, block_start, row_pos, value, file_size``, split at ``\\n`` only.
 
-    ``(block_start, row_pos)`` orders the lines of a file. ``row_pos`` is only an
-    order, not a count: it grows along each split of the scan.
+    ``(block_start, row_pos)`` orders the lines of a file. ``row_pos`` grows by one from
+    line to line of a split, from an arbitrary number on. ``exact`` keeps the bytes as
+    they are stored; parsers do without a ``\\r`` at the end.
     """
+    value = F.col("value") if exact else F.regexp_replace("value", r"\r\z", "")
     return (
         spark.read.option("lineSep", "\n")
         .text(paths)
@@ -29,7 +31,8 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("row_pos"),
-            F.regexp_replace("value", r"\r\z", "").alias("value"),
+            value.alias("value"),
+            F.col("_metadata.file_size").alias("file_size"),
         )
     )
 
@@ -77,9 +80,44 @@ def running_total(
     )
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
+#: Up to so many splits their offsets are sent to all tasks; beyond, Spark joins by shuffle.
+FEW_SPLITS = 200_000
+
+
+def part_number(path: Column) -> Column:
+    """The number of a part file; names that have none come first."""
+    number = F.regexp_extract(path, r"part-(\d{1,18})[^/]*$", 1)
+    return F.when(number != "", number.cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
+
+
+def placed(lines: DataFrame, per_file: bool, out: str, splits: int | None = None) -> DataFrame:
+    """Add the dense 0-based place of each line, in its file or over all ordered parts.
+
+    Only one count per split is added up. A line's place is its distance from the first
+    line of its split plus the lines of the splits before; where there are few splits
+    (see ``most_splits``) no line moves.
+    """
+    counts = lines.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min("row_pos").alias("_low"))
+    if per_file:
+        along = W.partitionBy("file_path").orderBy("block_start")
+    else:
+        along = W.orderBy(part_number(F.col("file_path")), "file_path", "block_start")
+    before = F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(*BLOCK, (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_offset"))
+    if splits is not None and splits <= FEW_SPLITS:
+        offsets = F.broadcast(offsets)
+    return lines.join(offsets, BLOCK).withColumn(out, F.col("row_pos") + F.col("_offset")).drop("_offset")
+
+
+def most_splits(spark: SparkSession, paths: str | list[str]) -> int:
+    """How many splits a scan can have at most, from the listing: one for each file and 4 MB."""
+    splits = F.sum(F.ceil(F.col("file_bytes") / (4 << 20)) + 1)
+    return file_inventory(spark, paths).agg(F.coalesce(splits, F.lit(0))).first()[0]
+
+
+def with_line_numbers(lines: DataFrame, splits: int | None = None) -> DataFrame:
     """Add the 1-based physical line number; blank lines count."""
-    return running_total(lines, ["file_path"], "block_start", ["row_pos"], F.lit(1), "line_no")
+    return placed(lines, True, "line_no", splits).withColumn("line_no", F.col("line_no") + 1)
 
 
 def file_inventory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -95,8 +133,3 @@ def file_stem(path: Column) -> Column:
     """File name without its last extension; a leading dot is not an extension."""
     name = F.element_at(F.split(path, "/"), -1)
     return F.regexp_extract(name, r"^(.+?)(?:\.[^.]*)?$", 1)
-
-
-def path_order(path: Column) -> Column:
-    """Orders paths by their components, as a directory walk does."""
-    return F.split(path, "/")

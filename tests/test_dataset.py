@@ -116,3 +116,28 @@ def test_digest_of_a_dense_table(spark):
     df = spark.range(5).select(F.col("id").alias("position"), F.col("id").cast("string").alias("line"))
     leaf = sha("".join(sha(str(i)) for i in range(5)))
     assert ds.dataset_digest(df).first()["sha256"] == sha(sha(leaf))
+
+
+def test_stored_digest_sees_every_byte(spark, tmp_path):
+    def digest(name, *parts):
+        folder = tmp_path / name
+        folder.mkdir()
+        for file, data in parts:
+            (folder / file).write_bytes(data)
+        return ds.stored_digest(spark, str(folder)).first()
+
+    plain = digest("plain", ("part-00000", b"a\nb\n"))
+    assert plain["lines"] == 2
+    assert plain == digest("split", ("part-00000", b"a\n"), ("part-00001", b"b\n"))
+    forms = [b"a\r\nb\n", b"a\nb", b"b\na\n", b"a\n\xff\n", b"a\n\xfe\n", b"a\nb\n\n", b"\n"]
+    digests = {digest(f"d{i}", ("part-00000", data))["sha256"] for i, data in enumerate(forms)}
+    assert len(digests | {plain["sha256"]}) == len(forms) + 1
+
+
+def test_parts_are_ordered_by_number(spark, tmp_path):
+    for n in (0, 9, 99_999, 100_000, 10_001, 100_001):
+        (tmp_path / f"part-{n:05d}-x").write_text(f"{n}\n")
+    got = ds.dataset_lines(spark, str(tmp_path)).orderBy("position").collect()
+    assert [r["line"] for r in got] == ["0", "9", "10001", "99999", "100000", "100001"]
+    plan = ds.dataset_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "value" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)

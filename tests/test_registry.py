@@ -31,7 +31,7 @@ def test_all_walks_and_their_ends(models):
     assert walk(got, "d") == ["d", "c", "b", "a"]
     assert walk(got, "x") == ["x", "y", "z"]
     assert walk(got, "self") == ["self"]
-    ends = {r["start"]: r["reason"] for r in lineage.incomplete(got, m).collect()}
+    ends = {r["start"]: r["reason"] for r in lineage.incomplete(lineage.chain_ends(m), m).collect()}
     assert ends["d"] is None
     assert ends["lost"] == 'parent "gone" of "lost" is not in the registry'
     assert ends["x"].startswith('parent cycle detected at "y"')
@@ -54,6 +54,16 @@ def test_long_chain(models):
     assert got.count() == 150 * 151 // 2
 
 
+def test_ends_agree_with_walks(models):
+    m = models(*EDGES)
+    ends = {r["start"]: (r["last_generation"], r["last_model"]) for r in lineage.chain_ends(m).collect()}
+    everyone = lineage.ancestry(m)
+    for start, (generation, last) in ends.items():
+        seen = walk(everyone, start)
+        assert (len(seen) - 1, seen[-1]) == (generation, last)
+    assert set(ends) == {n for n, _ in EDGES}
+
+
 def test_register_attach_and_build(spark, memories, tmp_path):
     root = str(tmp_path / "reg")
     rows = memories(memory("m", f"Guide\n\n## One\n\n{LONG}"))
