@@ -78,3 +78,14 @@ def contains_any(c: Column, words: list[str] | tuple[str, ...]) -> Column:
     for w in words:
         hit = hit | c.contains(w)
     return hit
+
+
+def strict_json(text: Column) -> Column:
+    """The value of a JSON text, NULL unless the text is one value and nothing else.
+
+    A parser stops at the end of the first value. Inside an object no text after the
+    value passes but one that closes the object early, and inside an array that fails.
+    """
+    held = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(held.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))

@@ -91,7 +91,7 @@ def decode(lines: DataFrame, line: str = "line") -> DataFrame:
     Blank lines are dropped. All other columns stay.
     """
     parsed = lines.where(t.not_blank(F.col(line))).withColumn(
-        "_v", F.try_parse_json(F.col(line))
+        "_v", t.strict_json(F.col(line))
     )
     shaped = parsed.withColumn(
         "_role",

@@ -140,33 +140,64 @@ def check_registrations(
 ) -> DataFrame:
     """Candidate models with the hash their sidecar gives, or why they are refused.
 
-    ``refusal`` is NULL for acceptable rows. Within a batch the first candidate
-    of a name, by ``order``, is the one considered.
+    ``refusal`` is NULL for acceptable rows. The batch is judged as if its candidates
+    came one by one in ``order``: of a name the first that passes is accepted, and what
+    is accepted can be the parent of what comes later. A round lets children of accepted
+    models in, so there are as many rounds as generations in the batch.
     """
     meta = dataset_meta.select(
         F.col("name").alias("dataset_name"), F.col("sha256").alias("dataset_sha256")
     )
     names = models.select(F.col("name"), F.lit(True).alias("_taken"))
     parents = models.select(F.col("name").alias("parent"), F.lit(True).alias("_has_parent"))
-    firsts = candidates.groupBy("name").agg(F.min(order).alias("_first"))
-    return (
+    own = F.when(ds.invalid_name(F.col("name")), "invalid_name").when(
+        F.col("dataset_name").isNotNull() & F.col("dataset_sha256").isNull(), "dataset_missing"
+    )
+    known = F.col("parent").isNull() | F.col("_has_parent").isNotNull()
+    judged = materialize(
         candidates.join(meta, "dataset_name", "left")
         .join(parents, "parent", "left")
         .join(names, "name", "left")
-        .join(firsts, "name")
+        .select(
+            *[c for c in candidates.columns],
+            "dataset_sha256",
+            own.alias("_own"),
+            known.alias("_known"),
+            F.col("_taken").isNotNull().alias("_taken"),
+        ),
+        "candidates",
+    )
+
+    def with_parents(accepted: DataFrame | None) -> DataFrame:
+        if accepted is None:
+            return judged.withColumn("_parent_ok", F.col("_known"))
+        earlier = accepted.select(F.col("name").alias("parent"), F.col("_first").alias("_parent_at"))
+        later = F.coalesce(F.col("_parent_at") < F.col(order), F.lit(False))
+        return (
+            judged.join(earlier, "parent", "left")
+            .withColumn("_parent_ok", F.col("_known") | later)
+            .drop("_parent_at")
+        )
+
+    accepted, mark = None, None
+    while True:
+        passing = with_parents(accepted).where("_own IS NULL AND _parent_ok AND NOT _taken")
+        accepted = materialize(passing.groupBy("name").agg(F.min(order).alias("_first")), "accepted")
+        now = tuple(accepted.agg(F.count(F.lit(1)), F.sum(F.xxhash64("name", "_first").cast("decimal(20,0)"))).first())
+        if now == mark:
+            break
+        mark = now
+    first = F.coalesce(F.col("_first") == F.col(order), F.lit(False))
+    return (
+        with_parents(accepted)
+        .join(accepted, "name", "left")
         .withColumn(
             "refusal",
-            F.when(ds.invalid_name(F.col("name")), "invalid_name")
-            .when(
-                F.col("dataset_name").isNotNull() & F.col("dataset_sha256").isNull(),
-                "dataset_missing",
-            )
-            .when(
-                F.col("parent").isNotNull() & F.col("_has_parent").isNull(), "parent_missing"
-            )
-            .when(F.col("_taken") | (F.col(order) != F.col("_first")), "already_exists"),
+            F.when(F.col("_own").isNotNull(), F.col("_own"))
+            .when(~F.col("_parent_ok"), "parent_missing")
+            .when(~first, "already_exists"),
         )
-        .drop("_taken", "_has_parent", "_first")
+        .drop("_own", "_known", "_taken", "_parent_ok", "_first")
     )
 
 

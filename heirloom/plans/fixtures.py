@@ -185,6 +185,8 @@ def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(
             (c % 23 == 4) & (n == 2), F.lit('{"role":"user","content":[{"type":"text"}]}')
         )
+        .when((c % 23 == 5) & (n == 2), F.lit('{"role":"user","content":[]} junk'))
+        .when((c % 23 == 6) & (n == 2), F.lit('{"role":"user","content":[]}} {"role":"user"}'))
         .otherwise(
             F.concat(
                 F.lit('{"role":"'),

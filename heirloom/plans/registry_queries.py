@@ -528,12 +528,15 @@ def lineage_event(spark: SparkSession, sf: str) -> DataFrame:
    ELSE concat('m', o_orderkey // 4) END AS name, CASE WHEN o_orderkey % 3 <> 0
    THEN concat('ds', o_orderkey % 130) END AS ds, CASE WHEN o_orderkey % 5 = 0 THEN NULL
    WHEN o_orderkey % 7 = 0 THEN 'lost' ELSE CAST(o_custkey AS VARCHAR) END AS parent FROM orders),
-  x AS (SELECT cd.*, me.sha, min(ord) OVER (PARTITION BY cd.name) AS f FROM cd
-   LEFT JOIN me ON me.name = cd.ds)
+  y AS (SELECT cd.*, me.sha, name_of.name IS NOT NULL AS taken, cd.name NOT LIKE '%/%'
+   AND (ds IS NULL OR sha IS NOT NULL) AND (cd.parent IS NULL OR known.name IS NOT NULL) AS sound
+   FROM cd LEFT JOIN me ON me.name = cd.ds LEFT JOIN mo name_of ON name_of.name = cd.name
+   LEFT JOIN mo known ON known.name = cd.parent),
+  x AS (SELECT *, min(CASE WHEN sound AND NOT taken THEN ord END) OVER (PARTITION BY name) AS f FROM y)
   SELECT ord, name, sha AS dataset_sha256, CASE WHEN name LIKE '%/%' THEN 'invalid_name'
    WHEN ds IS NOT NULL AND sha IS NULL THEN 'dataset_missing'
    WHEN parent IS NOT NULL AND parent NOT IN (SELECT name FROM mo) THEN 'parent_missing'
-   WHEN name IN (SELECT name FROM mo) OR ord <> f THEN 'already_exists' END AS refusal FROM x""",
+   WHEN taken OR ord <> f THEN 'already_exists' END AS refusal FROM x""",
 )
 def register_model(spark: SparkSession, sf: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")

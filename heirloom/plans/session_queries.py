@@ -26,7 +26,7 @@ SID = (
 )
 MSGS = f"""msgs AS (
  SELECT conv_id, CAST({SID} AS VARCHAR) AS session_id, turn, role,
-  role <> 'system' AND NOT (conv_id % 23 = 4 AND turn = 2) AS valid,
+  role <> 'system' AND NOT (conv_id % 23 IN (4, 5, 6) AND turn = 2) AS valid,
   conv_id = 0 OR conv_id % 100 = 98 AS skipped,
   CASE WHEN role = 'user' AND NOT (conv_id % 4 = 1 AND turn % 4 = 2)
         AND NOT (turn = 0 AND (conv_id % 11 = 5 OR conv_id % 13 = 6))

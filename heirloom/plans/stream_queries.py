@@ -20,25 +20,22 @@ from heirloom.streaming import rounds as round_stream
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _landing(df: DataFrame, label: str, key: str, files: int = 4) -> str:
-    """Rows as arriving files, in the order of ``key``."""
+def _landing(df: DataFrame, label: str) -> str:
+    """Rows as arriving files, dealt as the input is."""
     path = scratch_path(df.sparkSession, label)
-    df.repartitionByRange(files, key).write.parquet(path)
+    df.write.parquet(path)
     return path
 
 
-def _landing_in_order(df: DataFrame, label: str, key: str, bounds: tuple[int, ...]) -> str:
-    """Rows arriving in the order of ``key``: one write per stretch, one after another."""
-    path = scratch_path(df.sparkSession, label)
-    edges = [None, *bounds, None]
-    for low, high in zip(edges, edges[1:]):
-        part = df if low is None else df.where(F.col(key) >= low)
-        part = part if high is None else part.where(F.col(key) < high)
-        part.coalesce(1).write.mode("append").parquet(path)
+def _landing_in_order(parts: list[DataFrame], label: str, key: str) -> str:
+    """Parts that arrive one after another; rows of one ``key`` stay together in each."""
+    path = scratch_path(parts[0].sparkSession, label)
+    for part in parts:
+        part.repartition(key).write.mode("append").parquet(path)
     return path
 
 
-def _stream(spark: SparkSession, path: str, files_per_batch: int = 2) -> DataFrame:
+def _stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
@@ -57,7 +54,7 @@ def stream_job_fold(spark: SparkSession, sf: str) -> DataFrame:
         fx.event_status().alias("status"),
     )
     out = scratch_path(spark, "jobs")
-    folded = job_stream.fold_stream(_stream(spark, _landing(log, "log", "seq")))
+    folded = job_stream.fold_stream(_stream(spark, _landing(log, "log")))
     job_stream.write_updates(folded, out, scratch_path(spark, "ckpt")).awaitTermination()
     state = job_stream.current(spark.read.parquet(out))
     return state.select("id", "seq", jobs.map_status(F.col("status")).alias("phase"))
@@ -70,7 +67,7 @@ def stream_job_fold(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "gated")
-    arriving = _stream(spark, _landing(fx.memories(spark, sf), "memories", "src_ord"))
+    arriving = _stream(spark, _landing(fx.memories(spark, sf), "memories"))
     gate_stream.write_gated(arriving, out, scratch_path(spark, "ckpt")).awaitTermination()
     return spark.read.parquet(out).groupBy("route", "verdict").agg(F.count("*").alias("n"))
 
@@ -79,13 +76,21 @@ def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
     "str3_stream_rounds",
     f"""{TURNS}, x AS (SELECT session_id, turn_index, min(turn) AS first_seq, count(*) AS messages
    FROM tn GROUP BY session_id, turn_index)
-  SELECT session_id, turn_index, first_seq, messages FROM x
-  WHERE turn_index < (SELECT max(y.turn_index) FROM x y WHERE y.session_id = x.session_id)""",
+  SELECT session_id, turn_index, first_seq, messages FROM x""",
 )
 def stream_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Rounds closed by the next one; the last of each session stays open."""
-    lines = fx.readable_lines(spark, sf).withColumn("seq", F.col("pos"))
-    arriving = _stream(spark, _landing_in_order(lines, "lines", "seq", (2, 4, 6)), 1)
+    """Rounds closed by the next one, the last by the end of the session.
+
+    The first messages of all sessions arrive before the later ones, and the marks of
+    complete sessions last.
+    """
+    lines = fx.readable_lines(spark, sf).select("session_id", F.col("pos").alias("seq"), "line")
+    lines = lines.withColumn("ends", F.lit(False))
+    ends = lines.groupBy("session_id").agg((F.max("seq") + 1).alias("seq")).select(
+        "session_id", "seq", F.lit('{"role":"user","content":[]}').alias("line"), F.lit(True).alias("ends")
+    )
+    parts = [lines.where("seq < 2"), lines.where("seq BETWEEN 2 AND 5"), lines.where("seq > 5"), ends]
+    arriving = _stream(spark, _landing_in_order(parts, "lines", "session_id"))
     out = scratch_path(spark, "closed")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

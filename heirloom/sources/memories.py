@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heirloom.config import MEMORY_TYPES
+from heirloom.functions.text import strict_json
 from heirloom.schemas import MEMORY_EXPORT, STRINGS
 
 DEFAULT_SALIENCE = 0.5
@@ -33,14 +34,14 @@ def read_memory_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Memories from files that each hold one JSON array.
 
     A record without id, content or a known type makes the read fail, as does a
-    file that is not JSON. Adds ``file_path``.
+    file that is not JSON. Adds ``file_path`` and ``src_ord``, the order of the source.
     """
     raw = (
         spark.read.schema(MEMORY_EXPORT)
         .option("multiLine", True)
         .option("mode", "FAILFAST")
         .json(path)
-        .select("*", F.col("_metadata.file_path").alias("file_path"))
+        .select("*", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("src_ord"))
     )
     return with_defaults(_require_export_fields(raw))
 
@@ -51,7 +52,7 @@ def read_memory_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
         spark.read.schema(MEMORY_EXPORT)
         .option("mode", "FAILFAST")
         .json(path)
-        .select("*", F.col("_metadata.file_path").alias("file_path"))
+        .select("*", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("src_ord"))
     )
     return with_defaults(_require_export_fields(raw))
 
@@ -62,22 +63,19 @@ def _require_export_fields(raw: DataFrame) -> DataFrame:
         & F.col("content").isNotNull()
         & F.col("memory_type").isin(*MEMORY_TYPES)
     )
-    checked = F.when(
-        F.coalesce(valid, F.lit(False)), F.col("id")
-    ).otherwise(
-        F.raise_error(
-            F.concat(F.lit("not a memory record: id "), F.coalesce("id", F.lit("missing")))
-        )
+    refused = F.raise_error(
+        F.concat(F.lit("not a memory record: id "), F.coalesce("id", F.lit("missing")))
     )
-    return raw.withColumn("id", checked)
+    # A filter, so that no selection of columns can do without it.
+    return raw.where(F.when(F.coalesce(valid, F.lit(False)), F.lit(True)).otherwise(refused.cast("boolean")))
 
 
 def parse_tags(raw: Column) -> Column:
-    """Tags from a JSON array string; anything else gives no tags."""
-    parsed = F.from_json(raw, STRINGS)
-    strict = F.when(F.exists(parsed, lambda x: x.isNull()), None).otherwise(parsed)
+    """Tags from the text of a JSON array of strings; anything else gives no tags."""
+    members = F.try_variant_get(strict_json(raw), "$", "array<variant>")
+    strings = F.forall(members, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
     return F.coalesce(
-        F.when(raw.rlike(r"(?s)^\s*\[.*\]\s*\z"), strict), F.array().cast(STRINGS)
+        F.when(strings, F.transform(members, lambda x: x.try_cast("string"))), F.array().cast(STRINGS)
     )
 
 

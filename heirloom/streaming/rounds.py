@@ -38,6 +38,11 @@ class RoundCloser(StatefulProcessor):
             if r.opens and count:
                 yield ClosedRound(key[0], turn, first, count, "next_round")
                 turn, first, count = turn + 1, None, 0
+            if r.ends:
+                if count:
+                    yield ClosedRound(key[0], turn, first, count, "end")
+                turn, first, count = turn + 1, None, 0
+                continue
             first = r.seq if first is None else first
             count += 1
         self.open.update((turn, first, count))
@@ -62,6 +67,9 @@ class RoundCloser(StatefulProcessor):
 def close_rounds(messages: DataFrame, timeout_ms: int = 0) -> DataFrame:
     """Closed rounds from a stream of decoded messages with ``session_id, seq, role, blocks``.
 
+    A row whose column ``ends`` is true says that its session is complete; it closes the
+    round that is open and counts as no message.
+
     Messages of a session have to arrive in order across batches, as they do when
     its file is shipped piece by piece; inside a batch any order will do.
 
@@ -73,7 +81,10 @@ def close_rounds(messages: DataFrame, timeout_ms: int = 0) -> DataFrame:
     # Ship the processor itself: executors need not have this package installed.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     narrow = messages.where(F.col("role").isNotNull()).select(
-        "session_id", "seq", starts_round(F.col("role"), F.col("blocks")).alias("opens")
+        "session_id",
+        "seq",
+        starts_round(F.col("role"), F.col("blocks")).alias("opens"),
+        (F.coalesce("ends", F.lit(False)) if "ends" in messages.columns else F.lit(False)).alias("ends"),
     )
     return narrow.groupBy("session_id").transformWithState(
         statefulProcessor=RoundCloser(timeout_ms),

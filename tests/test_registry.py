@@ -110,3 +110,18 @@ def test_event_names_the_hash_only_when_both_are_known(spark):
     assert rows[1]["content"].endswith("\ndataset: d (h)")
     assert rows[1]["tags"] == ["nursery", "nursery:trained", "model:m", "dataset:d"]
     assert rows[2]["tags"] == ["nursery", "nursery:trained", "model:m"]
+
+
+def test_a_batch_is_judged_one_by_one(spark, models):
+    rows = [
+        (1, "m1", "lost", None), (2, "m1", None, None), (3, "m1", None, None), (4, "m2", None, "m1"),
+        (5, "m3", None, "m2"), (0, "early", None, "m1"), (6, "m4", None, "nobody"), (7, "a", None, None),
+        (8, "x/y", None, None), (9, "early", None, "m3"),
+    ]
+    batch = spark.createDataFrame(rows, "ord INT, name STRING, dataset_name STRING, parent STRING")
+    meta = spark.createDataFrame([("known", "sha")], "name STRING, sha256 STRING")
+    got = registry.check_registrations(batch, models(("a", None)), meta, "ord").collect()
+    assert {r["ord"]: r["refusal"] for r in got} == {
+        0: "parent_missing", 1: "dataset_missing", 2: None, 3: "already_exists", 4: None, 5: None,
+        6: "parent_missing", 7: "already_exists", 8: "invalid_name", 9: None,
+    }

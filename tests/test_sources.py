@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from heirloom.schemas import MEMORY_SNAPSHOT
 from heirloom.sources import memories as src
@@ -54,3 +55,25 @@ def test_union_and_source_choice(spark):
     for given in ({}, {"export": "x", "sessions": "y"}):
         with pytest.raises(ValueError):
             src.choose_source(**given)
+
+
+def test_tags_are_strings_and_nothing_follows_them(spark):
+    texts = ['["a","b"]', '[1,"a"]', '["a"] ["b"]', '["a"]] x', "[]", "a", None, ' ["c"] ', '[["a"]]', '{"a":1}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, tags STRING")
+    got = [r["t"] for r in df.select("i", src.parse_tags(F.col("tags")).alias("t")).orderBy("i").collect()]
+    assert got == [["a", "b"], [], [], [], [], [], [], ["c"], [], []]
+
+
+def test_an_export_goes_straight_into_conversion(spark, tmp_path):
+    from conftest import LONG
+
+    from heirloom.operators import convert
+
+    records = [{"id": f"m{i}", "content": f"Guide {i}\n\n## One\n\n{LONG}", "memory_type": "procedural"} for i in (3, 1, 2)]
+    path = tmp_path / "export.json"
+    path.write_text(json.dumps(records))
+    outcomes = convert.convert(src.read_memory_export(spark, str(path)))
+    assert [r["memory_id"] for r in outcomes.orderBy("src_ord").collect()] == ["m3", "m1", "m2"]
+    path.write_text('[{"content":"x","memory_type":"nonsense"}]')
+    with pytest.raises(Exception, match="not a memory record"):
+        src.read_memory_export(spark, str(path)).groupBy("memory_type").count().collect()
