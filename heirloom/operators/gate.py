@@ -134,9 +134,7 @@ def ledger(verdicts: DataFrame, column: str = "verdict") -> DataFrame:
 def full_ledger(verdicts: DataFrame, column: str = "verdict") -> DataFrame:
     """Rows per rejection reason, with zeros for reasons that did not occur."""
     counts = verdicts.groupBy(F.col(column).alias("reason")).agg(F.count("*").alias("n"))
-    # The reason list is a constant of fifteen rows.
-    reasons = F.broadcast(rejection_reasons(verdicts.sparkSession))
     return (
-        counts.join(reasons, "reason", "right")
+        rejection_reasons(verdicts.sparkSession).join(counts, "reason", "left")
         .select("reason", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     )

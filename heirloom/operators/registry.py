@@ -230,6 +230,26 @@ def register_model(
     return record
 
 
+def bind_upload(
+    spark: SparkSession, root: str, file_id: str, dataset_name: str, projected: str
+) -> DataFrame:
+    """Append which dataset an uploaded file holds, with the hash of what was projected."""
+    row = ds.read_meta(spark, f"{root}/datasets", dataset_name).first()
+    digest = ds.stored_digest(spark, projected).first()["sha256"]
+    record = spark.createDataFrame(
+        [(file_id, (row["name"], row["sha256"]), digest)],
+        "file_id STRING, dataset STRUCT<name: STRING, sha256: STRING>, projected_sha256 STRING",
+    ).withColumn("uploaded_at", F.current_timestamp())
+    record.write.mode("append").parquet(f"{root}/uploads")
+    return record
+
+
+def append_events(events: DataFrame, root: str, column: str = "event") -> None:
+    """Append lineage events (see ``lineage_event``) to the events of a registry."""
+    stamped = events.select(f"{column}.*").withColumn("recorded_at", F.current_timestamp())
+    stamped.write.mode("append").parquet(f"{root}/events")
+
+
 def latest_versions(versions: DataFrame, key: str = "id") -> DataFrame:
     """The last version of each record. Reduced per task before the shuffle."""
     return (
@@ -273,8 +293,10 @@ def attach(
     current = apprentices(spark, root).where(F.col("id") == apprentice)
     if current.isEmpty():
         raise RecordNotFound(f"no apprentice {apprentice!r}")
+    # Later than the last version whatever the clock says, so no change is lost to a tie.
+    last = F.lit(current.first()["version"]).cast("timestamp")
     changes = spark.createDataFrame([(apprentice, value)], "id STRING, value STRING").withColumn(
-        "version", F.current_timestamp()
+        "version", F.greatest(F.current_timestamp(), last + F.expr("INTERVAL '0.000001' SECOND"))
     )
     updated = append_version(current, changes, column).select(*current.columns)
     updated.write.mode("append").parquet(f"{root}/apprentices")

@@ -90,12 +90,20 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def export_provider(spark: SparkSession, dataset: str, out: str) -> None:
     """Check a stored dataset and write its projection in the same order."""
     lines = numbered_lines(spark, dataset)
-    first = violations(lines).agg(
-        F.min_by(F.struct("line_no", "reason"), "line_no").alias("v")
-    ).first()["v"]
-    if first is not None:
-        raise InvalidDataset(f"line {first['line_no']}: {first['reason']}")
-    if lines.where(t.not_blank(F.col("line"))).isEmpty():
+    # One pass says whether anything is wrong and whether there is anything at all.
+    reason = violation(F.col("example"))
+    seen = (
+        parsed_lines(lines)
+        .select("line_no", reason.alias("reason"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.when(F.col("reason").isNotNull(), F.struct("line_no", "reason"))).alias("v"),
+        )
+        .first()
+    )
+    if seen["v"] is not None:
+        raise InvalidDataset(f"line {seen['v']['line_no']}: {seen['v']['reason']}")
+    if seen["n"] == 0:
         raise InvalidDataset("dataset is empty — nothing to upload")
     (
         project(lines)

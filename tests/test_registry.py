@@ -93,6 +93,15 @@ def test_register_attach_and_build(spark, memories, tmp_path):
         registry.attach(spark, root, "app", "model", "v9", table.select("name"))
     after = registry.attach(spark, root, "app", "model", "v2", table.select("name")).first()
     assert after["model"] == "v2" and after["job_id"] is None
+    again = registry.attach(spark, root, "app", "model", "v1", table.select("name")).first()
+    assert again["model"] == "v1" and again["version"] > after["version"]
+    registry.attach(spark, root, "app", "model", "v2", table.select("name"))
+    bound = registry.bind_upload(spark, root, "file-1", "set", ds.data_path(f"{root}/datasets", "set")).first()
+    assert bound["dataset"]["sha256"] == bound["projected_sha256"] == sha
+    lit = F.lit
+    event = registry.lineage_event(lit("trained"), F.col("name"), lit("set"), lit(sha), lit("t"), lit("a"), lit("ok"))
+    registry.append_events(table.select(event.alias("event")), root)
+    assert spark.read.parquet(f"{root}/events").count() == table.count()
     meta = ds.list_datasets(spark, f"{root}/datasets")
     steps = registry.resolve_lineage(table, meta, registry.apprentices(spark, root), "app")
     flags = {r["model"]: (r["dataset_examples"], r["dataset_missing"]) for r in steps.collect()}
