@@ -1,0 +1,28 @@
+"""The registered queries on the smallest tables: against their SQL where there is one."""
+
+from pathlib import Path
+
+import pytest
+from compare import compare, connect
+
+from heirloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF)
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_query(spark, con, name):
+    sql = queries.oracle_sql().get(name)
+    verdict, _, rows, detail = compare(spark, con, name, queries.queries()[name], sql, SF)
+    assert verdict == ("ok" if sql else "rows-only"), detail
+    assert rows == con.execute(f"SELECT count(*) FROM {'pages' if name[2:4] in ('9_', '10') else 'documents'}").fetchone()[0]
