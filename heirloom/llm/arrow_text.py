@@ -47,7 +47,8 @@ def with_results(
     way to it. Rows stay where they are, so documents need not be joined to their results.
     """
     keep = [c for c in keep if c not in {r.name for r in results}]
-    rows = docs.select(*keep, *[c.alias(f"in_{name}") for name, c in inputs.items()])
+    kept = [docs[f"`{c}`"] for c in keep]
+    rows = docs.select(*kept, *[c.alias(f"llm_in_{name}") for name, c in inputs.items()])
     names = [*keep, *[r.name for r in results]]
     at = {name: len(keep) + i for i, name in enumerate(inputs)}
 

@@ -254,7 +254,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, as they came."""
     bad = contamination(docs, items).filter("contaminated").select(
-        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")
+        F.col("doc_id").alias("llm_id"), F.col("text_hash").alias("llm_hash")
     )
-    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("llm_id")) & (F.xxhash64("text") == F.col("llm_hash"))
     return docs.join(bad, same, "left_anti")

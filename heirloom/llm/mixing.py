@@ -166,13 +166,13 @@ def thresholds(docs: DataFrame, config: MixConfig | None = None) -> DataFrame:
 
 def copies(docs: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds size, source_size, target, copies and taken to rows with size and place."""
-    limits = limits.withColumnRenamed("source", "mix_source")
+    limits = limits.withColumnRenamed("source", "llm_source")
     more = (F.col("place") < F.col("below")).cast("long")
     return (
-        docs.join(limits, F.col("source").eqNullSafe(F.col("mix_source")), "left")
+        docs.join(limits, F.col("source").eqNullSafe(F.col("llm_source")), "left")
         .withColumn("copies", F.col("full") + more)
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("mix_source", "full", "below")
+        .drop("llm_source", "full", "below")
     )
 
 
@@ -189,13 +189,13 @@ def mix(docs: DataFrame, config: MixConfig | None = None) -> DataFrame:
     """
     limits = thresholds(materialize(sized(docs), "mix-sized"), config)
     limits = limits.select(
-        F.col("source").alias("mix_source"), F.col("full").alias("mix_full"), F.col("below").alias("mix_below")
+        F.col("source").alias("llm_source"), F.col("full").alias("llm_full"), F.col("below").alias("llm_below")
     )
     size = n_words(F.col("text"))
-    count = F.col("mix_full") + (place(F.col("doc_id"), size) < F.col("mix_below")).cast("long")
+    count = F.col("llm_full") + (place(F.col("doc_id"), size) < F.col("llm_below")).cast("long")
     kept = [c for c in docs.columns if c != "copies"]
     return (
-        docs.join(limits, F.col("source").eqNullSafe(F.col("mix_source")), "left")
+        docs.join(limits, F.col("source").eqNullSafe(F.col("llm_source")), "left")
         .select(*kept, count.alias("copies"))
         .filter("copies > 0")
     )

@@ -387,8 +387,8 @@ def distinct_documents(docs: DataFrame, width: int = SHINGLE, radius: int = RADI
     """
     found = materialize(near_duplicates(docs, width, radius), "simhash-found")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    key = [F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")]
-    same = docs["doc_id"].eqNullSafe(F.col("of_id")) & (F.xxhash64(docs["text"]) == F.col("of_hash"))
+    key = [F.col("doc_id").alias("llm_id"), F.col("text_hash").alias("llm_hash")]
+    same = F.col("doc_id").eqNullSafe(F.col("llm_id")) & (F.xxhash64("text") == F.col("llm_hash"))
     kept = docs.join(found.filter(~stays).select(*key).distinct(), same, "left_anti")
     repeats = found.filter(stays).groupBy(*key).count().filter("count > 1").drop("count")
     repeats = materialize(repeats, "simhash-repeats")
