@@ -34,7 +34,12 @@ PHASE = """CASE WHEN status IN ('pending', 'queued') THEN 'submitted' WHEN statu
   'compressing', 'uploading') THEN 'running' WHEN status = 'cancel_requested' THEN 'cancelling'
   WHEN status = 'completed' THEN 'succeeded' WHEN status IN ('error', 'user_error') THEN 'failed'
   WHEN status = 'cancelled' THEN 'cancelled' ELSE 'unknown' END"""
-UE, ER = jobs.FAILURE_TEXT["user_error"], jobs.FAILURE_TEXT["error"]
+# The sentences, written out.
+UE = (
+    "upstream reported user_error — the request or dataset was rejected; "
+    "check the dataset format and the base model before resubmitting"
+)
+ER = "upstream reported error — the training run itself failed"
 POLLS = f"""po AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS observed_at,
   CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'user_error' ELSE {STATUS} END AS status,
   CASE event_id % 5 WHEN 0 THEN 'plain words' WHEN 1 THEN 'nested words' WHEN 2 THEN 'first' END

@@ -15,6 +15,15 @@ from heirloom.session import scratch_path
 from heirloom.sinks import dataset as ds
 from heirloom.sources import sessions as src
 
+# Fixed values, written out here so that a wrong pattern in the code does not agree with itself.
+SECRETS = (
+    ("sk_prefix", r"\bsk-(?:ant-|or-)?[A-Za-z0-9_-]{16,}"),
+    ("key_assignment", r"(?:TOGETHER_API_KEY|OPENAI_API_KEY|OAI_API_KEY|ANTHROPIC_API_KEY)\s*[=:]\s*\S+"),
+    ("bearer_hex", r"(?i:authorization)\s*:\s*(?i:bearer)\s+[0-9A-Fa-f]{40}"),
+    ("token_hex", r"(?i:token)\s*=\s*[\"']?[0-9A-Fa-f]{40}"),
+    ("pem_block", r"-----BEGIN [A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z ]*-----"),
+)
+
 CFG = HarvestConfig(max_tool_result_chars=300, open_prefixes=("qwen-open",), min_token_hex=40)
 
 # ------------------------------------------------------------- equivalents
@@ -58,7 +67,7 @@ TURNS = f"""WITH {MSGS}, {STAMPS},
  tn AS (SELECT *, sum(CASE WHEN opens AND rn > 1 THEN 1 ELSE 0 END)
    OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS turn_index FROM ok)"""
 _PATTERN = " OR ".join(
-    f"regexp_matches(scan, '{p}')".replace("\"'", "\"''") for _, p in secrets.secret_patterns(40)
+    f"regexp_matches(scan, '{p}')".replace("\"'", "\"''") for _, p in SECRETS
 )
 ROUNDS = f"""{TURNS},
  rd AS (SELECT tn.conv_id, tn.session_id, turn_index,
@@ -378,7 +387,7 @@ def empty_assistant(spark: SparkSession, sf: str) -> DataFrame:
 
 _NAMED = "CASE " + " ".join(
     f"WHEN regexp_matches(text, '{p}') THEN '{n}'".replace("\"'", "\"''")
-    for n, p in secrets.secret_patterns(40)
+    for n, p in SECRETS
 ) + " END"
 
 

@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
-from heirloom.functions.text import WHITE_SPACE
-from heirloom.operators.frame import BOOKKEEPING_TAGS
-from heirloom.operators.gate import DIRECT_ADDRESS, GREETING_OPENERS
+# Fixed values, written out here so that a wrong one in the code does not agree with itself.
+WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288)
+GREETING_OPENERS = (
+    "yo ",
+    "hey ",
+    "hi ",
+    "hello ",
+    "greetings",
+    "sup ",
+    "howdy",
+)
+DIRECT_ADDRESS = (
+    "can you hear me",
+    "are you there",
+    "how's it going",
+    "hows it going",
+    "how are you",
+    "testing 123",
+    "just checking in",
+    "first smoke test",
+)
+BOOKKEEPING_TAGS = (
+    "session-notes",
+    "session",
+    "notes",
+    "summary",
+    "completion-summary",
+    "status",
+    "update",
+    "wip",
+    "todo",
+    "misc",
+    "general",
+    "project-state",
+)
 
-WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITE_SPACE) + ")"
+WS = "concat(" + ", ".join(f"chr({c})" for c in WHITE_SPACE) + ")"
 NL = "chr(10)"
 
 
