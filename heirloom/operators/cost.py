@@ -62,11 +62,16 @@ def usd(nanodollars: Column) -> Column:
     return nanodollars.cast("double") / F.lit(1e9)
 
 
-def job_cost(jobs: DataFrame) -> DataFrame:
-    """Billed dollars by trainer and base model. Exact until the last division."""
+def job_cost(jobs: DataFrame, minimum: Column | None = None) -> DataFrame:
+    """Billed dollars by trainer and base model. Exact until the last division.
+
+    With ``minimum`` (see ``minimum_charge``) also how many jobs it holds for.
+    """
+    more = [] if minimum is None else [F.count_if(minimum).alias("minimum_charges")]
     return jobs.groupBy("trainer_agent", "base_model").agg(
         F.count("*").alias("jobs"),
         usd(F.sum("total_price_nanodollars")).alias("usd"),
+        *more,
     )
 
 

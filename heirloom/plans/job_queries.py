@@ -234,18 +234,9 @@ def downloadable(spark: SparkSession, sf: str) -> DataFrame:
 def job_cost(spark: SparkSession, sf: str) -> DataFrame:
     current = fx.jobs(spark, sf)
     tokens = F.substring_index("dataset.name", "ds", -1).cast("int") % 50 * 1_000_000
-    flagged = current.groupBy("trainer_agent", "base_model").agg(
-        F.count_if(
-            cost.minimum_charge(
-                cost.usd(F.col("total_price_nanodollars")), tokens, F.lit(0.48)
-            )
-        ).alias("minimum_charges")
-    )
-    return (
-        cost.job_cost(current)
-        .join(flagged, ["trainer_agent", "base_model"])
-        .withColumn("usd", F.round("usd", 6))
-    )
+    bill = cost.usd(F.col("total_price_nanodollars"))
+    minimum = cost.minimum_charge(bill, tokens, F.lit(0.48))
+    return cost.job_cost(current, minimum).withColumn("usd", F.round("usd", 6))
 
 
 # -------------------------------------------------------------------- loss

@@ -13,7 +13,7 @@ from heirloom.operators import lineage as lin
 from heirloom.plans import fixtures as fx
 from heirloom.plans import sql as q
 from heirloom.plans.registry import query
-from heirloom.session import scratch_path
+from heirloom.session import materialize, scratch_path
 from heirloom.sources import memories as src
 
 # ---------------------------------------------------------------- sources
@@ -579,9 +579,7 @@ def unframeable_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Only bookkeeping tags are left for framing, so untitled text stays unframed."""
     rows = fx.memories(spark, sf)
     types = F.element_at("_framing_tags", 1).alias("memory_type")
-    hidden = rows.withColumn("_framing_tags", F.array("memory_type")).withColumn(
-        "tags", F.transform("tags", lambda g: g)
-    )
+    hidden = rows.withColumn("_framing_tags", F.array("memory_type"))
     out = convert.with_framed_chunks(
         chunk.with_chunks(
             gate.with_verdict(hidden).withColumn(
@@ -710,7 +708,8 @@ def stable_order(spark: SparkSession, sf: str) -> DataFrame:
     """Position of each example in the written dataset, from the written files."""
     from heirloom.sinks import dataset as ds
 
-    made = convert.examples(convert.convert(fx.memories(spark, sf)))
+    # Written first: a range sort samples its input and would convert everything twice.
+    made = convert.examples(materialize(convert.convert(fx.memories(spark, sf)), "outcomes"))
     path = scratch_path(spark, "ordered")
     ds.write_ordered_lines(made, F.to_json("example_key"), path)
     key = F.from_json("line", "src_ord BIGINT, ix BIGINT")
