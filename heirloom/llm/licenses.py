@@ -87,6 +87,28 @@ def _known(text: Column, border: str) -> Column:
     return F.filter(F.transform(F.split(text, border), identify), lambda x: x.isNotNull())
 
 
+def _matched(start: Column) -> Column:
+    """The rules in turn, each on what those before it left.
+
+    A mark stays where a rule took identifiers, so that what stood apart before and
+    after them does not become neighbours.
+    """
+    rules = F.array(
+        *[
+            F.struct(F.lit("".join(f"<{p}>" for p in parts)).alias("run"), F.lit(name).alias("name"))
+            for name, parts in RULES
+        ]
+    )
+
+    def apply(acc: Column, rule: Column) -> Column:
+        names = F.when(
+            F.contains(acc.rest, rule.run), F.array_union(acc.names, F.array(rule.getField("name")))
+        ).otherwise(acc.names)
+        return F.struct(F.replace(acc.rest, rule.run, F.lit("<>")).alias("rest"), names.alias("names"))
+
+    return F.aggregate(rules, start, apply)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentences (identifiers in order), licenses (in order of the rules) and
     leftover (identifiers that no rule takes) of every document."""
@@ -101,20 +123,14 @@ def scan(docs: DataFrame) -> DataFrame:
     more = F.size("paragraphs") > F.size("lines")
     rows = evaluated_once(rows.withColumn("found", F.when(more, F.col("paragraphs")).otherwise(F.col("lines"))), "found")
     tagged = F.array_join(F.transform("found", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
-    rows = rows.select("doc_id", F.array_join("found", ",").alias("sentences"), tagged.alias("rest"), none.alias("licenses"))
-    for name, parts in RULES:
-        run = "".join(f"<{p}>" for p in parts)
-        hit = F.contains("rest", F.lit(run))
-        rows = rows.select(
-            "doc_id",
-            "sentences",
-            # A mark stays, so that what stood apart does not become neighbours.
-            F.replace("rest", F.lit(run), F.lit("<>")).alias("rest"),
-            F.when(hit, F.array_union("licenses", F.array(F.lit(name)))).otherwise(F.col("licenses")).alias("licenses"),
-        )
-        if len(parts) > 1 or name == "CC-BY-SA-4.0":
-            rows = evaluated_once(rows, "rest", "licenses")
-    left = F.trim(F.regexp_replace(F.regexp_replace("rest", "<>", ""), "[<>]+", " "))
+    rows = rows.select("doc_id", F.array_join("found", ",").alias("sentences"), tagged.alias("tagged"))
+    start = F.struct(F.col("tagged").alias("rest"), none.alias("names"))
+    matched = F.when(F.col("tagged") == "", start).otherwise(_matched(start))
+    rows = evaluated_once(rows.withColumn("matched", matched), "matched")
+    left = F.trim(F.regexp_replace(F.regexp_replace("matched.rest", "<>", ""), "[<>]+", " "))
     return rows.select(
-        "doc_id", "sentences", F.array_join("licenses", ",").alias("licenses"), F.replace(left, F.lit(" "), F.lit(",")).alias("leftover")
+        "doc_id",
+        "sentences",
+        F.array_join("matched.names", ",").alias("licenses"),
+        F.replace(left, F.lit(" "), F.lit(",")).alias("leftover"),
     )
