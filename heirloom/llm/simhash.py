@@ -42,8 +42,8 @@ FAN = 64
 #: bits are sent to all tasks.
 BLOCK_ROWS = 1 << 18
 MOST_BLOCKS = 1 << 16
-#: Bytes of text worked on at once.
-PIECE = 1 << 21
+#: Bytes of text worked on at once; their shingles' bits take some hundred times as much.
+PIECE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
