@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirloom.llm import decontaminate, language, mixing, quality, simhash
+from heirloom.llm import copies, decontaminate, language, mixing, quality
 from heirloom.llm.queries import table, to_learn
 from heirloom.session import materialize
 
@@ -27,8 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    return simhash.distinct_documents(docs)
+    """Edited copies (five words, Jaccard 0.8) go; the smallest id of each group stays."""
+    return copies.distinct_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

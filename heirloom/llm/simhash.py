@@ -86,28 +86,32 @@ def _pack(votes: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > total[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
-def _short(raw: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of texts that are worked on together."""
+def _short_hashes(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of texts that are worked on together, and how many each text has."""
     body, start, stop, text, _ = _words(raw, offsets[:-1], offsets[1:])
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    if not len(start):
-        return out
-    count = np.bincount(text, minlength=len(out))
+    count = np.bincount(text, minlength=len(offsets) - 1)
     base = np.cumsum(count) - count
     here = np.arange(len(start))
     opens = here - base[text] <= np.maximum(count[text] - width, 0)
     last = np.minimum(here[opens] + width - 1, (base + count)[text[opens]] - 1)
-    hashes = _hashes(body, start[opens], stop[last])
-    total = np.bincount(text[opens], minlength=len(out))
+    return _hashes(body, start[opens], stop[last]), np.bincount(text[opens], minlength=len(count))
+
+
+def _short(raw: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of texts that are worked on together."""
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    hashes, total = _short_hashes(raw, offsets, width)
+    if not len(hashes):
+        return out
     with_words = np.flatnonzero(total)
     total = total[with_words]
     out[with_words] = _pack(_votes(hashes, np.cumsum(total) - total), total)
     return out
 
 
-def _long(raw: np.ndarray, width: int) -> np.uint64:
-    """The fingerprint of one long text, taken piece by piece; pieces share width - 1 words."""
-    votes, total, at, size = np.zeros((1, 64), np.int64), 0, 0, PIECE
+def _long_hashes(raw: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of one long text, piece by piece; pieces share width - 1 words."""
+    total, at, size = 0, 0, PIECE
     while at < len(raw):
         end = min(at + size, len(raw))
         piece = raw[at:end]
@@ -121,11 +125,19 @@ def _long(raw: np.ndarray, width: int) -> np.uint64:
         if len(start):
             last = np.minimum(np.arange(max(len(start) - width, 0) + 1) + width - 1, len(start) - 1)
             if len(start) >= width or not total:
-                votes += _votes(_hashes(body, start[: len(last)], stop[last]), np.zeros(1, np.int64))
+                yield _hashes(body, start[: len(last)], stop[last])
                 total += len(last)
         if end == len(raw):
             break
         at, size = at + int(begin[len(start) - width + 1]) if width > 1 else at + len(piece), PIECE
+
+
+def _long(raw: np.ndarray, width: int) -> np.uint64:
+    """The fingerprint of one long text."""
+    votes, total = np.zeros((1, 64), np.int64), 0
+    for hashes in _long_hashes(raw, width):
+        votes += _votes(hashes, np.zeros(1, np.int64))
+        total += len(hashes)
     return _pack(votes, np.array([total]))[0] if total else np.uint64(0)
 
 
@@ -367,25 +379,31 @@ def links(classes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return met.mapInArrow(_link_blocks(radius), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_hash, fp and component_id, the smallest id reachable over links, of every document."""
-    prints = materialize(fingerprints(docs, width), "simhash")
+def roots(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, least_id and root, a fingerprint of its component, of every fingerprint of ``prints``."""
     classes, count = materialize_counted(
         prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes"
     )
-    roots = components(links(classes, count, radius)).select(F.col("node").alias("fp"), "root")
-    grown = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    found = components(links(classes, count, radius)).select(F.col("node").alias("fp"), "root")
+    return classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, text_hash, fp and component_id, the smallest id reachable over links, of every document."""
+    prints = materialize(fingerprints(docs, width), "simhash")
+    grown = roots(prints, radius)
     least = grown.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialize(grown.join(least, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def distinct_documents(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents, as they came, without near duplicates: of each component the one that
-    has the smallest id stays. Of rows that repeat it, one stays; where no row of a
-    component has an id, one for each text does.
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents, as they came, of which each component's row with the smallest id stays.
+
+    ``found`` has doc_id, text_hash and component_id of every document. Of rows that repeat
+    the one that stays, one stays; where no row of a component has an id, one for each
+    text does.
     """
-    found = materialize(near_duplicates(docs, width, radius), "simhash-found")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     key = [F.col("doc_id").alias("llm_id"), F.col("text_hash").alias("llm_hash")]
     same = F.col("doc_id").eqNullSafe(F.col("llm_id")) & (F.xxhash64("text") == F.col("llm_hash"))
@@ -398,5 +416,10 @@ def distinct_documents(docs: DataFrame, width: int = SHINGLE, radius: int = RADI
     return kept.join(repeats, same, "left_anti").unionAll(once)
 
 
+def distinct_documents(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The documents, as they came, without near duplicates by fingerprint: see ``keep_least``."""
+    return keep_least(docs, materialize(near_duplicates(docs, width, radius), "simhash-found"))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
