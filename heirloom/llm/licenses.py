@@ -1,7 +1,7 @@
 """Licence scans by recognising sentences and matching their order against rules.
 
-A text is cut into sentences, by lines and by paragraphs (licence texts are often
-wrapped); a sentence is lower-cased and reduced to letters and digits and looked up
+A text is cut into sentences within paragraphs (licence texts are often wrapped), and a
+sentence that is not known into its lines; each is lower-cased and reduced to letters and digits and looked up
 among known licence sentences. The identifiers found, in order, are matched against
 rules from the most specific to the least; a rule takes the identifiers it matches, so
 each sentence counts for one licence. What no rule takes is reported.
@@ -73,18 +73,23 @@ RULES = (
 MARKS = r"(?i)licen[cs]e|copyright|permission|redistribut|free software|warrant|cc[^a-z0-9]+by"
 SPACE = r"[ \t\r\n\f]"
 STOPS = rf"[.!?;:]+{SPACE}+"
-BY_LINES = rf"{STOPS}|[\r\n]+"
 BY_PARAGRAPHS = rf"{STOPS}|\n{SPACE}*\n"
+LINES = r"[\r\n]+"
 
 
-def _known(text: Column, border: str) -> Column:
+def _known(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     names = F.create_map(*[F.lit(x) for name, said in SENTENCES.items() for x in (said, name)])
 
     def identify(part: Column) -> Column:
         return names[F.trim(F.regexp_replace(F.lower(part), "[^a-z0-9]+", " "))]
 
-    return F.filter(F.transform(F.split(text, border), identify), lambda x: x.isNotNull())
+    def found(part: Column) -> Column:
+        lines = F.filter(F.transform(F.split(part, LINES), identify), lambda x: x.isNotNull())
+        whole = identify(part)
+        return F.when(whole.isNotNull(), F.array(whole)).when(part.rlike(LINES), lines).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.split(text, BY_PARAGRAPHS), found))
 
 
 def _matched(start: Column) -> Column:
@@ -114,14 +119,8 @@ def scan(docs: DataFrame) -> DataFrame:
     leftover (identifiers that no rule takes) of every document."""
     marked = F.coalesce(F.col("text").rlike(MARKS), F.lit(False))
     none = F.array().cast("array<string>")
-    rows = docs.select(
-        "doc_id",
-        F.when(marked, _known(F.col("text"), BY_LINES)).otherwise(none).alias("lines"),
-        F.when(marked, _known(F.col("text"), BY_PARAGRAPHS)).otherwise(none).alias("paragraphs"),
-    )
-    rows = evaluated_once(rows, "lines", "paragraphs")
-    more = F.size("paragraphs") > F.size("lines")
-    rows = evaluated_once(rows.withColumn("found", F.when(more, F.col("paragraphs")).otherwise(F.col("lines"))), "found")
+    found = F.when(marked, _known(F.col("text"))).otherwise(none)
+    rows = evaluated_once(docs.select("doc_id", found.alias("found")), "found")
     tagged = F.array_join(F.transform("found", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     rows = rows.select("doc_id", F.array_join("found", ",").alias("sentences"), tagged.alias("tagged"))
     start = F.struct(F.col("tagged").alias("rest"), none.alias("names"))

@@ -47,3 +47,22 @@ to endorse or promote products derived from this software without specific prior
 def test_nulls_empty_texts_and_tables(spark):
     assert scanned(spark, None, "", "no notice", "licence") == [("", "", "")] * 4
     assert scanned(spark) == []
+
+
+def test_wrapped_texts_and_lines_in_one_document(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer.
+
+Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+"""
+    line = "some prose without a stop\nLicensed under CC BY-NC 4.0.\n"
+    got = scanned(spark, bsd + line, line + bsd, bsd + line * 3, "Licensed under the Apache License, Version 2.0\n(the License).")
+    assert [r[1:] for r in got[:3]] == [("BSD-2-Clause,CC-BY-NC-4.0", "")] * 3
+    assert got[0][0] == "bsd_use,bsd_source,bsd_binary,cc_by_nc_4"
+    assert got[1][0] == "cc_by_nc_4,bsd_use,bsd_source,bsd_binary"
+    assert got[3] == ("apache2_the", "Apache-2.0", "")
