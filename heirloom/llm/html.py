@@ -3,7 +3,7 @@
 A page becomes a tree. Every paragraph gives points for its length and its commas to
 its ancestors (all to the parent, half to the grandparent, less above), and a container
 keeps the part of its points that is not link text. The container with most points is
-the article; siblings that score well or read like text are kept with it. Inside, what
+the article, or the ``<article>`` or ``<main>`` around it if there is one; siblings that score well or read like text are kept with it. Inside, what
 is a menu, notice, form, advert or reader comment by its tag, role or name, and blocks
 of mostly links, are left out.
 
@@ -248,7 +248,11 @@ def _chosen(nodes: list[Node]) -> list[Node]:
     if not held:
         return nodes[:1]
     best = max(held, key=lambda n: (_final(n), -n.at))
-    # A container whose text is nearly all of its parent's stands for the parent's choice.
+    # The best part of an article stands for the article, however long that part is.
+    above = best
+    while above is not None:
+        best = above if above.tag in ("article", "main") else best
+        above = above.parent
     if best.parent is None:
         return [best]
     least, kept = max(10.0, _final(best) * 0.2), []

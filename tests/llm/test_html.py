@@ -50,3 +50,21 @@ def test_pages_keep_their_rows(spark):
     got = sorted((tuple(r) for r in html.main_text(df).collect()), key=repr)
     assert got == sorted([(1, "u", PROSE), (None, None, ""), (1, "u", "")], key=repr)
     assert html.main_text(df.limit(0)).collect() == []
+
+
+def test_parts_of_an_article_stay_however_long_it_is():
+    for tag in ("article", "main"):
+        for times in (3, 200):
+            head = "<h1>Title</h1>" if tag == "main" else "<header><h1>Title</h1></header>"
+            got = html.extract(
+                page(
+                    f"<nav><a href=1>a</a></nav><{tag}>{head}bare text<p>Short.</p><div>"
+                    + f"<p>{PROSE}</p>" * times
+                    + "</div><section><h4>More</h4><p>Brief.</p></section><dl><dt>a<dd>b</dl>"
+                    "<figure><img><figcaption>Caption</figcaption></figure>"
+                    f"<ul><li><a href=2>linked</a></ul></{tag}><footer>all</footer>"
+                )
+            )
+            assert got == "\n".join(
+                ["Title", "bare text", "Short.", *[PROSE] * times, "More", "Brief.", "a", "b", "Caption"]
+            )
