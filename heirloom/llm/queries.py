@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirloom.llm import decontaminate, fingerprints, html, language, licenses, mixing, quality, simhash, toxicity, warc
+from heirloom.llm import alignment, decontaminate, fingerprints, html, language, licenses, mixing, pieces, quality
+from heirloom.llm import simhash, toxicity, warc
 from heirloom.llm.sql import ORACLES
+from heirloom.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +92,35 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = alignment.load(tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    found = alignment.alignments(table(spark, sf_dir, "documents"), pair)
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    hashed = materialize(found.withColumn("groups_sha256", digest).drop("groups"), "alignments")
+    counted = alignment.with_pair_counts(hashed)
+    return counted.select(
+        *("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"),
+    )
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = pieces.load(tokenizer("piece_bpe_32k.model"))
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words), words)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
