@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirloom.llm import alignment, decontaminate, fingerprints, html, language, licenses, mixing, pieces, quality
-from heirloom.llm import simhash, toxicity, warc
+from heirloom.llm import repair, simhash, toxicity, warc
 from heirloom.llm.sql import ORACLES
 from heirloom.session import materialize
 
@@ -110,6 +110,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = pieces.load(tokenizer("piece_bpe_32k.model"))
     found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words), words)
