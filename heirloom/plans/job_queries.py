@@ -11,7 +11,7 @@ from heirloom.plans.registry import query
 from heirloom.session import scratch_path
 from heirloom.sinks.dataset import dataset_lines
 from heirloom.sources import jobs as src
-from heirloom.sources.lines import most_splits, placed, read_lines
+from heirloom.sources.lines import placed, read_lines
 
 SNAPS = """sn AS (SELECT event_id, event_id + 1 AS line_no, concat('j', user_id) AS id,
   user_id % 120 % 50 AS ft, CASE WHEN event_id % 6 <> 0 THEN concat('ft-', user_id % 50) END AS pid,
@@ -84,7 +84,7 @@ def line_number(spark: SparkSession, sf: str) -> DataFrame:
     docs.orderBy("doc_id").select("text").write.text(path)
     # Lines are numbered over all ordered parts; those of one file, as in a job log, alike.
     lines = read_lines(spark, path)
-    numbered = placed(lines, False, "place", most_splits(spark, path))
+    numbered = placed(lines, False, "place")
     return numbered.select(
         (F.col("place") + 1).alias("line_no"), F.length("value").cast("bigint").alias("n")
     )

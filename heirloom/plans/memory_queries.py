@@ -22,16 +22,17 @@ from heirloom.sources import memories as src
 @query(
     "src1_read_memory_export",
     f"""WITH {q.MEMORIES_RAW}
-SELECT id, length(content) AS chars, memory_type,
+SELECT row_number() OVER (ORDER BY file, src_ord DESC) - 1 AS src_ord, id, length(content) AS chars, memory_type,
   CASE WHEN src_ord % 5 = 0 THEN 0 ELSE len(tags) END AS n_tags,
   CASE WHEN src_ord % 7 <> 0 THEN agent_id END AS agent_id,
-  round(CAST(CAST(coalesce(salience_raw, 0.5) AS FLOAT) AS DOUBLE), 4) AS salience FROM raw""",
+  round(CAST(CAST(coalesce(salience_raw, 0.5) AS FLOAT) AS DOUBLE), 4) AS salience
+  FROM (SELECT *, 'x' || 1000 * (src_ord % 13 % 4 + src_ord % 2 + 2) AS file FROM raw)""",
 )
 def read_memory_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Write JSON array files with optional members left out, and read them back."""
+    """Write JSON array files of different sizes with optional members left out, and read them back in order."""
     path = scratch_path(spark, "export")
-    raw = fx.memories_raw(spark, sf)
     k = F.col("src_ord")
+    raw = fx.memories_raw(spark, sf)
     record = F.to_json(
         F.struct(
             "id",
@@ -42,16 +43,19 @@ def read_memory_export(spark: SparkSession, sf: str) -> DataFrame:
             F.col("salience_raw").alias("salience"),
         )
     )
-    (
-        raw.select(F.floor(k / 256).alias("part"), record.alias("r"))
-        .groupBy("part")
-        .agg(
-            F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value")
-        )
-        .write.partitionBy("part")
-        .text(path)
-    )
+    part = F.concat(F.lit("x"), 1000 * (k % 13 % 4 + k % 2 + 2)).alias("part")
+    # A file of one array per value of ``part``: the first record opens it and the last one closes it.
+    rows = raw.select(part, (-k).alias("at"), record.alias("r"))
+    ends = rows.groupBy("part").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    line = F.concat(
+        F.when(F.col("at") == F.col("lo"), "[").otherwise(""),
+        F.col("r"),
+        F.when(F.col("at") == F.col("hi"), "]").otherwise(","),
+    )
+    rows = rows.join(F.broadcast(ends), "part").select("part", "at", line.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").text(path)
     return src.read_memory_export(spark, path).select(
+        "src_ord",
         "id",
         F.length("content").cast("bigint").alias("chars"),
         "memory_type",
@@ -71,8 +75,8 @@ SNAPSHOT = f"""{q.MEMORIES_RAW}, snap AS (
 
 @query(
     "src2_read_memory_snapshot",
-    f"""WITH {SNAPSHOT} SELECT id, memory_type, len(tags) AS n_tags, agent_id,
-  round(CAST(salience AS DOUBLE), 4) AS salience FROM live
+    f"""WITH {SNAPSHOT} SELECT row_number() OVER (ORDER BY salience_raw DESC NULLS LAST, id) - 1 AS src_ord,
+  id, memory_type, len(tags) AS n_tags, agent_id, round(CAST(salience AS DOUBLE), 4) AS salience FROM live
   WHERE agent_id IN ('src3') AND len(list_filter(tags, lambda g: lower(g) IN ('en', 'a2a'))) > 0""",
 )
 def read_memory_snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,6 +84,7 @@ def read_memory_snapshot(spark: SparkSession, sf: str) -> DataFrame:
         fx.snapshot(spark, sf), src.SnapshotQuery(agent_id="src3", any_tags=("EN", "a2a"))
     )
     return rows.select(
+        "src_ord",
         "id",
         "memory_type",
         F.size("tags").cast("bigint").alias("n_tags"),
@@ -133,15 +138,16 @@ def top_per_store(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "set1_union_snapshots",
-    f"""WITH {SNAPSHOT} SELECT concat('a:', id) AS id, 0 AS store_ix FROM live
+    f"""WITH {SNAPSHOT}, u AS (SELECT concat('a:', id) AS id, 0 AS store_ix, salience_raw FROM live
   WHERE agent_id = 'src1' UNION ALL
-  SELECT concat('b:', id), 1 FROM live WHERE agent_id = 'src2' UNION ALL
-  SELECT concat('c:', id), 2 FROM live WHERE agent_id = 'src1'""",
+  SELECT concat('b:', id), 1, salience_raw FROM live WHERE agent_id = 'src2' UNION ALL
+  SELECT concat('c:', id), 2, salience_raw FROM live WHERE agent_id = 'src1')
+ SELECT id, store_ix, row_number() OVER (ORDER BY store_ix, salience_raw DESC NULLS LAST, id) - 1 AS src_ord FROM u""",
 )
 def union_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     table = fx.snapshot(spark, sf)
     stores = [("a", table), ("b", table), ("c", table)]
-    return src.union_snapshots(stores, ["src1", "src2", "src1"]).select("id", "store_ix")
+    return src.union_snapshots(stores, ["src1", "src2", "src1"]).select("id", "store_ix", "src_ord")
 
 
 @query("set2_exclusive_source", f"WITH {SNAPSHOT} SELECT count(*) AS n FROM live")

@@ -69,7 +69,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
 def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -79,6 +81,14 @@ def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return table, seen.get["n"]
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` whose readers are written: nothing that may have to be
+    computed again reads them any more."""
+    for table in tables:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def evaluated_once(df: DataFrame, *names: str) -> DataFrame:
     """Fix costly columns, so that filters on them do not compute them again.
 

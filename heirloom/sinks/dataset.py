@@ -12,7 +12,7 @@ from heirloom import __version__
 from heirloom.config import USED
 from heirloom.operators import examples as ex
 from heirloom.schemas import DATASET_META, EXAMPLE
-from heirloom.sources.lines import most_splits, placed, read_lines
+from heirloom.sources.lines import placed, read_lines
 
 # Fixed value: lines per leaf and leaves per branch of the digest tree.
 FANOUT = 65536
@@ -94,7 +94,7 @@ def _tree(hashed: DataFrame) -> DataFrame:
 
 def dataset_lines(spark: SparkSession, path: str) -> DataFrame:
     """Stored lines with their dense 0-based position across the ordered parts."""
-    numbered = placed(read_lines(spark, path), False, "position", most_splits(spark, path))
+    numbered = placed(read_lines(spark, path), False, "position")
     return numbered.select("position", F.col("value").alias("line"))
 
 
@@ -112,7 +112,7 @@ def stored_digest(spark: SparkSession, path: str) -> DataFrame:
         F.sha2(F.col("value").cast("binary"), 256).alias("_h"),
         (F.octet_length("value") + 1).alias("_bytes"),
     )
-    hashed = placed(lines, False, "_at", most_splits(spark, path))
+    hashed = placed(lines, False, "_at")
     cut = (
         hashed.groupBy("file_path")
         .agg(F.max("_at").alias("_at"), (F.sum("_bytes") != F.max("file_size")).alias("_cut"))

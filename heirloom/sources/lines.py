@@ -5,6 +5,10 @@ a session. Reading a file whole would give it, but puts a file into one row and
 one task. Here a large file is read in splits as usual; the order comes from the
 split offset and the position inside the split, and exact line numbers from
 adding up the line counts of earlier splits.
+
+Two scans of a file may cut it differently (the number of cores decides with), so
+counts of one scan don't hold for the rows of another: what is numbered is written
+once, and both counts and rows are read from there.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heirloom.session import materialize, materialize_counted
+
 BLOCK = ["file_path", "block_start"]
 
 
@@ -80,8 +86,8 @@ def running_total(
     )
 
 
-#: Up to so many splits their offsets are sent to all tasks; beyond, Spark joins by shuffle.
-FEW_SPLITS = 200_000
+#: Up to so many splits their offsets (16 bytes each) are sent to all tasks.
+FEW_SPLITS = 1 << 21
 
 
 def part_number(path: Column) -> Column:
@@ -90,34 +96,55 @@ def part_number(path: Column) -> Column:
     return F.when(number != "", number.cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
 
 
-def placed(lines: DataFrame, per_file: bool, out: str, splits: int | None = None) -> DataFrame:
-    """Add the dense 0-based place of each line, in its file or over all ordered parts.
+def placed(rows: DataFrame, per_file: bool, out: str, few: int = FEW_SPLITS) -> DataFrame:
+    """Write the rows of one scan and add the dense 0-based place of each, in its file or over all
+    ordered parts.
 
-    Only one count per split is added up. A line's place is its distance from the first
-    line of its split plus the lines of the splits before; where there are few splits
-    (see ``most_splits``) no line moves.
+    ``rows`` have ``file_path, block_start, row_pos`` and what else is needed of them. Only one
+    count per split is added up. A row's place is its distance from the first of its split plus
+    the rows of the splits before. So that no row moves, splits are known by a hash of eight
+    bytes while no two share it.
     """
-    counts = lines.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min("row_pos").alias("_low"))
+    split = F.xxhash64(*BLOCK)
+    rows = materialize(rows, "placed-rows")
+    counts = rows.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min("row_pos").alias("_low"))
     if per_file:
         along = W.partitionBy("file_path").orderBy("block_start")
     else:
         along = W.orderBy(part_number(F.col("file_path")), "file_path", "block_start")
     before = F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select(*BLOCK, (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_offset"))
-    if splits is not None and splits <= FEW_SPLITS:
-        offsets = F.broadcast(offsets)
-    return lines.join(offsets, BLOCK).withColumn(out, F.col("row_pos") + F.col("_offset")).drop("_offset")
-
+    offset = (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_offset")
+    offsets, count = materialize_counted(counts.select(*BLOCK, split.alias("_split"), offset), "placed-splits")
+    hashed = count <= few and offsets.select("_split").distinct().count() == count
+    if hashed:
+        small = F.broadcast(offsets.select("_split", "_offset"))
+        joined = rows.withColumn("_split", split).join(small, "_split").drop("_split")
+    else:
+        joined = rows.join(offsets.drop("_split"), BLOCK)
+    return joined.withColumn(out, F.col("row_pos") + F.col("_offset")).drop("_offset")
 
-def most_splits(spark: SparkSession, paths: str | list[str]) -> int:
-    """How many splits a scan can have at most, from the listing: one for each file and 4 MB."""
-    splits = F.sum(F.ceil(F.col("file_bytes") / (4 << 20)) + 1)
-    return file_inventory(spark, paths).agg(F.coalesce(splits, F.lit(0))).first()[0]
 
+def ranked(rows: DataFrame, order: list[Column], ties: list[Column], out: str) -> DataFrame:
+    """Write the rows in order and add the dense 0-based place of each.
 
-def with_line_numbers(lines: DataFrame, splits: int | None = None) -> DataFrame:
+    Rows are dealt by ranges of ``order`` and sorted there, rows that are equal in it by ``ties``
+    as well, and written once: ranges are found by sampling and need not be the same again.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, *ties)
+    held = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked-rows")
+    # The number grows along the ranges, with gaps from one to the next.
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = held.groupBy(part).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_offset"))
+    # A row for each task of one stage.
+    joined = held.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(out, F.col("_at") + F.col("_offset")).drop("_at", "_part", "_offset")
+
+
+def with_line_numbers(lines: DataFrame) -> DataFrame:
     """Add the 1-based physical line number; blank lines count."""
-    return placed(lines, True, "line_no", splits).withColumn("line_no", F.col("line_no") + 1)
+    return placed(lines, True, "line_no").withColumn("line_no", F.col("line_no") + 1)
 
 
 def file_inventory(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heirloom.config import MEMORY_TYPES
 from heirloom.functions.text import strict_json
 from heirloom.schemas import MEMORY_EXPORT, STRINGS
+from heirloom.sources.lines import placed, ranked
 
 DEFAULT_SALIENCE = 0.5
 MEMORY_COLUMNS = ["id", "content", "memory_type", "tags", "agent_id", "salience"]
@@ -34,27 +35,28 @@ def read_memory_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Memories from files that each hold one JSON array.
 
     A record without id, content or a known type makes the read fail, as does a
-    file that is not JSON. Adds ``file_path`` and ``src_ord``, the order of the source.
+    file that is not JSON. Adds ``file_path`` and ``src_ord``, the dense place of the
+    record: files in the order of their paths, records as they stand in a file. The
+    records are parsed and written once (see ``lines.placed``).
     """
-    raw = (
-        spark.read.schema(MEMORY_EXPORT)
-        .option("multiLine", True)
-        .option("mode", "FAILFAST")
-        .json(path)
-        .select("*", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("src_ord"))
-    )
-    return with_defaults(_require_export_fields(raw))
+    return _in_source_order(spark.read.option("multiLine", True), path)
 
 
 def read_memory_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The same records one per line: the splittable form for large exports."""
-    raw = (
-        spark.read.schema(MEMORY_EXPORT)
-        .option("mode", "FAILFAST")
-        .json(path)
-        .select("*", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("src_ord"))
+    return _in_source_order(spark.read, path)
+
+
+def _in_source_order(reader: DataFrameReader, path: str | list[str]) -> DataFrame:
+    raw = reader.schema(MEMORY_EXPORT).option("mode", "FAILFAST").json(path)
+    raw = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("row_pos"),
     )
-    return with_defaults(_require_export_fields(raw))
+    rows = placed(with_defaults(_require_export_fields(raw)), False, "src_ord")
+    return rows.drop("block_start", "row_pos")
 
 
 def _require_export_fields(raw: DataFrame) -> DataFrame:
@@ -131,12 +133,12 @@ def salience_order() -> list[Column]:
     return [F.col("salience_raw").desc_nulls_last(), F.col("id").asc()]
 
 
-def read_snapshot(table: DataFrame, query: SnapshotQuery = SnapshotQuery()) -> DataFrame:
-    """Live, typed, tag-matching memories; with a limit the most salient ones.
+#: Rows that agree in salience and id are told apart by these.
+TIES = ("content", "memory_type", "agent_id", "tags")
 
-    Rows keep ``salience_raw``, from which ``salience_order`` gives the source
-    order. No sort happens here without a limit: writing sorts once.
-    """
+
+def snapshot_rows(table: DataFrame, query: SnapshotQuery = SnapshotQuery()) -> DataFrame:
+    """Live, typed, tag-matching memories without a place; with a limit the most salient ones."""
     rows = match_any_tag(
         normalise_snapshot(live_rows(table, query.agent_id)), query.any_tags
     )
@@ -145,6 +147,17 @@ def read_snapshot(table: DataFrame, query: SnapshotQuery = SnapshotQuery()) -> D
     return rows.orderBy(*salience_order()).limit(query.limit)
 
 
+def read_snapshot(table: DataFrame, query: SnapshotQuery = SnapshotQuery()) -> DataFrame:
+    """Live, typed, tag-matching memories; with a limit the most salient ones.
+
+    Rows are written once in source order, highest salience first, with their dense
+    place ``src_ord``; they keep ``salience_raw``.
+    """
+    rows = snapshot_rows(table, query)
+    rows = rows.drop("src_ord")
+    return ranked(rows, salience_order(), [F.col(c) for c in TIES], "src_ord")
+
+
 def qualify_ids(rows: DataFrame, stem: str | Column) -> DataFrame:
     """Prefix ids with the store they come from."""
     prefix = F.lit(stem) if isinstance(stem, str) else stem
@@ -168,7 +181,7 @@ def union_snapshots(
     """Concatenate stores, each with its own agent and limit; duplicates stay.
 
     ``agents`` holds one agent for all stores or one per store. ``store_ix`` keeps
-    the order of the stores.
+    the order of the stores; ``src_ord`` goes on from one to the next.
     """
     if not stores:
         raise ValueError("at least one store is required")
@@ -179,12 +192,13 @@ def union_snapshots(
     parts = []
     for i, (stem, table) in enumerate(stores):
         query = SnapshotQuery(agents[i] if len(agents) > 1 else agents[0], any_tags, limit)
-        part = qualify_ids(read_snapshot(table, query), stem)
+        part = qualify_ids(snapshot_rows(table, query), stem)
         parts.append(part.withColumn("store_ix", F.lit(i)))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole
+    order = [F.col("store_ix"), *salience_order()]
+    return ranked(whole.drop("src_ord"), order, [F.col(c) for c in TIES], "src_ord")
 
 
 def top_per_store(rows: DataFrame, store: str, limit: int) -> DataFrame:

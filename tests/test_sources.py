@@ -77,3 +77,85 @@ def test_an_export_goes_straight_into_conversion(spark, tmp_path):
     path.write_text('[{"content":"x","memory_type":"nonsense"}]')
     with pytest.raises(Exception, match="not a memory record"):
         src.read_memory_export(spark, str(path)).groupBy("memory_type").count().collect()
+
+
+def export_files(folder, sizes):
+    folder.mkdir()
+    for name, n in sizes.items():
+        records = [{"id": f"{name}{i}", "content": f"{name} {i} " + "x" * (i % 50), "memory_type": "semantic"} for i in range(n)]
+        (folder / f"{name}.json").write_text(json.dumps(records))
+        (folder / f"{name}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in records))
+    return [f"{name}{i}" for name in sorted(sizes) for i in range(sizes[name])]
+
+
+def test_source_order_of_several_files(spark, tmp_path):
+    want = export_files(tmp_path / "in", {"a": 3, "c": 900, "b": 2, "d": 40})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "1k", "7k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            for read, kind in ((src.read_memory_export, "json"), (src.read_memory_jsonl, "jsonl")):
+                rows = read(spark, str(tmp_path / "in" / f"*.{kind}")).collect()
+                rows.sort(key=lambda r: r["src_ord"])
+                assert [r["src_ord"] for r in rows] == list(range(len(want)))
+                assert [r["id"] for r in rows] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_dataset_does_not_depend_on_how_its_source_is_cut(spark, tmp_path):
+    from conftest import LONG
+
+    from heirloom.operators import convert
+    from heirloom.sinks import dataset
+
+    (tmp_path / "in").mkdir()
+    for name, n in (("z", 2), ("y", 60)):
+        records = [{"id": f"{name}{i}", "content": f"Guide {i}\n\n## One\n\n{LONG}", "memory_type": "procedural"} for i in range(n)]
+        (tmp_path / "in" / f"{name}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in records))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    digests = set()
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            outcomes = convert.convert(src.read_memory_jsonl(spark, str(tmp_path / "in")))
+            meta = dataset.write_dataset(str(tmp_path), f"set-{size}", outcomes, convert.examples(outcomes), "export")
+            digests.add(meta.first()["sha256"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(digests) == 1
+
+
+def test_places_of_a_snapshot(spark):
+    rows = src.read_snapshot(store(spark).repartition(5))
+    got = sorted((r["src_ord"], r["id"]) for r in rows.collect())
+    assert got == list(enumerate(["m1", "m3", "m6", "m7", "m8", "m2"]))
+    twice = store(spark).unionAll(store(spark)).repartition(3)
+    assert sorted(r["src_ord"] for r in src.read_snapshot(twice).collect()) == list(range(12))
+    assert src.read_snapshot(store(spark).limit(0)).count() == 0
+    from heirloom.operators import convert
+
+    assert convert.convert(rows).count() == 6
+    union = src.union_snapshots([("b", store(spark)), ("a", store(spark))], ["ada"])
+    assert [r["id"] for r in union.orderBy("src_ord").collect()] == ["b:m1", "b:m6", "b:m2", "a:m1", "a:m6", "a:m2"]
+
+
+@pytest.mark.parametrize("few", [10, 0])
+def test_places_come_from_one_scan(spark, tmp_path, few, monkeypatch):
+    """Rows are numbered by what was written, even if the files are cut differently afterwards."""
+    from heirloom.sources import lines
+
+    for k, n in enumerate((5, 700, 1)):
+        (tmp_path / f"part-{k:05d}.txt").write_text("".join(f"{k}-{i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        numbered = lines.placed(lines.read_lines(spark, str(tmp_path)), False, "at", few)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        got = [r["value"] for r in numbered.orderBy("at").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"{k}-{i}" for k, n in enumerate((5, 700, 1)) for i in range(n)]
+    assert sorted(r["at"] for r in numbered.collect()) == list(range(706))
