@@ -452,13 +452,7 @@ def is_trained(spark: SparkSession, sf: str) -> DataFrame:
   FROM rc JOIN um ON um.dataset = rc.dataset GROUP BY rc.start""",
 )
 def model_to_memories(spark: SparkSession, sf: str) -> DataFrame:
-    models = fx.models(spark, sf)
-    fed = lin.model_to_memories(lin.ancestry(models), models, fx.used_memories(spark, sf))
-    return fed.groupBy("start").agg(
-        F.count("*").alias("memories"),
-        F.sum("examples").alias("examples"),
-        F.min("nearest_generation").alias("nearest"),
-    )
+    return lin.model_reach(fx.models(spark, sf), fx.used_memories(spark, sf))
 
 
 @query(
@@ -468,12 +462,7 @@ def model_to_memories(spark: SparkSession, sf: str) -> DataFrame:
   FROM rc JOIN um ON um.dataset = rc.dataset GROUP BY um.memory_id""",
 )
 def memory_impact(spark: SparkSession, sf: str) -> DataFrame:
-    models = fx.models(spark, sf)
-    hit = lin.memory_impact(lin.ancestry(models), models, fx.used_memories(spark, sf))
-    return hit.groupBy("memory_id").agg(
-        F.count("*").alias("models"),
-        F.count_if(F.col("nearest_generation") == 0).alias("direct"),
-    )
+    return lin.memory_reach(fx.models(spark, sf), fx.used_memories(spark, sf))
 
 
 @query(

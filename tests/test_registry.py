@@ -64,6 +64,92 @@ def test_ends_agree_with_walks(models):
     assert set(ends) == {n for n, _ in EDGES}
 
 
+def plain_walk(parents, start):
+    seen, at = [], start
+    while at in parents and at not in seen:
+        seen.append(at)
+        at = parents[at]
+    return seen
+
+
+def random_edges(rng, n):
+    """Trees, chains and cycles of several lengths, with missing parents."""
+    names = [f"m{i}" for i in range(n)]
+    edges = {x: rng.choice([*names[max(0, i - 4) : i], *names[:i][:3], None, "gone"]) for i, x in enumerate(names)}
+    for at in (n // 5, n // 2):
+        for length in (1, 2, 5):
+            ring = names[at : at + length]
+            edges.update({x: ring[(k + 1) % length] for k, x in enumerate(ring)})
+            at += length
+    return edges
+
+
+def test_forest_labels_walks_and_ends(models):
+    import random
+
+    for seed in range(2):
+        edges = random_edges(random.Random(seed), 120)
+        m = models(*edges.items())
+        trees = lineage.forest(m)
+        labels = {r["node"]: r for r in lineage.labelled(trees).collect()}
+        assert sorted(r["pre"] for r in labels.values()) == list(range(len(edges)))
+        cut = {r["node"]: r["to"] for r in labels.values()}
+        for x, r in labels.items():
+            above = plain_walk(cut, x)
+            assert (above[-1], len(above) - 1) == (r["root"], r["depth"])
+            for y, q in labels.items():
+                assert (q["pre"] <= r["pre"] < q["pre"] + q["size"]) == (y in above)
+        got = {}
+        for r in lineage.ancestry(m, trees=trees).collect():
+            got.setdefault(r["start"], {})[r["generation"]] = r["model"]
+        want = {x: dict(enumerate(plain_walk(edges, x))) for x in edges}
+        assert got == want
+        ends = {r["start"]: (r["last_generation"], r["last_model"]) for r in lineage.chain_ends(m, trees).collect()}
+        assert ends == {x: (len(w) - 1, w[len(w) - 1]) for x, w in want.items()}
+        some = models().select(F.lit("m7").alias("start"))
+        assert lineage.ancestry(m, some, trees).count() == 0
+
+
+def test_reach_counts_agree_with_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    edges = random_edges(rng, 90)
+    used = {x: rng.choice([None, "d1", "d2", "d3", "d4", "unused"]) for x in edges}
+    rows = [(n, "base", (used[n], "h", "p") if used[n] else None, None, "t", None, p, None, None) for n, p in edges.items()]
+    width = len(MODEL["dataset"].dataType.fields)
+    rows = [(*r[:2], (*r[2], *[None] * 9)[:width] if r[2] else None, *r[3:]) for r in rows]
+    m = spark.createDataFrame(rows, MODEL)
+    held = [("d1", "a", 2), ("d1", "b", 1), ("d2", "b", 5), ("d2", "c", 1), ("d3", "a", 1), ("d3", "e", 4), ("d5", "z", 1)]
+    memories = spark.createDataFrame(held, "dataset STRING, memory_id STRING, examples BIGINT")
+    models_of, want = {}, {}
+    for x in edges:
+        walk_of = plain_walk(edges, x)
+        sets = {used[y] for y in walk_of} - {None}
+        fed = [h for h in held if h[0] in sets]
+        if fed:
+            near = min(k for k, y in enumerate(walk_of) if used[y] in {h[0] for h in held})
+            want[x] = (len({h[1] for h in fed}), sum(h[2] for h in fed), near)
+        for memory_id in {h[1] for h in fed}:
+            own = any(h[0] == used[x] and h[1] == memory_id for h in held)
+            models_of.setdefault(memory_id, []).append(own)
+    got = {r["start"]: (r["memories"], r["examples"], r["nearest"]) for r in lineage.model_reach(m, memories).collect()}
+    assert got == want
+    hit = {r["memory_id"]: (r["models"], r["direct"]) for r in lineage.memory_reach(m, memories).collect()}
+    assert hit == {k: (len(v), sum(v)) for k, v in models_of.items()}
+
+
+def test_a_chain_of_many_models_takes_one_row_each(models):
+    chain = [(f"m{i:05d}", f"m{i - 1:05d}" if i else None) for i in range(5000)]
+    m = models(*chain)
+    trees = lineage.forest(m)
+    assert len(trees.jumps) == 13
+    last = lineage.chain_ends(m, trees).where("start = 'm04999'").first()
+    assert (last["last_generation"], last["last_model"]) == (4999, "m00000")
+    label = lineage.labelled(trees).where("node = 'm04000'").first()
+    assert (label["pre"], label["size"], label["depth"]) == (4000, 1000, 4000)
+
+
 def test_register_attach_and_build(spark, memories, tmp_path):
     root = str(tmp_path / "reg")
     rows = memories(memory("m", f"Guide\n\n## One\n\n{LONG}"))
