@@ -40,11 +40,13 @@ def with_results(
     inputs: dict[str, Column],
     results: Sequence[StructField],
     work: Callable[..., Sequence[pa.Array]],
+    most: int | None = None,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` and the arrays that ``work`` makes of ``inputs``.
 
     Work gets the arrays of a batch by name. A kept column that has a result's name gives
     way to it. Rows stay where they are, so documents need not be joined to their results.
+    Batches of more than about ``most`` bytes are worked on in pieces.
     """
     keep = [c for c in keep if c not in {r.name for r in results}]
     kept = [docs[f"`{c}`"] for c in keep]
@@ -53,9 +55,14 @@ def with_results(
     at = {name: len(keep) + i for i, name in enumerate(inputs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = work(**{name: batch.column(i) for name, i in at.items()})
-            columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, *found], names)
+        for whole in batches:
+            step = whole.num_rows
+            if most and whole.nbytes > most:
+                step = max(1, step * most // whole.nbytes)
+            for lo in range(0, max(whole.num_rows, 1), max(step, 1)):
+                batch = whole.slice(lo, step)
+                found = work(**{name: batch.column(i) for name, i in at.items()})
+                columns = [batch.column(i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*columns, *found], names)
 
     return rows.mapInArrow(run, StructType([*[rows.schema[c] for c in keep], *results]))

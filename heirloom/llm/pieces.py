@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -41,8 +41,8 @@ from heirloom.llm.arrow_text import with_results
 SPACE = "▁"
 #: Stretches and pairs of pieces that a task remembers, characters of a remembered stretch.
 REMEMBERED, SHORT = 1 << 18, 48
-#: Characters that are cut into stretches at once.
-WINDOW = 1 << 20
+#: Characters that are cut into stretches at once, bytes of rows that are worked on at once.
+WINDOW, SLICE = 1 << 20, 1 << 21
 NORMAL, CONTROL, UNKNOWN, BYTE = range(4)
 #: What an unknown id decodes to; a fixed value of the library.
 UNKNOWN_TEXT = " ⁇ "
@@ -117,7 +117,9 @@ class Coder:
         self.automaton.make_automaton()
         self.bytes = [i for i, kind in enumerate(words.kinds) if kind == BYTE]
         self.unknown = words.kinds.find(UNKNOWN)
-        self.pairs = Remembered(lambda pair: self.compatible(*pair))
+        # By piece, whether it may follow others.
+        self.after: list[dict[int, bool]] = [{} for _ in self.token]
+        self.tested = 0
         self.known = Remembered(self._ids)
         self.stretch, self.cut = self._patterns([words.pieces[i] for i in normal])
         shown = {CONTROL: "", UNKNOWN: UNKNOWN_TEXT}
@@ -131,12 +133,28 @@ class Coder:
         self.no_text = frozenset(self.bytes)
 
     def _patterns(self, pieces: list[str]) -> tuple[re.Pattern, re.Pattern | None]:
-        """What finds stretches, and a place between two of them; pieces never reach across."""
-        inside = {c for p in pieces if len(p) > 1 for c in p}
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside)
+        """What finds stretches, and a place between two of them; pieces never reach across.
+
+        Characters that are neighbours in a piece are of one kind, and so are those linked by
+        others. Of the kinds, the largest makes stretches; the others' characters do so by kind.
+        """
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
-            return re.compile(f"[{alone}]|[^{alone}]+" if alone else "(?s).+"), None
-        return re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+|[{alone or SPACE}]"), re.compile(f"(?<=[^{SPACE}]){SPACE}")
+            return re.compile("(?s).+"), None
+        kinds: dict[str, set[str]] = {}
+        for piece in pieces:
+            chars = set(piece) - {SPACE}
+            joined = set().union(chars, *(kinds.get(c, ()) for c in chars))
+            if kinds.get(min(joined, default="")) != joined:
+                kinds.update(dict.fromkeys(joined, joined))
+        several = {id(k): k for k in kinds.values() if len(k) > 1}
+        small = sorted(several.values(), key=len)[:-1]
+        others = [f"[{''.join(sorted(map(re.escape, k)))}]+" for k in small]
+        alone = "".join(sorted(re.escape(chr(c)) for c in range(128) if len(kinds.get(chr(c), "x")) == 1))
+        apart = "".join([SPACE, alone, *(o[1:-2] for o in others)])
+        return (
+            re.compile("|".join([f"{SPACE}*[^{apart}]+", *(SPACE + "*" + o for o in others), f"{SPACE}*[{alone or SPACE}]", f"{SPACE}+"])),
+            re.compile(f"(?<=[^{SPACE}]){SPACE}"),
+        )
 
     def _history(self, piece: int) -> tuple[bool, list[tuple[int, str, str]]]:
         """Whether a piece encodes to itself, and how: rank of each merge, its first and last part before it."""
@@ -185,12 +203,27 @@ class Coder:
     def last_pieces(self, text: str) -> array:
         """The last piece of the encoding of every prefix; -1 for a character in no piece."""
         last = array("i", [-1]) * (len(text) + 1)
-        size, pairs = self.size, self.pairs
-        for end, piece in self.automaton.iter(text):
-            if last[end + 1] < 0 and pairs[last[end + 1 - size[piece]], piece]:
+        size, after, end = self.size, self.after, -1
+        for here, piece in self.automaton.iter(text):
+            if here == end:
+                continue  # this prefix has its last piece
+            before = last[here + 1 - size[piece]]
+            fits = after[piece].get(before)
+            if fits is None:
+                fits = self._fits(before, piece)
+            if fits:
+                end = here
                 last[end + 1] = piece
         return last
 
+    def _fits(self, before: int, piece: int) -> bool:
+        """The same as ``compatible``, remembered."""
+        if self.tested >= REMEMBERED:
+            self.after, self.tested = [{} for _ in self.token], 0
+        self.tested += 1
+        found = self.after[piece][before] = self.compatible(before, piece)
+        return found
+
     def _ids(self, text: str) -> tuple[int, ...]:
         """The ids of one stretch, from its table read backwards."""
         last, found, at = self.last_pieces(text), [], len(text)
@@ -204,20 +237,19 @@ class Coder:
                 found.extend([self.bytes[b] for b in reversed(text[at].encode())] if self.bytes else [self.unknown])
         return tuple(reversed(found))
 
-    def encode_parts(self, text: str) -> Iterator[Iterable[int]]:
-        """The ids of a text, window by window."""
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text, of which some window is cut into stretches at once."""
+        ids: list[int] = []
         if not text:
-            return
+            return ids
         text = SPACE + text.replace(" ", SPACE)
         lo = 0
         while lo < len(text):
             found = self.cut.search(text, lo + WINDOW) if self.cut else None
             hi = found.start() if found else len(text)
-            yield chain.from_iterable(map(self.known.__getitem__, self.stretch.findall(text, lo, hi)))
+            ids.extend(chain.from_iterable(map(self.known.__getitem__, self.stretch.findall(text, lo, hi))))
             lo = hi
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.encode_parts(text)))
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces are read as UTF-8, the space put before a text goes."""
@@ -279,12 +311,12 @@ def encode(docs: DataFrame, words: Vocabulary, column: str = "text", into: str =
 
     def work(text: pa.Array) -> list[pa.Array]:
         coding = coder(sent.value)
-        found = [np.fromiter(chain.from_iterable(coding.encode_parts(t)), np.int32) for t in texts(text)]
+        found = [np.array(coding.encode(t), np.int32) for t in texts(text)]
         cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.empty(0, np.int32), *found])))]
 
     made = [StructField(into, ArrayType(IntegerType()))]
-    return with_results(docs, docs.columns, {"text": F.col(f"`{column}`")}, made, work)
+    return with_results(docs, docs.columns, {"text": F.col(f"`{column}`")}, made, work, SLICE)
 
 
 def decode(rows: DataFrame, words: Vocabulary, column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -293,7 +325,9 @@ def decode(rows: DataFrame, words: Vocabulary, column: str = "ids", into: str =
 
     def work(ids: pa.Array) -> list[pa.Array]:
         coding = coder(sent.value)
-        return [pa.array((coding.decode(x.as_py() or []) for x in ids), pa.string(), size=len(ids))]
+        values, cuts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        rows = zip(cuts[:-1], cuts[1:], ids.is_valid().to_pylist(), strict=True)
+        return [pa.array([coding.decode(values[lo:hi].tolist() if known else []) for lo, hi, known in rows], pa.string())]
 
     made = [StructField(into, StringType())]
-    return with_results(rows, rows.columns, {"ids": F.col(f"`{column}`")}, made, work)
+    return with_results(rows, rows.columns, {"ids": F.col(f"`{column}`")}, made, work, SLICE)
