@@ -27,12 +27,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 from tokenizers import Tokenizer
 
-from heirloom.llm import pieces
 from heirloom.llm.arrow_text import groups, string_parts, with_results
 from heirloom.session import materialize, materialize_counted
 
@@ -40,17 +41,20 @@ from heirloom.session import materialize, materialize_counted
 FEW = 1 << 21
 #: Bytes of text that are aligned at once; a longer text alone.
 PIECE = 1 << 18
-#: Where a byte-level tokenizer always parts text: before white space after a character that is
-#: none, and after such white space if that is one line feed.
-PARTED = re.compile(r"(?<=[!-~\w])(?=[ \n])|(?<=[!-~\w]\n)(?=[!-~\w])")
+#: Bytes of rows that are worked on at once.
+SLICE = 1 << 21
+#: Fixed value: the pattern by which byte-level tokenizers part text before they merge.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What may be one long part, which the quicker of two libraries merges in quadratic time.
+LONG = re.compile(r"\S{400}|\s{400}")
 
 
 @dataclass(frozen=True)
 class Pair:
-    """Two tokenizers: the JSON of a byte-level one, the vocabulary of a piece one."""
+    """Two tokenizers: the JSON of a byte-level one, the bytes of a piece model."""
 
     first: str
-    second: pieces.Vocabulary
+    second: bytes
 
 
 def load(byte_level: str, piece_model: str) -> Pair:
@@ -63,7 +67,8 @@ def load(byte_level: str, piece_model: str) -> Pair:
         raise ValueError("the first tokenizer has to be byte-level, without a prefix of its own")
     if kind.get("normalizer"):
         raise ValueError("the first tokenizer changes texts")
-    return Pair(text, pieces.load(piece_model))
+    with open(piece_model, "rb") as file:
+        return Pair(text, file.read())
 
 
 def byte_characters() -> dict[str, int]:
@@ -125,30 +130,46 @@ class Aligner:
     def __init__(self, pair: Pair):
         self.tokenizer = Tokenizer.from_str(pair.first)
         self.tokenizer.encode_special_tokens = True
-        self.coder = pieces.coder(pair.second)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=pair.second)
         value = byte_characters()
         a_size = self.tokenizer.get_vocab_size()
         self.a_raw = [bytes(value.get(c, 0) for c in self.tokenizer.id_to_token(i) or "") for i in range(a_size)]
-        self.b_raw = self.coder.raw
+        self.b_raw = [self._piece_bytes(i) for i in range(self.model.get_piece_size())]
         self.a_bytes, self.b_bytes = (np.array(list(map(len, raw)), np.int64) for raw in (self.a_raw, self.b_raw))
-        self.known = pieces.Remembered(self._stretch)
+        self.quick = self._quick(json.loads(pair.first)["model"])
         # An id inside its half of a group, the last of the first half, inside the second, the last of all.
         sizes = (a_size, a_size, len(self.b_raw), len(self.b_raw))
         self.written = [f"{i}{mark}" for mark, n in zip(",|,;", sizes, strict=True) for i in range(n)]
 
-    def _stretch(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _piece_bytes(self, i: int) -> bytes:
+        piece = self.model.id_to_piece(i)
+        if self.model.is_byte(i):
+            return bytes([int(piece[1:-1], 16)])
+        return b"" if self.model.is_control(i) or self.model.is_unknown(i) else piece.replace("▁", " ").encode()
+
+    def _quick(self, model: dict) -> tiktoken.Encoding | None:
+        """The same merges in the library that knows them by the order of ids, if theirs is that order."""
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        ids = [model["vocab"][m] for m in merged]
+        if model.get("ignore_merges") or ids != sorted(ids):
+            return None
+        ranks = {self.a_raw[i]: i for token, i in model["vocab"].items() if len(token) == 1}
+        ranks |= {self.a_raw[i]: i for i in ids}
+        return tiktoken.Encoding("first", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
     def first_ids(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, PARTED.split(text))))
-
-    def ids(self, text: str, raw: bytes) -> tuple[list[int], list[int]]:
-        """The ids of a text with a space before it, if both give back its bytes."""
-        if not text:
-            return [], []
-        a, b, whole = self.first_ids(" " + text), self.coder.encode(text), b" " + raw
-        same = b"".join(map(self.a_raw.__getitem__, a)) == whole == b"".join(map(self.b_raw.__getitem__, b))
-        return (a, b) if same else ([], [])
+        if self.quick is None or LONG.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.quick.encode_ordinary(text)
+
+    def ids(self, texts: list[str], raws: list[bytes]) -> list[tuple[list[int], list[int]]]:
+        """The ids of each text with a space before it, if both give back its bytes."""
+        out = []
+        for text, raw, b in zip(texts, raws, self.model.encode(texts, num_threads=1), strict=True):
+            a, whole = self.first_ids(" " + text) if text else [], b" " + raw
+            same = b"".join(map(self.a_raw.__getitem__, a)) == whole == b"".join(map(self.b_raw.__getitem__, b))
+            out.append((a, b) if same else ([], []))
+        return out
 
     def work(self, text: pa.Array) -> list[pa.Array]:
         raw, offsets = string_parts(text)
@@ -168,7 +189,7 @@ class Aligner:
     def _some(self, raw: np.ndarray, offsets: np.ndarray):
         """Counts of tokens and groups, groups as text, linked id pairs and how often, for some texts."""
         bodies = [raw[lo:hi].tobytes() for lo, hi in zip(offsets, offsets[1:], strict=False)]
-        coded = [self.ids(body.decode(errors="replace"), body) for body in bodies]
+        coded = self.ids([body.decode(errors="replace") for body in bodies], bodies)
         n_a, n_b = (np.array([len(c[k]) for c in coded], np.int64) for k in (0, 1))
         a, b = (np.fromiter(chain.from_iterable(c[k] for c in coded), np.int64) for k in (0, 1))
         a_last, b_last, of_a, of_b = align(np.cumsum(self.a_bytes[a]).tolist(), np.cumsum(self.b_bytes[b]).tolist())
@@ -211,7 +232,7 @@ def alignments(docs: DataFrame, pair: Pair) -> DataFrame:
     made = [StructField(c, LongType()) for c in ("n_a", "n_b", "n_groups")]
     made += [StructField("groups", StringType()), StructField("links", ArrayType(LongType()))]
     made += [StructField("times", ArrayType(IntegerType()))]
-    return with_results(docs.select("doc_id", "text"), ["doc_id"], {"text": F.col("text")}, made, work)
+    return with_results(docs.select("doc_id", "text"), ["doc_id"], {"text": F.col("text")}, made, work, SLICE)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

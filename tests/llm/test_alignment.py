@@ -110,6 +110,19 @@ def test_first_ids_are_the_librarys(text):
     assert ALIGNER.first_ids(text) == A.encode(text, add_special_tokens=False).ids
 
 
+def test_both_libraries_part_and_merge_all_characters_alike():
+    assert ALIGNER.quick is not None
+    step, chars = 4000, [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(chars), step):
+        for text in (" ".join(chars[lo : lo + step]), "a".join(chars[lo : lo + step]), "1".join(chars[lo : lo + step])):
+            assert ALIGNER.quick.encode_ordinary(text) == A.encode(text, add_special_tokens=False).ids
+
+
+def test_long_parts():
+    for text in ("ab" * 50_000, " " * 50_000 + "x", "\n" * 3000, "!?" * 3000, "é" * 3000):
+        assert ALIGNER.first_ids(text) == A.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("few", [alignment.FEW, 0])
 def test_counts_against_brute_force(spark, few):
     rng = random.Random(3)
