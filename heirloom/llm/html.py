@@ -3,16 +3,22 @@
 A page becomes a tree. Every paragraph gives points for its length and its commas to
 its ancestors (all to the parent, half to the grandparent, less above), and a container
 keeps the part of its points that is not link text. The container with most points is
-the article, or the ``<article>`` or ``<main>`` around it if there is one; siblings that score well or read like text are kept with it. Inside, what
-is a menu, notice, form, advert or reader comment by its tag, role or name, and blocks
-of mostly links, are left out.
+the article, or the ``<article>`` or ``<main>`` around it if there is one. Without
+those the part of the body that the best container lies in is kept whole, and its
+siblings that are not mostly links, so nothing depends on how long a part is. Inside,
+what is a menu, notice, form, advert or reader comment by its tag, role or name, and
+blocks of mostly links, are left out. A name that says both (``post-comments``) is left
+out too, unless the article or its title lies inside.
 
 One page is one row and is handled alone, so pages need no shuffle. The parser is
 forgiving: paragraphs, list items and cells close by themselves, stray end tags are
-ignored, raw text elements end at their own end tag only.
+ignored, raw text elements end at their own end tag only. What is open is counted by
+name, so its time is in proportion to the page, whatever the markup.
 
 Defined results: null, empty and text-free pages give an empty text; rows that repeat
-get equal results; further columns are not looked at.
+get equal results, null ids and urls stay; an empty table gives an empty one; further
+columns are not looked at. A page is one row and read whole, in time in proportion to
+its length.
 """
 
 from __future__ import annotations
@@ -42,7 +48,9 @@ CLOSES = {
     "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]),
     "th": frozenset(["td", "th"]),
-    "tbody": frozenset(["thead", "tbody", "tr", "td", "th"]),
+    "thead": frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]),
+    "tbody": frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]),
+    "tfoot": frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]),
     "option": frozenset(["option"]),
 }
 HOLDS = {
@@ -52,9 +60,13 @@ HOLDS = {
     "tr": frozenset(["table"]),
     "td": frozenset(["table"]),
     "th": frozenset(["table"]),
+    "thead": frozenset(["table"]),
     "tbody": frozenset(["table"]),
+    "tfoot": frozenset(["table"]),
     "option": frozenset(["select"]),
 }
+HOLDERS = frozenset().union(*HOLDS.values())
+VERBATIM_ENDS = {tag: re.compile(rf"</{tag}\s*/?\s*>", re.IGNORECASE) for tag in VERBATIM}
 PARAGRAPH_ENDS = BLOCKS - {"body", "html", "caption", "legend", "tbody", "td", "tfoot", "th", "thead", "tr", "li"} | {"li"}
 # Parts of class and id names of what is not the article.
 UNLIKELY = re.compile(
@@ -77,13 +89,25 @@ LIKELY = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "name", "score", "chars", "linked", "at")
+    """An element; ``doubtful`` ones are left out unless the article lies inside."""
+
+    __slots__ = (
+        "tag", "parent", "children", "dropped", "doubtful", "heads", "name", "score", "chars", "linked", "at",
+        "block", "holders", "items", "inline", "open",
+    )
 
     def __init__(self, tag: str, parent: Node | None, name: str = "", dropped: bool = False):
         self.tag, self.parent, self.name, self.dropped = tag, parent, name, dropped
         self.children: list[Node | str] = []
         self.score = 0.0
         self.chars = self.linked = self.at = 0
+        self.doubtful = self.heads = False
+        self.open = True
+        #: While parsing: the block around, the elements that hold items around, and what is open in this one.
+        self.block: Node = self if parent is None or tag in BLOCKS else parent.block
+        self.holders: dict[str, Node] = parent.holders if parent is not None else {}
+        self.items: list[Node] = []
+        self.inline: dict[str, int] = {}
 
 
 def _attributes(raw: str) -> tuple[str, str, bool]:
@@ -106,88 +130,119 @@ def _attributes(raw: str) -> tuple[str, str, bool]:
     return CAMEL.sub("-", " ".join(names)), role, hidden
 
 
+class _Parser:
+    """The tree so far and what is open in it."""
+
+    def __init__(self):
+        self.root = self.here = Node("body", None)
+        self.open: dict[str, int] = {}
+        self.nodes = [self.root]
+
+    def push(self, node: Node) -> None:
+        self.here.children.append(node)
+        self.nodes.append(node)
+
+    def enter(self, node: Node) -> None:
+        self.here = node
+        tag = node.tag
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if node.block is not node:
+            node.block.inline[tag] = node.block.inline.get(tag, 0) + 1
+        if tag in HOLDERS:
+            node.holders = {**node.holders, tag: node}
+        if tag in CLOSES:
+            self.holder(tag).items.append(node)
+
+    def leave_to(self, node: Node) -> None:
+        """Closes everything below ``node``; each element is closed once."""
+        while self.here is not node:
+            tag, block = self.here.tag, self.here.block
+            self.open[tag] -= 1
+            if block is not self.here:
+                block.inline[tag] -= 1
+            self.here.open = False
+            self.here = self.here.parent
+
+    def holder(self, tag: str) -> Node:
+        """The nearest element around whose items of this tag close each other."""
+        around = [self.here.holders[t] for t in HOLDS[tag] if t in self.here.holders]
+        return max(around, key=lambda n: n.at) if around else self.root
+
+    def end(self, tag: str) -> None:
+        """An end tag; one that closes nothing is ignored.
+
+        The end of inline markup does not reach over the blocks around it.
+        """
+        known = self.open if tag in BLOCKS else self.here.block.inline
+        if not known.get(tag):
+            return
+        node = self.here
+        while node.tag != tag:
+            node = node.parent
+        self.leave_to(node.parent)
+
+    def end_paragraph(self) -> None:
+        if self.here.block.tag == "p":
+            self.leave_to(self.here.block.parent)
+
+    def end_item(self, tag: str) -> None:
+        """The outermost open item that the new one ends, and all below it."""
+        items = self.holder(tag).items
+        while items and not items[-1].open:
+            items.pop()
+        at = next((k for k, n in enumerate(items) if n.tag in CLOSES[tag]), None)
+        if at is not None:
+            self.leave_to(items[at].parent)
+            del items[at:]
+
+
 def parse(html: str) -> Node:
     """The tree of a page; leaves are decoded pieces of text."""
-    root = Node("body", None)
-    here, at, size = root, 0, len(html)
+    tree, at, size = _Parser(), 0, len(html)
     while at < size:
         m = TAG.search(html, at)
         if not m:
-            here.children.append(unescape(html[at:]))
+            tree.here.children.append(unescape(html[at:]))
             break
         if m.start() > at:
-            here.children.append(unescape(html[at : m.start()]))
+            tree.here.children.append(unescape(html[at : m.start()]))
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         if m[2]:
-            here = _close(here, tag)
+            tree.end(tag)
             continue
         if tag in ("html", "body"):
             continue
         if tag in VERBATIM:
-            end = re.compile(rf"</{re.escape(tag)}\s*/?\s*>", re.IGNORECASE).search(html, at)
+            end = VERBATIM_ENDS[tag].search(html, at)
             at = end.end() if end else size
             continue
         if tag in PARAGRAPH_ENDS:
-            here = _end_paragraph(here)
+            tree.end_paragraph()
         if tag in CLOSES:
-            here = _end_item(here, tag)
+            tree.end_item(tag)
         if tag == "br" or tag == "wbr":
-            here.children.append(" " if tag == "br" else "")
+            tree.here.children.append(" " if tag == "br" else "")
             continue
         name, role, hidden = _attributes(m[4])
         dropped = hidden or tag in RAW or tag in DROPPED or role in DROPPED_ROLES
-        dropped |= bool(name) and bool(UNLIKELY.search(name)) and not LIKELY.search(name)
-        if tag == "header":
-            dropped |= not _inside(here, "article")
-        node = Node(tag, here, name, dropped)
-        here.children.append(node)
+        dropped |= tag == "header" and not tree.open.get("article")
+        node = Node(tag, tree.here, name, dropped)
+        node.at = len(tree.nodes)
+        node.doubtful = bool(name) and bool(UNLIKELY.search(name))
+        tree.push(node)
         if tag not in VOID and not (m[4] or "").endswith("/"):
-            here = node
-    return root
-
-
-def _inside(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
-def _close(here: Node, tag: str) -> Node:
-    """The node that is open after an end tag; one that closes nothing is ignored.
-
-    The end of inline markup does not reach over the blocks around it.
-    """
-    node = here
-    while node.parent is not None:
-        if node.tag == tag:
-            return node.parent
-        if tag not in BLOCKS and node.tag in BLOCKS:
-            return here
-        node = node.parent
-    return here
-
-
-def _end_paragraph(here: Node) -> Node:
-    node = here
-    while node.parent is not None and (node.tag not in BLOCKS or node.tag == "p"):
-        if node.tag == "p":
-            return node.parent
-        node = node.parent
-    return here
-
-
-def _end_item(here: Node, tag: str) -> Node:
-    node, found = here, here
-    while node.parent is not None and node.tag not in HOLDS[tag]:
-        if node.tag in CLOSES[tag]:
-            found = node.parent
-        node = node.parent
-    return found
+            tree.enter(node)
+    for node in reversed(tree.nodes):
+        own = node.tag in ("article", "main") or node.tag == "h1" and not node.dropped
+        node.heads |= own
+        if node.doubtful and not node.heads:
+            node.dropped = True
+        if node.heads and not node.dropped and node.parent is not None:
+            node.parent.heads = True
+    return tree.root
 
 
 def _order(root: Node) -> list[Node]:
@@ -249,22 +304,21 @@ def _chosen(nodes: list[Node]) -> list[Node]:
         return nodes[:1]
     best = max(held, key=lambda n: (_final(n), -n.at))
     # The best part of an article stands for the article, however long that part is.
-    above = best
+    above, outer = best, None
     while above is not None:
-        best = above if above.tag in ("article", "main") else best
+        outer = above if above.tag in ("article", "main") else outer
         above = above.parent
-    if best.parent is None:
-        return [best]
-    least, kept = max(10.0, _final(best) * 0.2), []
+    if outer is not None or best.parent is None:
+        return [outer or best]
+    while best.parent.parent is not None:
+        best = best.parent
+    # Its siblings, bare text and inline markup between them too.
+    whole = Node("div", None)
     for c in best.parent.children:
-        if not isinstance(c, Node) or c.dropped:
-            continue
-        if c is best or (c.tag in CONTAINERS and _final(c) >= least and _density(c) < 0.25):
-            kept.append(c)
-        elif c.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol", "table") and c.chars:
-            if _density(c) < 0.25 and (c.chars > 80 or c.tag[0] == "h"):
-                kept.append(c)
-    return kept
+        block = isinstance(c, Node) and c.tag in BLOCKS
+        if c is best or not block or (c.chars and not c.dropped and _density(c) < 0.25):
+            whole.children.append(c)
+    return [whole]
 
 
 def _link_list(node: Node) -> bool:

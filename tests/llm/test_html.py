@@ -68,3 +68,89 @@ def test_parts_of_an_article_stay_however_long_it_is():
             assert got == "\n".join(
                 ["Title", "bare text", "Short.", *[PROSE] * times, "More", "Brief.", "a", "b", "Caption"]
             )
+
+
+def test_nothing_depends_on_the_length_of_a_part():
+    for wrapper in ("div", "section", "article"):
+        for times in (1, 3, 25, 300):
+            got = html.extract(
+                page(
+                    f"<nav><a href=1>a</a></nav><{wrapper}><h4>Head</h4><dl><dt>term<dd>said</dl><p>Short.</p>bare text<div>"
+                    + f"<p>{PROSE}</p>" * times
+                    + f"</div><section><h5>More</h5><p>Brief.</p></section></{wrapper}><footer>all</footer>"
+                )
+            )
+            assert got == "\n".join(["Head", "term", "said", "Short.", "bare text", *[PROSE] * times, "More", "Brief."])
+
+
+def test_names_of_comments_shares_and_sidebars_win():
+    for name in ("post-comments", "comment-body", "comment-content", "entry-share", "content-sidebar"):
+        for tag in ("article", "div"):
+            body = f"<{tag}><h1>Title</h1><p>{PROSE}</p><div class='{name}'>" + f"<p>{PROSE} {PROSE}</p>" * 9 + f"</div></{tag}>"
+            assert html.extract(page(body)) == f"Title\n{PROSE}"
+    own = f"<div class='content has-sidebar'><h1>Title</h1><p>{PROSE}</p></div><div class='comments'><p>{PROSE}</p></div>"
+    assert html.extract(page(own)) == f"Title\n{PROSE}"
+
+
+def test_time_is_in_proportion_to_the_page():
+    import time
+
+    parts = ["</b>", "</div>", "</p>", "<li>x", "<hr>", "<td>y", "<p>z", "</i><b>", "<thead><td>", "<ul><li>"]
+    for part in parts:
+        for around in ("<div>" * 3000, "<b>" * 3000, "<i><p><b>" * 1000, ""):
+            start = time.process_time()
+            html.parse(around + part * (400_000 // len(part)))
+            assert time.process_time() - start < 20
+
+
+def plain_scores(root):
+    """The points of every element, paragraph by paragraph."""
+    score = {}
+
+    def text(node, linked=None):
+        if isinstance(node, str):
+            return len(node.strip())
+        return sum(text(c) for c in node.children if isinstance(c, str) or not c.dropped)
+
+    def links(node):
+        if isinstance(node, str):
+            return 0
+        return text(node) if node.tag == "a" else sum(links(c) for c in node.children if isinstance(c, str) or not c.dropped)
+
+    def visit(node, above):
+        score[id(node)] = score.get(id(node), 0) + html.HEAD_START.get(node.tag, 0)
+        score[id(node)] += 25 if node.name and html.LIKELY.search(node.name) else 0
+        direct = [c for c in node.children if isinstance(c, str) and c.strip()]
+        if node.tag in html.PARAGRAPH_TAGS or (direct and node.tag in html.CONTAINERS):
+            words = text(node) - links(node)
+            if words > 0:
+                points = 1 + sum(c.count(",") for c in node.children if isinstance(c, str)) + min(words / 100, 3)
+                chain = [node, *above[::-1]] if node.tag in html.CONTAINERS else above[::-1]
+                share = 1.0
+                for depth, to in enumerate(chain[:5], 1):
+                    if to.tag in html.CONTAINERS or depth <= 2:
+                        score[id(to)] = score.get(id(to), 0) + points * share
+                    share = 0.5 if depth == 1 else share / (depth * 1.5)
+        for c in node.children:
+            if not isinstance(c, str) and not c.dropped:
+                visit(c, [*above, node])
+
+    visit(root, [])
+    return score
+
+
+def test_scores_against_plain_ones():
+    import random
+
+    rng = random.Random(8)
+    tags = ["div", "p", "a", "b", "section", "ul", "li", "td", "h2", "blockquote", "article", "nav"]
+    for _ in range(150):
+        text = "".join(
+            rng.choice([f"<{t}>" if rng.random() < 0.8 else f"<{t} class='post'>", f"</{t}>", "word, ", "x" * 70])
+            for t in rng.choices(tags, k=60)
+        )
+        root = html.parse(text)
+        nodes = html._order(root)
+        html._measure(nodes)
+        want = plain_scores(root)
+        assert all(abs(n.score - want[id(n)]) < 1e-9 for n in nodes)
