@@ -21,13 +21,12 @@ def outcomes_of(
     """One row per skipped file, unreadable line and round.
 
     ``lines`` holds ``file_path, session_id, block, pos, line``. The decoded
-    messages feed three consumers (rejected lines, facts, text), so they are
-    written once to the shared folder instead of being parsed three times.
+    messages feed several consumers (rejected lines, turns, facts, text), so they are
+    written once to the shared folder instead of being parsed each time. From there
+    only the text of rounds in play is shuffled, once, to where its round is gathered.
     """
     messages = materialize(decode(lines), "messages")
-    numbered = materialize(
-        rounds.with_turns(messages.where(F.col("role").isNotNull())), "numbered"
-    )
+    numbered = rounds.with_turns(messages.where(F.col("role").isNotNull()))
     unreadable = rounds.rejected_rows(
         messages.where(F.col("role").isNull()).withColumn("line_pos", F.col("pos")),
         "unparsable",

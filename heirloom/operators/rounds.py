@@ -7,7 +7,10 @@ split, or a range of sequence numbers).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heirloom.config import USED, HarvestConfig
@@ -16,7 +19,12 @@ from heirloom.functions import text as t
 from heirloom.operators import examples as ex
 from heirloom.operators import gate
 from heirloom.operators.messages import starts_round
-from heirloom.sources.lines import running_total
+from heirloom.session import materialize
+
+#: So many places of openers (a block counts as eight) are sent to all tasks.
+FEW_OPENERS = 1 << 22
+#: A block has fewer openers than two to the power of this.
+BLOCK_BITS = 24
 
 # Model name prefixes whose reasoning is hidden and closed.
 CLOSED_PREFIXES = ("claude-", "gpt-", "o1-", "o3-", "o4-", "grok-", "gemini-")
@@ -27,19 +35,41 @@ SESSION = ["file_path", "session_id"]
 ROUND = [*SESSION, "turn_index"]
 
 
-def with_turns(messages: DataFrame) -> DataFrame:
+def _at_or_before(places: Column, at: Column) -> Column:
+    """How many of the sorted ``places`` are not behind ``at``, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(BLOCK_BITS - 1, -1, -1)])
+    return F.aggregate(
+        steps, F.lit(0), lambda n, step: F.when(F.get(places, n + step - 1) <= at, n + step).otherwise(n)
+    )
+
+
+def with_turns(messages: DataFrame, few: int = FEW_OPENERS) -> DataFrame:
     """Add the 0-based ``turn_index`` of the round each message belongs to.
 
     A round begins at every opener but the first message, which is in round 0
-    whether it opens or not.
+    whether it opens or not. Only where rounds begin is gathered: a sorted list for
+    each block, in which a message finds its place. While these lists are short in all
+    they are sent to all tasks and no message moves.
     """
-    opens = F.col("_opens").cast("int")
-    opened = messages.withColumn("_opens", starts_round(F.col("role"), F.col("blocks")))
-    return (
-        running_total(opened, SESSION, "block", ["pos"], opens, "_turn", skip_first=True)
-        .withColumn("turn_index", F.col("_turn").cast("int"))
-        .drop("_opens", "_turn")
+    opens = starts_round(F.col("role"), F.col("blocks"))
+    narrow = messages.select(*SESSION, "block", "pos", F.coalesce(opens, F.lit(False)).alias("_opens"))
+    lists = narrow.groupBy(*SESSION, "block").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_opens"), F.col("pos")))).alias("_openers"),
+        F.min_by("_opens", "pos").alias("_first"),
+    )
+    along = W.partitionBy(*SESSION).orderBy("block")
+    before = F.coalesce(F.sum(F.size("_openers")).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = F.first("_first").over(along.rowsBetween(W.unboundedPreceding, 0))
+    lists = lists.select(
+        *[F.col(c).alias(f"_{c}") for c in (*SESSION, "block")], "_openers", (before - first.cast("int")).alias("_before")
     )
+    seen = Observation(f"openers-{uuid.uuid4().hex}")
+    size = F.sum(F.size("_openers") + 8).alias("n")
+    lists = materialize(lists.observe(seen, size), "openers")
+    small = F.broadcast(lists) if (seen.get["n"] or 0) <= few else lists
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*SESSION, "block")]
+    turn = F.col("_before") + _at_or_before(F.col("_openers"), F.col("pos"))
+    return messages.join(small, same).select(*messages.columns, turn.cast("int").alias("turn_index"))
 
 
 def message_parts(messages: DataFrame) -> DataFrame:

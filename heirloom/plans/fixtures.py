@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heirloom.session import scratch_path
 from heirloom.sources import sessions
 
 
@@ -12,10 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Numbers of memories that are lists of links begin here.
+LINKS_FROM = 1_000_000_000
+
+
 def memories_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as memories of six types, with deleted rows still in."""
-    d = table(spark, sf_dir, "documents")
+    """Documents as memories of six types, with deleted rows still in, and some lists of links."""
     k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    links = F.concat(F.lit("see "), F.repeat(F.lit("https://example.com/"), 12))
+    d = d.unionAll(d.where(k % 41 == 0).select((k + LINKS_FROM).alias("doc_id"), links, "lang", "source"))
     sectioned = F.concat(
         F.lit("REFERENCE "),
         k.cast("string"),
@@ -38,9 +45,8 @@ def memories_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     content = (
-        F.when(k % 37 == 0, F.concat(F.lit("Hey there! "), F.col("text")))
-        .when(k % 41 == 0, F.concat(F.lit("see "), F.repeat(F.lit("https://example.com/"), 12)))
-        .when(k % 3 == 0, sectioned)
+        F.when((k % 37 == 0) & (k < LINKS_FROM), F.concat(F.lit("Hey there! "), F.col("text")))
+        .when((k % 3 == 0) & (k < LINKS_FROM), sectioned)
         .otherwise(F.col("text"))
     )
     memory_type = (
@@ -99,9 +105,52 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """Write ``folder, name, pos, value`` as the lines of ``root/folder/name``, in order of ``pos``.
+
+    Spark names its part files itself, so those of one name are written apart and then renamed.
+    """
+    spark = rows.sparkSession
+    staged = scratch_path(spark, "staged")
+    dealt = rows.repartition("folder", "name").sortWithinPartitions("folder", "name", "pos")
+    dealt.drop("pos").write.partitionBy("folder", "name").text(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path(f"{staged}/folder=*/name=*/part-*")):
+        *_, folder, name, _ = found.getPath().toString().split("/")
+        folder, name = folder.removeprefix("folder="), name.removeprefix("name=")
+        folder = "" if folder == "__HIVE_DEFAULT_PARTITION__" else f"/{folder}"
+        fs.mkdirs(path(root + folder))
+        if not fs.rename(found.getPath(), path(f"{root}{folder}/{name}")):
+            raise OSError(f"not written: {root}{folder}/{name}")
+
+
 # ---------------------------------------------------------------- sessions
 
 
+def session_folder(spark: SparkSession, sf_dir: str, root: str, line: Column | None = None) -> None:
+    """Every conversation as a session file under ``root``, one in four archived, with the sidecar of all stamps.
+
+    ``line`` of the conversations takes the place of a message's line. A blank line follows the third turn.
+    """
+    c = F.col("conv_id")
+    lines = session_lines(spark, sf_dir).select("conv_id", "pos", "line")
+    if line is not None:
+        lines = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), line.alias("line"))
+    blank = lines.where("pos = 2").select("conv_id", F.lit(2.5).alias("pos"), F.lit("").alias("line"))
+    rows = lines.withColumn("pos", F.col("pos").cast("double")).unionByName(blank.withColumn("pos", F.col("pos").cast("double")))
+    name = F.concat(
+        F.when(c % 2 == 0, "session-").otherwise(""), conversation_session_id(c).cast("string"), F.lit(".jsonl")
+    )
+    archived = F.when(c % 4 == 3, "archive")
+    write_files(rows.select(archived.alias("folder"), name.alias("name"), "pos", F.col("line").alias("value")), root)
+    stamp = sessions.parse_bundles(bundles(spark, sf_dir)).select(F.posexplode("sessions").alias("ix", "s"))
+    every = stamp.agg(F.transform(F.sort_array(F.collect_list(F.struct("ix", "s"))), lambda e: e["s"]).alias("sessions"))
+    text = F.to_json(F.struct(F.lit("node").alias("node_id"), "sessions"))
+    none = F.lit(None).cast("string").alias("folder")
+    write_files(every.select(none, F.lit("harvest.json").alias("name"), F.lit(0).alias("pos"), text.alias("value")), root)
+
+
 def conversation_session_id(conv: Column) -> Column:
     """Conversation numbers as session ids of all ranges."""
     wide = conv.cast("decimal(20,0)")
@@ -199,6 +248,7 @@ def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sid = conversation_session_id(c)
     return table(spark, sf_dir, "conversations").select(
+        "conv_id",
         F.concat(F.lit("session-"), sid.cast("string"), F.lit(".jsonl")).alias("file_path"),
         sid.alias("session_id"),
         F.floor(n / 4).cast("bigint").alias("block"),
@@ -223,7 +273,7 @@ def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the sessions that are not skipped by name."""
-    return session_lines(spark, sf_dir).where(
+    return session_lines(spark, sf_dir).drop("conv_id").where(
         sessions.file_verdict(F.col("session_id")).isNull()
     )
 

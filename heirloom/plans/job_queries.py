@@ -251,20 +251,24 @@ LOG = """lg AS (SELECT user_id AS run_id, event_id AS ix, CASE WHEN event_id % 5
     "count(*) FILTER (event_id % 50 <> 0) AS with_loss FROM events GROUP BY user_id",
 )
 def read_trainer_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Log rows gathered to state texts of at most a thousand steps, and parsed back."""
+    """State files of at most a thousand steps each, named by their run, and read back."""
     log = fx.train_log(spark, sf).withColumn("part", F.floor(F.col("ix") / 1000))
     step = F.struct("ix", F.struct("loss", F.col("epoch")).alias("s"))
     states = (
         log.groupBy("run_id", "part")
         .agg(F.sort_array(F.collect_list(step)).alias("h"))
         .select(
-            F.col("run_id").cast("string").alias("run_id"),
+            F.col("part").cast("string").alias("folder"),
+            F.concat(F.col("run_id").cast("string"), F.lit(".json")).alias("name"),
+            F.lit(0).alias("pos"),
             F.to_json(F.struct(F.transform("h", lambda x: x["s"]).alias("log_history"))).alias(
                 "value"
             ),
         )
     )
-    return src.parse_trainer_states(states).groupBy("run_id").agg(
+    root = scratch_path(spark, "states")
+    fx.write_files(states, root)
+    return src.read_trainer_state(spark, f"{root}/*/*.json").groupBy("run_id").agg(
         F.count("*").alias("rows_in"), F.count("loss").alias("with_loss")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirloom.config import REJECTION_REASONS, ConvertConfig, FrameConfig, GateConfig
+from heirloom.config import REJECTION_REASONS, FrameConfig, GateConfig
 from heirloom.functions import text as t
 from heirloom.operators import chunk, convert, cost, frame, gate, profile
 from heirloom.operators import examples as ex
@@ -150,11 +150,18 @@ def union_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return src.union_snapshots(stores, ["src1", "src2", "src1"]).select("id", "store_ix", "src_ord")
 
 
-@query("set2_exclusive_source", f"WITH {SNAPSHOT} SELECT count(*) AS n FROM live")
+@query("set2_exclusive_source", f"WITH {SNAPSHOT} SELECT count(*) AS n, 5 AS refused FROM live")
 def exclusive_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Reads the one source that is named; more or fewer are an error."""
+    """Reads the one source that is named; none, two or three are an error."""
     readers = {"snapshot": lambda: src.read_snapshot(fx.snapshot(spark, sf))}
-    return readers[src.choose_source(snapshot=sf)]().agg(F.count("*").alias("n"))
+    refused = 0
+    for names in ((), ("export", "snapshot"), ("export", "sessions"), ("snapshot", "sessions"), ("export", "snapshot", "sessions")):
+        try:
+            src.choose_source(**dict.fromkeys(names, sf))
+        except ValueError:
+            refused += 1
+    rows = readers[src.choose_source(snapshot=sf)]()
+    return rows.agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
 
 
 # ------------------------------------------------------------------- gate
@@ -229,30 +236,40 @@ def document_title(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Every line of every document, and leads put before it.
+TEXT_LINES = (
+    "(SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM "
+    "(SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+)
 BANNERS = (
-    "concat(CASE WHEN doc_id % 4 = 0 THEN 'Procedure: ' WHEN doc_id % 4 = 1 THEN "
-    "concat(split_part(text, ' ', 1), ' — ') WHEN doc_id % 4 = 2 THEN "
-    "concat(split_part(text, '.', 1), ' — ') ELSE '' END, text)"
+    "concat(CASE WHEN (doc_id + i) % 4 = 0 THEN 'Procedure: ' WHEN (doc_id + i) % 4 = 1 THEN "
+    "concat(split_part(line, ' ', 1), ' — ') WHEN (doc_id + i) % 4 = 2 THEN "
+    "concat(split_part(line, '.', 1), ' — ') ELSE '' END, line)"
 )
 
 
+def _text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = F.posexplode(F.split("text", "\n")).alias("i", "line")
+    return fx.table(spark, sf, "documents").select("doc_id", lines).withColumn("i", F.col("i").cast("bigint"))
+
+
 @query(
     "chk2_labelled_banner",
-    f"SELECT doc_id, {q.labelled('b')} AS banner FROM "
-    f"(SELECT doc_id, {q.strip(f'split_part({BANNERS}, {q.NL}, 1)')} AS b FROM documents)",
+    f"SELECT doc_id, i, {q.labelled('b')} AS banner FROM "
+    f"(SELECT doc_id, i, {q.strip(f'split_part({BANNERS}, {q.NL}, 1)')} AS b FROM {TEXT_LINES})",
 )
 def labelled_banner(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fx.table(spark, sf, "documents")
-    k, dash = F.col("doc_id"), F.lit(" — ")
+    """Every line of every document behind one of four leads."""
+    k, dash = F.col("doc_id") + F.col("i"), F.lit(" — ")
     lead = (
         F.when(k % 4 == 0, "Procedure: ")
-        .when(k % 4 == 1, F.concat(F.substring_index("text", " ", 1), dash))
-        .when(k % 4 == 2, F.concat(F.substring_index("text", ".", 1), dash))
+        .when(k % 4 == 1, F.concat(F.substring_index("line", " ", 1), dash))
+        .when(k % 4 == 2, F.concat(F.substring_index("line", ".", 1), dash))
         .otherwise("")
     )
-    line = t.first_line(F.concat(lead, F.col("text")))
-    return docs.select("doc_id", line.alias("b")).select(
-        "doc_id", chunk.is_labelled_banner(F.col("b")).alias("banner")
+    line = t.first_line(F.concat(lead, F.col("line")))
+    return _text_lines(spark, sf).select("doc_id", "i", line.alias("b")).select(
+        "doc_id", "i", chunk.is_labelled_banner(F.col("b")).alias("banner")
     )
 
 
@@ -365,23 +382,23 @@ def chunk_all(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------- framing
 
-# Titles and first sentences of documents, dressed up as headings.
+# Every line of every document, dressed up as a heading.
 HEADINGS = (
-    "concat(CASE WHEN doc_id % 3 = 0 THEN concat(doc_id, '. ') WHEN doc_id % 3 = 1 THEN '`' "
-    "ELSE '' END, split_part(text, '.', 1), CASE WHEN doc_id % 3 = 1 THEN '`' "
-    "WHEN doc_id % 3 = 2 THEN ':' ELSE '' END)"
+    "concat(CASE WHEN (doc_id + i) % 3 = 0 THEN concat(doc_id, '. ') WHEN (doc_id + i) % 3 = 1 THEN '`' "
+    "ELSE '' END, line, CASE WHEN (doc_id + i) % 3 = 1 THEN '`' WHEN (doc_id + i) % 3 = 2 THEN ':' ELSE '' END)"
 )
 
 
 def _headings(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("doc_id")
-    return fx.table(spark, sf, "documents").select(
+    k = F.col("doc_id") + F.col("i")
+    return _text_lines(spark, sf).select(
         "doc_id",
+        "i",
         F.concat(
-            F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(". ")))
+            F.when(k % 3 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(". ")))
             .when(k % 3 == 1, "`")
             .otherwise(""),
-            F.substring_index("text", ".", 1),
+            "line",
             F.when(k % 3 == 1, "`").when(k % 3 == 2, ":").otherwise(""),
         ).alias("h"),
     )
@@ -389,20 +406,20 @@ def _headings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "frm1_tidy",
-    f"SELECT doc_id, {q.tidy('h')} AS tidied FROM (SELECT doc_id, {HEADINGS} AS h FROM documents)",
+    f"SELECT doc_id, i, {q.tidy('h')} AS tidied FROM (SELECT doc_id, i, {HEADINGS} AS h FROM {TEXT_LINES})",
 )
 def tidy(spark: SparkSession, sf: str) -> DataFrame:
-    return _headings(spark, sf).select("doc_id", frame.tidy(F.col("h")).alias("tidied"))
+    return _headings(spark, sf).select("doc_id", "i", frame.tidy(F.col("h")).alias("tidied"))
 
 
 @query(
     "frm2_is_statement",
-    f"SELECT doc_id, {q.statement('h')} AS statement FROM "
-    f"(SELECT doc_id, {HEADINGS} AS h FROM documents)",
+    f"SELECT doc_id, i, {q.statement('h')} AS statement FROM "
+    f"(SELECT doc_id, i, {HEADINGS} AS h FROM {TEXT_LINES})",
 )
 def is_statement(spark: SparkSession, sf: str) -> DataFrame:
     return _headings(spark, sf).select(
-        "doc_id", frame.is_statement(F.col("h")).alias("statement")
+        "doc_id", "i", frame.is_statement(F.col("h")).alias("statement")
     )
 
 
@@ -573,7 +590,8 @@ def memories_used(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_UNTAGGED = q.FRAMED.replace(f"{q.TOPICAL_TAGS} AS topical", "CAST([] AS VARCHAR[]) AS topical")
+_UNTAGGED = q.FRAMED.replace("SELECT src_ord, id, content, memory_type, tags, agent_id,", "SELECT src_ord, id, content, "
+    "memory_type, CASE WHEN src_ord % 2 = 0 THEN ['notes'] ELSE tags END AS tags, agent_id,")
 
 
 @query(
@@ -582,26 +600,13 @@ _UNTAGGED = q.FRAMED.replace(f"{q.TOPICAL_TAGS} AS topical", "CAST([] AS VARCHAR
     "count(*) FILTER (verdict = 'unframeable') AS memories FROM outcome GROUP BY memory_type",
 )
 def unframeable_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Only bookkeeping tags are left for framing, so untitled text stays unframed."""
-    rows = fx.memories(spark, sf)
-    types = F.element_at("_framing_tags", 1).alias("memory_type")
-    hidden = rows.withColumn("_framing_tags", F.array("memory_type"))
-    out = convert.with_framed_chunks(
-        chunk.with_chunks(
-            gate.with_verdict(hidden).withColumn(
-                "_body", F.when(F.col("verdict") == "pass", F.col("content"))
-            ),
-            "_body",
-        ).withColumn("tags", F.array(F.lit("notes"))),
-        ConvertConfig(),
-    )
-    kept = F.size(F.filter("framed", lambda c: c["question"].isNotNull()))
-    passed = F.col("verdict") == "pass"
-    return out.groupBy(types).agg(
-        F.sum(F.when(passed, F.size("framed") - kept).otherwise(0))
-        .cast("bigint")
-        .alias("unframeable_chunks"),
-        F.count_if(passed & (kept == 0)).alias("memories"),
+    """Half the memories have bookkeeping tags alone, so their untitled text stays unframed."""
+    notes = F.when(F.col("src_ord") % 2 == 0, F.array(F.lit("notes"))).otherwise(F.col("tags"))
+    rows = fx.memories(spark, sf).withColumn("tags", notes)
+    kinds = rows.select(F.col("id").alias("memory_id"), "memory_type")
+    return convert.convert(rows).join(kinds, "memory_id").groupBy("memory_type").agg(
+        F.sum("unframeable_chunks").alias("unframeable_chunks"),
+        F.count_if(F.col("verdict") == "unframeable").alias("memories"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heirloom.config import HarvestConfig
@@ -134,6 +135,12 @@ def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _mined(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    root = scratch_path(spark, "sessions")
+    fx.session_folder(spark, sf, root)
+    return harvest.mine_sessions(spark, root, CFG)
+
+
 def _sid():
     return F.col("session_id").cast("string").alias("session_id")
 
@@ -147,40 +154,38 @@ def _turn():
 
 @query(
     "src4_read_session_jsonl",
-    "SELECT row_number() OVER (ORDER BY conv_id, turn, blank) - 1 AS position, "
-    "CASE WHEN blank = 0 THEN md5(text) ELSE md5('') END AS line_md5 FROM "
-    "(SELECT conv_id, turn, replace(text, chr(10), ' ') AS text, 0 AS blank FROM conversations "
-    "UNION ALL SELECT conv_id, turn, '', 1 FROM conversations WHERE turn = 2)",
+    f"SELECT CAST({SID} AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 "
+    "AS position, md5(concat(replace(text, chr(10), ' '), CASE WHEN turn % 3 = 0 THEN chr(13) ELSE '' END, '|')) "
+    "AS line_md5 FROM conversations WHERE conv_id <> 0 AND conv_id % 100 <> 98",
 )
 def read_session_jsonl(spark: SparkSession, sf: str) -> DataFrame:
-    """Written in splits and read back: every line, blank ones too, keeps its number."""
-    rows = fx.table(spark, sf, "conversations")
-    text = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    keyed = rows.select(F.struct("conv_id", "turn", F.lit(0).alias("b")).alias("example_key"),
-                        text.alias("t"))
-    blank = rows.where(F.col("turn") == 2).select(
-        F.struct("conv_id", "turn", F.lit(1).alias("b")).alias("example_key"), F.lit("").alias("t")
+    """A folder of session files with an archive: what is read of them, in order; some files are skipped by name."""
+    root = scratch_path(spark, "sessions")
+    text = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.when(F.col("turn") % 3 == 0, "\r").otherwise(""), F.lit("|\r"))
+    fx.session_folder(spark, sf, root, text)
+    lines = src.session_lines(spark, src.session_globs(spark, root)).where("line <> ''")
+    place = W.partitionBy("file_path").orderBy("block", "pos")
+    return lines.select(
+        _sid(), (F.row_number().over(place) - 1).cast("bigint").alias("position"), F.md5("line").alias("line_md5")
     )
-    path = scratch_path(spark, "lines")
-    ds.write_ordered_lines(keyed.unionByName(blank), F.col("t"), path)
-    return ds.dataset_lines(spark, path).select("position", F.md5("line").alias("line_md5"))
 
 
 @query(
     "src5_read_trace_bundle",
-    f"""WITH {STAMPS} SELECT concat('node', conv_id // 64) AS node_id, count(*) AS sessions,
-  count(model) AS with_model, count(stamped_class) AS with_class FROM st
-  GROUP BY conv_id // 64""",
+    f"""WITH {STAMPS} SELECT 'node' AS node_id, count(*) AS sessions,
+  count(model) AS with_model, count(stamped_class) AS with_class FROM st""",
 )
 def read_trace_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = src.parse_bundles(fx.bundles(spark, sf))
-    one = parsed.select("node_id", F.posexplode("sessions").alias("ix", "s"))
-    first = one.groupBy("node_id", "s.session_id").agg(F.min_by("s", "ix").alias("s"))
-    return first.groupBy("node_id").agg(
+    """The sidecar of a folder of sessions; a folder without one has none."""
+    root = scratch_path(spark, "sessions")
+    fx.session_folder(spark, sf, root)
+    bundle = src.read_bundle(spark, root).unionByName(src.read_bundle(spark, f"{root}/archive"))
+    found = src.stamps(bundle).agg(
         F.count("*").alias("sessions"),
-        F.count("s.model").alias("with_model"),
-        F.count("s.license_class").alias("with_class"),
+        F.count("model").alias("with_model"),
+        F.count("stamped_class").alias("with_class"),
     )
+    return found.select(F.lit(bundle.first()["node_id"]).alias("node_id"), "*")
 
 
 @query(
@@ -413,7 +418,8 @@ def convert_round(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("hrv16_mine_sessions", f"{OUTCOMES} SELECT verdict, count(*) AS n FROM oc GROUP BY verdict")
 def mine_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return gate.ledger(_outcomes(spark, sf))
+    """A folder with an archive, a sidecar, blank lines and files that are skipped by name."""
+    return gate.ledger(_mined(spark, sf)[0])
 
 
 @query(
@@ -422,7 +428,7 @@ def mine_sessions(spark: SparkSession, sf: str) -> DataFrame:
   md5(concat(user_text, '|', assistant)) AS text_md5 FROM vd WHERE verdict = 'used'""",
 )
 def session_examples(spark: SparkSession, sf: str) -> DataFrame:
-    made = rounds.examples(_outcomes(spark, sf), "node")
+    made = _mined(spark, sf)[1]
     m, p = F.col("messages"), "provenance."
     return made.select(
         F.col(p + "session_id").cast("string").alias("session_id"),

@@ -52,8 +52,8 @@ def strip(x: str) -> str:
 
 MEMORIES_RAW = """raw AS (
  SELECT doc_id AS src_ord, concat('docs:', doc_id) AS id,
-  CASE WHEN doc_id % 37 = 0 THEN concat('Hey there! ', text)
-       WHEN doc_id % 41 = 0 THEN concat('see ', repeat('https://example.com/', 12))
+  CASE WHEN doc_id >= 1000000000 THEN text
+       WHEN doc_id % 37 = 0 THEN concat('Hey there! ', text)
        WHEN doc_id % 3 = 0 THEN concat('REFERENCE ', doc_id, chr(10), chr(10), array_to_string(
          list_transform(string_split(text, chr(10)), lambda l, i:
            CASE WHEN (i - 1) % 3 = 0
@@ -69,7 +69,9 @@ MEMORIES_RAW = """raw AS (
   source AS agent_id,
   CASE WHEN doc_id % 29 <> 0 THEN (doc_id % 100) / 100.0 END AS salience_raw,
   doc_id % 31 = 0 AS deleted
- FROM documents)"""
+ FROM (SELECT doc_id, text, lang, source FROM documents UNION ALL
+  SELECT doc_id + 1000000000, concat('see ', repeat('https://example.com/', 12)), lang, source
+  FROM documents WHERE doc_id % 41 = 0))"""
 
 MEMORIES = (
     MEMORIES_RAW
