@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from heirloom.functions import text as t
 from heirloom.operators.examples import from_jsonl
-from heirloom.sinks.dataset import dataset_lines
+from heirloom.session import evaluated_once
+from heirloom.sinks.dataset import dataset_lines, path_exists
+from heirloom.sources.lines import SPLIT, part_number, read_lines
 
 # Roles a stored message can have.
 ROLES = ("system", "user", "assistant")
@@ -87,29 +91,45 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def split_label(path: Column, block: Column) -> Column:
+    """The name of a split of a dataset; names sort as the stored lines do."""
+    name = F.element_at(F.split(path, "/"), -1)
+    number = F.lpad((part_number(path) + 1).cast("string"), 19, "0")
+    return F.concat_ws("-", number, name, F.lpad(block.cast("string"), 19, "0"))
+
+
 def export_provider(spark: SparkSession, dataset: str, out: str) -> None:
-    """Check a stored dataset and write its projection in the same order."""
-    lines = numbered_lines(spark, dataset)
-    # One pass says whether anything is wrong and whether there is anything at all.
-    reason = violation(F.col("example"))
-    seen = (
-        parsed_lines(lines)
-        .select("line_no", reason.alias("reason"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.when(F.col("reason").isNotNull(), F.struct("line_no", "reason"))).alias("v"),
-        )
-        .first()
+    """Check a stored dataset and write its projection in the same order, in one scan.
+
+    No line moves: each split is projected where it is read and written under its name, and
+    names sort as the dataset does. The same pass counts lines and finds the first that
+    must not be exported. Only an export without one is renamed to ``out``, which is a
+    single step where the file system has one; before, nothing can be seen there.
+    """
+    if path_exists(spark, out):
+        raise FileExistsError(f"export exists: {out}")
+    lines = read_lines(spark, dataset).select(
+        split_label(F.col("file_path"), F.col("block_start")).alias(SPLIT), "row_pos", F.col("value").alias("line")
+    )
+    rows = parsed_lines(lines).select(
+        SPLIT, "row_pos", violation(F.col("example")).alias("reason"), provider_line(F.col("example.messages")).alias("line")
     )
-    if seen["v"] is not None:
-        raise InvalidDataset(f"line {seen['v']['line_no']}: {seen['v']['reason']}")
-    if seen["n"] == 0:
-        raise InvalidDataset("dataset is empty — nothing to upload")
-    (
-        project(lines)
-        .repartitionByRange("line_no")
-        .sortWithinPartitions("line_no")
-        .select("line")
-        .write.mode("errorifexists")
-        .text(out)
+    seen = Observation(f"export-{uuid.uuid4().hex}")
+    counted = evaluated_once(rows, "reason", "line").observe(
+        seen, F.count(F.lit(1)).alias("n"), F.count("reason").alias("bad")
     )
+    staged = f"{out.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    ordered = counted.sortWithinPartitions(SPLIT, "row_pos").select(SPLIT, "line")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        ordered.write.mode("errorifexists").partitionBy(SPLIT).text(staged)
+        if seen.get["bad"]:
+            first = violations(numbered_lines(spark, dataset)).agg(F.min(F.struct("line_no", "reason")).alias("v")).first()["v"]
+            raise InvalidDataset(f"line {first['line_no']}: {first['reason']}")
+        if seen.get["n"] == 0:
+            raise InvalidDataset("dataset is empty — nothing to upload")
+        if not fs.rename(path(staged), path(out)):
+            raise FileExistsError(f"export exists: {out}")
+    finally:
+        fs.delete(path(staged), True)

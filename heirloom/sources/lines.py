@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from heirloom.session import materialize, materialize_counted
 
 BLOCK = ["file_path", "block_start"]
+#: The folders of an export are named by this and by the split that each holds.
+SPLIT = "split"
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], exact: bool = False) -> DataFrame:
@@ -111,7 +113,8 @@ def placed(rows: DataFrame, per_file: bool, out: str, few: int = FEW_SPLITS) ->
     if per_file:
         along = W.partitionBy("file_path").orderBy("block_start")
     else:
-        along = W.orderBy(part_number(F.col("file_path")), "file_path", "block_start")
+        folder = F.regexp_extract("file_path", rf"/{SPLIT}=([^/]+)/[^/]*$", 1)
+        along = W.orderBy(folder, part_number(F.col("file_path")), "file_path", "block_start")
     before = F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1))
     offset = (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_offset")
     offsets, count = materialize_counted(counts.select(*BLOCK, split.alias("_split"), offset), "placed-splits")

@@ -141,3 +141,39 @@ def test_parts_are_ordered_by_number(spark, tmp_path):
     assert [r["line"] for r in got] == ["0", "9", "10001", "99999", "100000", "100001"]
     plan = ds.dataset_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "value" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_export_is_one_scan_in_order_of_all_splits(spark, tmp_path):
+    """Parts of different sizes cut into many splits come out in order; no line is shuffled."""
+
+    folder = tmp_path / "set.jsonl"
+    folder.mkdir()
+    line = lambda i: json.dumps({
+        "messages": [{"role": "user", "content": f"q{i}"}, {"role": "assistant", "content": "a" * (i % 90)  + "."}],
+        "provenance": {"kind": "memory", "memory_id": f"m{i}"}, "instruction_kind": "templated_tag",
+    })
+    at = 0
+    for part, n in ((0, 3), (1, 90), (2, 4), (10, 200)):
+        (folder / f"part-{part:05d}-x.txt").write_text("".join(line(i) + "\n" for i in range(at, at + n)) + "\n")
+        at += n
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    DataFrame = type(spark.range(0))
+    plans, real = [], DataFrame.sortWithinPartitions
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        DataFrame.sortWithinPartitions = lambda self, *a, **k: plans.append(self) or real(self, *a, **k)
+        out = str(tmp_path / "out")
+        export.export_provider(spark, str(folder), out)
+        DataFrame.sortWithinPartitions = real
+        assert "Exchange" not in plans[-1]._jdf.queryExecution().executedPlan().toString()
+        got = [json.loads(r["line"])["messages"][0]["content"] for r in export.numbered_lines(spark, out).orderBy("line_no").collect()]
+        assert got == [f"q{i}" for i in range(at)]
+        with pytest.raises(FileExistsError):
+            export.export_provider(spark, str(folder), out)
+        (folder / "part-00007-x.txt").write_text("{}\n")
+        with pytest.raises(export.InvalidDataset, match=f"line {3 + 90 + 4 + 3 + 1}: not a valid"):
+            export.export_provider(spark, str(folder), str(tmp_path / "refused"))
+        assert [p.name for p in tmp_path.iterdir() if "refused" in p.name] == []
+    finally:
+        DataFrame.sortWithinPartitions = real
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -181,3 +181,43 @@ def test_round_numbers_do_not_depend_on_block_size(spark):
         numbered = with_turns(base.withColumn("block", F.floor(F.col("pos") / size)))
         results.append([r["turn_index"] for r in numbered.orderBy("pos").collect()])
     assert results[0] == results[1] == results[2] == [0, 0, 0, 1, 1, 2, 3, 3, 3, 3, 4, 4]
+
+
+def test_messages_do_not_move_before_their_round_is_gathered(spark, export):
+    """No exchange carries blocks, and turns do not depend on whether openers are sent to all tasks."""
+    from heirloom.operators import rounds
+    from heirloom.operators.messages import decode
+    from heirloom.session import materialize
+
+    for name in ("session-5.jsonl", "session-6.jsonl"):
+        export(name, *[x for i in range(40) for x in ((user(f"ask {i}"),) if i % 3 else ()) + (assistant(f"said {i}"),)])
+    lines = src.session_lines(spark, src.session_globs(spark, export.root))
+    messages = materialize(decode(lines), "messages").where("role IS NOT NULL")
+    found = {}
+    for few in (rounds.FEW_OPENERS, 0):
+        numbered = rounds.with_turns(messages, few)
+        found[few] = sorted((r["session_id"], r["pos"], r["turn_index"]) for r in numbered.collect())
+    assert found[rounds.FEW_OPENERS] == found[0]
+    plan = rounds.with_turns(messages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan
+    assert not [x for x in plan.split("\n") if "Exchange hash" in x or "Exchange range" in x or "SortMergeJoin" in x]
+    turns = {}
+    for sid, pos, turn in found[0]:
+        turns.setdefault(sid, []).append(turn)
+    opens = [bool(i % 3) and not said for i in range(40) for said in ((False, True) if i % 3 else (True,))]
+    want, at = [], 0
+    for k, opened in enumerate(opens):
+        at += opened and k > 0
+        want.append(at)
+    assert list(turns.values()) == [want, want]
+
+
+def test_openers_are_found_by_halving(spark):
+    from heirloom.operators.rounds import _at_or_before
+
+    places = [3, 5, 9, 10**12]
+    df = spark.createDataFrame([(places, p) for p in (0, 3, 4, 5, 9, 10, 10**12, 10**13)], "places ARRAY<BIGINT>, at BIGINT")
+    got = [r["n"] for r in df.select(_at_or_before(F.col("places"), F.col("at")).alias("n")).collect()]
+    assert got == [0, 1, 1, 2, 3, 3, 4, 4]
+    empty = spark.createDataFrame([([], 5)], "places ARRAY<BIGINT>, at BIGINT")
+    assert empty.select(_at_or_before(F.col("places"), F.col("at")).alias("n")).first()["n"] == 0
