@@ -38,11 +38,20 @@ SLOTS = 1 << 21
 @dataclass(frozen=True)
 class PpmConfig:
     """``order``: bytes of context, up to 6. ``rows``: texts drawn of each language (about,
-    as each is drawn by its own hash). ``languages``: more than that is an error."""
+    as each is drawn by its own hash). The number of a language stands above the bytes of a
+    context in one key of 63 bits, so there can be some eight million with four bytes."""
 
     order: int = 4
     rows: int = 1500
-    languages: int = 127
+
+    @property
+    def span(self) -> int:
+        """The bits of a context and a byte."""
+        return 8 * (self.order + 1)
+
+    @property
+    def languages(self) -> int:
+        return min(1 << 63 - self.span, (1 << 31) - 2)
 
 
 def _codes(data: np.ndarray, order: int) -> np.ndarray:
@@ -192,14 +201,14 @@ def drawn(rows: DataFrame, group: str, most: int, groups_most: int, seed: int =
 def fit(labelled: DataFrame, config: PpmConfig | None = None) -> Ppm | None:
     """The model of labelled(doc_id, text, lang); None if there is nothing to learn from."""
     config = config or PpmConfig()
-    if config.languages > 127 or config.order > 6:
-        raise ValueError("up to 127 languages and 6 bytes of context fit a key")
+    if config.order > 6:
+        raise ValueError("up to 6 bytes of context fit a key")
     rows = labelled.select("doc_id", "text", "lang").dropna()
     sample, languages = drawn(rows, "lang", config.rows, config.languages)
     if not languages:
         return None
     index = {x: i for i, x in enumerate(languages)}
-    order = config.order
+    order, span = config.order, config.span
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,8 +216,8 @@ def fit(labelled: DataFrame, config: PpmConfig | None = None) -> Ppm | None:
             raw, offsets = string_parts(batch.column(1))
             for texts, first, code in text_codes(raw, offsets, order):
                 size = np.diff(np.append(first, len(code)))
-                key, n = _summed((np.repeat(of[texts], size) << 56) | code, np.ones(len(code), np.int64))
-                columns = [key >> 56, key & ((1 << 56) - 1), n]
+                key, n = _summed((np.repeat(of[texts], size) << span) | code, np.ones(len(code), np.int64))
+                columns = [key >> span, key & ((1 << span) - 1), n]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["language", "code", "n"])
 
     counted = (

@@ -89,3 +89,14 @@ def test_groups_cover_all_rows():
         offsets = np.array([0, 0, 5, 6, 6, 20, 21])
         got = list(arrow_text.groups(offsets, limit))
         assert got[0][0] == 0 and got[-1][1] == 6 and all(a[1] == b[0] for a, b in zip(got, got[1:]))
+
+
+def test_many_languages(spark):
+    """More than fit a byte; each is known by letters of its own."""
+    rng = random.Random(12)
+    own = ["".join(chr(0x4E00 + 3 * k + i) for i in range(3)) for k in range(200)]
+    rows = [(k * 4 + i, " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(12)), f"l{k:03d}") for k, a in enumerate(own) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    found = language.predict(docs, language.fit(docs)).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert sum(r.lang_pred == want[r.doc_id] for r in found) > 0.98 * len(rows)
