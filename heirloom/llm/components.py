@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heirloom.session import materialize
+from heirloom.session import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,5 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(now) == mark or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(now)
-        edges = materialize(_star(edges, large=True), "large-star")
-        edges = materialize(_star(edges, large=False), "small-star")
+        for large in (True, False):
+            before, edges = edges, materialize(_star(edges, large), "large-star" if large else "small-star")
+            discard(before)

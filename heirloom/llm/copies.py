@@ -2,20 +2,28 @@
 
 A prefix-filtered set join. A document's shingles are ordered from rare to common; two
 sets that share four fifths have a shingle in common among the first fifth and one of
-each, so these prefixes are dealt by shingle and those who meet there are candidates,
-less those whose sizes or places cannot reach the bound. Candidates are compared by
-their whole sets, so exactly the pairs of the rule are links. Any order finds all; that
-of a sample, rare first, keeps common shingles out of the prefixes.
+each, so these prefixes alone are dealt by shingle and those who meet there are candidates,
+less those whose sizes or places cannot reach the bound. Any order finds all pairs; that of
+a sample which grows with the input, rare first, keeps common shingles out of the prefixes.
 
 Those who meet are first compared with one of them, and the links contracted. Only pairs
 that are in different components after that are compared one by one, so a group of
 thousands of close copies costs one comparison for each and not one for each pair.
 
+No shingles are kept but the prefixes. Of each set a sketch stays: the parity of its
+hashes' low bits. Two sets differ in at least as many shingles as their sketches in bits,
+so most candidates go by exact bounds before any text is cut again; only the texts of the
+rest are, each once, and their shingles are dealt once, by the set they are compared with.
+Exactly the pairs of the rule are links.
+
 Documents that op3's rule links (fingerprints of three-word shingles, two bits) stay
 together, so the components here hold those of op3.
 
 Defined results: a text of fewer than five words is one shingle; null and empty texts
-have no shingles and are linked by their fingerprint alone.
+have no shingles and are linked by their fingerprint alone. Repeated rows and equal texts
+are one set; null ids count as no id when the smallest of a component is looked for. An
+empty table gives an empty result. Further columns are not looked at. A long text is cut
+piece by piece; its hashes (eight bytes a word) are held by one task.
 """
 
 from __future__ import annotations
@@ -25,23 +33,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
 from heirloom.llm import simhash
 from heirloom.llm.arrow_text import groups, string_parts, with_results
 from heirloom.llm.components import components
-from heirloom.session import materialize, materialize_counted
+from heirloom.session import discard, materialize, materialize_counted
 
 WIDTH = 5
-#: Sets that the order of shingles is learned from, and shingles it holds: sent to all tasks.
-SAMPLE = 1 << 13
+#: Texts that the order of shingles is learned from at least, and the share of larger inputs.
+SAMPLE, SHARE = 1 << 13, 64
+#: Shingles that the order holds at most: they are sent to all tasks.
 KNOWN = 1 << 20
-#: So many ids of sets are sent to all tasks at most.
-FEW = 1 << 20
-#: Comparisons of sizes and places at once.
-STEP = 1 << 20
+#: While so many pairs are compared at most, the ids of their texts are sent to all tasks.
+FEW = 1 << 19
+#: Rows of one shingle, or sets compared with one set, that a task takes; more are dealt to several.
+CELL = 1 << 12
+#: Comparisons of sizes and places at once; sets that a task remembers.
+STEP, SEEN = 1 << 20, 1 << 20
+#: Sketches compared at once.
+PART = 1 << 14
+#: Bits of a sketch.
+SKETCH = 1024
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -65,170 +80,272 @@ def _arrays(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp, set_id (null without words) and grams of every document."""
+def _cut(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and the shingles (``grams``) of each text."""
 
     def work(text: pa.Array) -> list[pa.Array]:
-        sets = shingle_sets(text)
-        ids = [xxhash.xxh64_intdigest(x.tobytes()) - 2**63 if len(x) else None for x in sets]
-        return [pa.array(simhash.fingerprint_column(text).view(np.int64)), pa.array(ids, pa.int64()), _arrays(sets)]
+        return [_arrays(shingle_sets(text))]
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    made = [StructField("fp", LongType()), StructField("set_id", LongType()), StructField("grams", ArrayType(LongType()))]
-    return with_results(rows, ["doc_id", "text_hash"], {"text": F.col("text")}, made, work)
+    return with_results(docs, keep, {"text": F.col("text")}, [StructField("grams", ArrayType(LongType()))], work)
 
 
-def _learned_order(sets: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample has three times or more, sorted, and how often."""
-    part = max(1, count // SAMPLE)
-    drawn = sets.filter(F.pmod("set_id", F.lit(part)) == 0)
-    often = drawn.select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count > 2")
+def _learned_order(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of texts has three times or more, sorted, and how often the whole may have them."""
+    count = docs.count()
+    part = max(1, count // max(SAMPLE, count // SHARE))
+    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text").filter(F.pmod("text_hash", F.lit(part)) == 0)
+    often = _cut(rows.dropDuplicates(["text_hash"]), []).select(F.explode("grams").alias("gram"))
+    often = often.groupBy("gram").count().filter("count > 2")
     found = often.orderBy(F.desc("count"), "gram").limit(KNOWN).toArrow()
     gram, times = (found.column(i).to_numpy() for i in (0, 1))
     by = np.argsort(gram)
-    return gram[by], times[by]
+    return gram[by], times[by] * part
 
 
-def _prefixes(sets: DataFrame, count: int) -> DataFrame:
-    """gram, set_id, size and place of the first shingles of every set, once a task."""
-    order = sets.sparkSession.sparkContext.broadcast(_learned_order(sets, count))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = order.value
-        seen: set[int] = set()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                ids = batch.column(0).to_pylist()
-                fresh = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
-                batch = batch.take(pa.array(fresh, pa.int64()))
-                size = batch.column(1).value_lengths().to_numpy().astype(np.int64)
-                gram = batch.column(1).flatten().to_numpy()
-                owner = np.repeat(np.arange(len(size)), size)
-                common = np.zeros(len(gram), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                    common = np.where(known[at] == gram, times[at], 0)
-                by = np.lexsort((gram, common, owner))
-                place = simhash._within(size)
-                first = place <= (size - (4 * size + 4) // 5)[owner]
-                owner = owner[first]
-                columns = [gram[by][first], batch.column(0).to_numpy()[owner], size[owner], place[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "set_id", "size", "place"])
-
-    rows = sets.filter("set_id IS NOT NULL").select("set_id", "grams")
-    return rows.mapInArrow(run, "gram bigint, set_id bigint, size bigint, place bigint")
-
-
-def _by_gram(make):
-    """Works on rows that come by shingle, all rows of a shingle at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy() for c in batch.columns])
-            rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
-            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last shingle may go on
-            yield from make(rows[:, :cut])
-            rest = rows[:, cut:]
-        if rest is not None:
-            yield from make(rest)
-
-    return run
+def _prefix(grams: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first: so many that similar sets share one."""
+    common = np.zeros(len(grams), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        common = np.where(known[at] == grams, times[at], 0)
+    return grams[np.lexsort((grams, common))[: len(grams) - (4 * len(grams) + 4) // 5 + 1]]
 
 
-def _several(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each set once, at shingles that several sets have."""
-    if not rows.shape[1]:
-        return
-    new = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
-    rows = rows[:, new]
-    same = rows[0, 1:] == rows[0, :-1]
-    rows = rows[:, np.append(same, False) | np.append(False, same)]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["gram", "set_id", "size", "place"])
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    odd = np.bincount(grams & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _met(make):
-    """Pairs of those who meet at a shingle and can be similar."""
+def described(docs: DataFrame, order) -> DataFrame:
+    """doc_id, text_hash, fp, set_id (null without words), size, sketch and prefix of every document."""
 
-    def made(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for x, y in make(rows):
-            _, ids, size, place = rows[:4]
-            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            left = np.minimum(size[x] - place[x], size[y] - place[y])
-            can = (5 * small >= 4 * large) & (9 * left >= 4 * (small + large)) & (ids[x] != ids[y])
-            a, b = ids[x[can]], ids[y[can]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    def work(text: pa.Array) -> list[pa.Array]:
+        known, times = order.value
+        sets = shingle_sets(text)
+        return [
+            pa.array(simhash.fingerprint_column(text).view(np.int64)),
+            pa.array([xxhash.xxh64_intdigest(x.tobytes()) - 2**63 if len(x) else None for x in sets], pa.int64()),
+            pa.array([len(x) for x in sets], pa.int32()),
+            _arrays([_sketch(x) for x in sets]),
+            _arrays([_prefix(x, known, times) if len(x) else x for x in sets]),
+        ]
 
-    return _by_gram(made)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    made = [StructField("fp", LongType()), StructField("set_id", LongType()), StructField("size", IntegerType())]
+    made += [StructField(c, ArrayType(LongType())) for c in ("sketch", "prefix")]
+    return with_results(rows, ["doc_id", "text_hash"], {"text": F.col("text")}, made, work)
 
 
-def _with_first(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Everyone with the first who came to the same shingle."""
-    at = np.arange(rows.shape[1])
-    if len(at):
-        new = np.append(True, rows[0, 1:] != rows[0, :-1])
-        yield np.maximum.accumulate(np.where(new, at, 0)), at
+def _places(found: DataFrame, order) -> DataFrame:
+    """gram, part, set_id, size and place of all prefixes, each set once while a task remembers it.
 
+    A shingle that many are known to have is dealt in several parts.
+    """
 
-def _across(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Everyone with all of later components at the same shingle, which is sorted by component."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = order.value
+        hot, parts = known[times > CELL], times[times > CELL] // CELL + 1
+        seen: set[int] = set()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                if len(seen) > SEEN:
+                    seen.clear()
+                ids = batch.column(0).to_pylist()
+                batch = batch.take(pa.array([i for i, x in enumerate(ids) if not (x in seen or seen.add(x))], pa.int64()))
+                many = batch.column(2).value_lengths().to_numpy().astype(np.int64)
+                gram = batch.column(2).flatten().to_numpy()
+                owner = np.repeat(np.arange(len(many)), many)
+                set_id = batch.column(0).to_numpy()[owner]
+                part = np.zeros(len(gram), np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
+                    part = np.where(hot[at] == gram, 1 + set_id % parts[at], 0)
+                size, place = batch.column(1).to_numpy()[owner], simhash._within(many) + 1
+                columns = [gram, part.astype(np.int32), set_id, size, place.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "part", "set_id", "size", "place"])
+
+    rows = found.filter("set_id IS NOT NULL").select("set_id", "size", "prefix")
+    return rows.mapInArrow(run, "gram bigint, part int, set_id bigint, size int, place int")
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set once, at shingles that several sets have or that are known to be common; rows come by shingle."""
+    last = None  # the row that waits for the next to tell whether others have its shingle
+    met = False  # whether those before it have
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+        if last is not None:
+            rows = np.concatenate([last, rows], axis=1)
+        rows = rows[:, np.append(True, (rows[[0, 2], 1:] != rows[[0, 2], :-1]).any(axis=0))]
+        same = rows[0, 1:] == rows[0, :-1]
+        keep = np.append(met, same) | np.append(same, False) | (rows[1] > 0)
+        last, met = rows[:, -1:], bool(same[-1]) if len(same) else met
+        yield _met_rows(rows[:, :-1][:, keep[:-1]])
+    if last is not None and (met or last[1, 0] > 0):
+        yield _met_rows(last)
+
+
+def _met_rows(rows: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(rows[0]), pa.array(rows[2]), *(pa.array(x.astype(np.int32)) for x in rows[3:])]
+    return pa.RecordBatch.from_arrays(columns, ["gram", "set_id", "size", "place"])
+
+
+def _can(size: str, place: str, other_size: str, other_place: str) -> Column:
+    """Whether sizes and places of two sets at a shingle leave four fifths."""
+    x, p, y, q = (F.col(c).cast("long") for c in (size, place, other_size, other_place))
+    left = F.least(x - p, y - q) + 1
+    return (5 * F.least(x, y) >= 4 * F.greatest(x, y)) & (9 * left >= 4 * (x + y))
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of everyone with one of those at the same shingle."""
+    head = met.groupBy("gram").agg(F.min(F.struct("set_id", "size", "place")).alias("head"))
+    both = met.join(head, "gram").select("set_id", "size", "place", "head.*")
+    both = both.toDF("b", "size", "place", "a", "other_size", "other_place").filter("a <> b")
+    return both.filter(_can("size", "place", "other_size", "other_place")).select("a", "b").distinct()
+
+
+def _across_cells(rows: DataFrame) -> DataFrame:
+    """Rows gram, set_id, size, place, root and sketch in cells of bounded size, so that all pairs at a shingle meet.
+
+    A shingle's rows are dealt into buckets, and each bucket meets each in a cell.
+    """
+    count = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+    count = count.select("gram", F.ceil(F.col("n") / CELL).cast("int").alias("buckets"))
+    rows = rows.join(count, "gram", "left").withColumn("buckets", F.coalesce("buckets", F.lit(1)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("set_id"), "buckets").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+    cell = F.xxhash64("gram", F.least("bucket", "other"), F.greatest("bucket", "other")).alias("cell")
+    side = F.when(F.col("bucket") == F.col("other"), 0).when(F.col("bucket") < F.col("other"), 1).otherwise(2)
+    return rows.select(cell, side.alias("side"), "set_id", "size", "place", "root", "sketch")
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in cells; rows come by cell and component."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:-1]])
+        rows = np.concatenate([rows, batch.columns[-1].flatten().to_numpy().reshape(len(batch), -1).T])
+        rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
+        cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last cell may go on
+        yield from _cell_pairs(rows[:, :cut])
+        rest = rows[:, cut:]
+    if rest is not None:
+        yield from _cell_pairs(rest)
+
+
+def _cell_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Everyone with all of later components in the same cell, if size, place and sketch let them be similar."""
     n = rows.shape[1]
     if not n:
         return
-    grams = np.append(np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1])), n)
-    new = np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[4, 1:] != rows[4, :-1]))
+    cell, side, ids, size, place, root = rows[:6]
+    sketch = np.ascontiguousarray(rows[6:].T).view(np.uint64)
+    cells = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), n)
+    new = np.append(True, (cell[1:] != cell[:-1]) | (root[1:] != root[:-1]))
     runs = np.append(np.flatnonzero(new), n)
     at = np.arange(n)
     begin = runs[np.searchsorted(runs, at, "right")]
-    count = grams[np.searchsorted(grams, at, "right")] - begin
+    count = cells[np.searchsorted(cells, at, "right")] - begin
     lo, total = 0, np.cumsum(count)
     while lo < n:
         done = total[lo - 1] if lo else 0
         hi = max(int(np.searchsorted(total, done + STEP, "right")), lo + 1)
         many = count[lo:hi]
-        yield np.repeat(at[lo:hi], many), np.repeat(begin[lo:hi], many) + simhash._within(many)
+        x, y = np.repeat(at[lo:hi], many), np.repeat(begin[lo:hi], many) + simhash._within(many)
+        small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        left = np.minimum(size[x] - place[x], size[y] - place[y]) + 1
+        can = (5 * small >= 4 * large) & (9 * left >= 4 * (small + large)) & ((side[x] == 0) | (side[x] != side[y]))
+        x, y = x[can], y[can]
+        bits = [np.bitwise_count(sketch[x[k : k + PART]] ^ sketch[y[k : k + PART]]).sum(axis=1) for k in range(0, len(x), PART)]
+        near = 9 * np.concatenate([np.zeros(0, np.int64), *bits]) <= size[x] + size[y]
+        a, b = ids[x[near]], ids[y[near]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
         lo = hi
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets share four fifths."""
-    theirs = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    theirs = materialize(theirs, "copies-ids")
-    theirs = F.broadcast(theirs) if theirs.count() <= FEW else theirs
-    rows = sets.select("set_id", "grams").join(theirs, "set_id", "left_semi")
-    sets = materialize(rows.dropDuplicates(["set_id"]), "copies-compared")
-    left = sets.select(F.col("set_id").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("grams").alias("y"))
-    met = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return met.filter(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-
-
-def links(sets: DataFrame, count: int, more: DataFrame) -> DataFrame:
-    """Links (a, b) of set_id that with ``more`` have the components of all similar pairs and ``more``."""
-    places = _prefixes(sets, count).repartition("gram").sortWithinPartitions("gram", "set_id")
-    kind = "gram bigint, set_id bigint, size bigint, place bigint"
-    met = materialize(places.mapInArrow(_by_gram(_several), kind), "copies-met")
-    by_gram = met.repartition("gram").sortWithinPartitions("gram", "set_id")
-    pairs = materialize(by_gram.mapInArrow(_met(_with_first), "a bigint, b bigint").distinct(), "copies-first")
-    found = materialize(_similar(pairs, sets).unionAll(more), "copies-stars")
-    root = components(found).select(F.col("node").alias("set_id"), "root")
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose sets share four fifths, compared shingle by shingle."""
+    bits = F.lit(0)
+    for i in range(SKETCH // 64):
+        bits = bits + F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i]))
+    known = classes.select("set_id", "size", "sketch")
+    near = pairs.join(known.alias("x"), F.col("a") == F.col("x.set_id"))
+    near = near.join(known.alias("y"), F.col("b") == F.col("y.set_id"))
+    near = near.filter(9 * bits <= F.col("x.size") + F.col("y.size")).select("a", "b")
+    near, count = materialize_counted(near, "copies-near")
+    # Each set goes to those it is compared with (b), and a set that others are compared with (a) to its own parts.
+    parts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    guests = near.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("set_id"))
+    hosts = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("set_id"))
+    goes = guests.unionAll(hosts).groupBy("set_id").agg(F.collect_list(F.struct("a", "part")).alias("to"))
+    goes = goes.join(classes.select("set_id", "text_of.*"), "set_id")
+    goes = materialize(goes.withColumnsRenamed({"doc_id": "llm_id", "text_hash": "llm_hash"}), "copies-goes")
+    same = F.col("doc_id").eqNullSafe(F.col("llm_id")) & (F.xxhash64("text") == F.col("llm_hash"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(goes) if count <= FEW else goes, same).select("set_id", "to", "text")
+    dealt = _cut(texts, ["set_id", "to"]).select("set_id", "grams", F.inline("to"))
+    dealt = dealt.select("a", "part", (F.col("a") != F.col("set_id")).alias("guest"), "set_id", "grams")
+    return dealt.repartition("a", "part").sortWithinPartitions("a", "part", "guest").mapInArrow(_compared, "a bigint, b bigint")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a host and each guest that shares four fifths; rows come by host, its own shingles first."""
+    host, grams = None, None
+    for batch in batches:
+        values, cuts = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
+        rows = zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), cuts[:-1], cuts[1:], strict=True)
+        pairs = []
+        for a, guest, set_id, lo, hi in rows:
+            theirs = values[lo:hi]
+            if not guest:
+                host, grams = a, theirs.copy()
+                continue
+            if a != host:
+                raise ValueError("a set came without the one it is compared with")
+            at = np.minimum(np.searchsorted(grams, theirs), len(grams) - 1)
+            if 9 * np.count_nonzero(grams[at] == theirs) >= 4 * (len(grams) + len(theirs)):
+                pairs.append((a, set_id))
+        columns = np.array(pairs, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
+
+
+def links(found: DataFrame, order, docs: DataFrame, more: DataFrame) -> DataFrame:
+    """Links (a, b) of set_id that with ``more`` have the components of all similar pairs and ``more``.
+
+    ``found`` are the descriptions of ``docs``, written.
+    """
+    once = found.filter("set_id IS NOT NULL").groupBy("set_id")
+    text_of = F.min(F.struct("doc_id", "text_hash")).alias("text_of")
+    classes = materialize(once.agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), text_of), "copies-sets")
+    places = _places(found, order).repartition("gram", "part").sortWithinPartitions("gram", "set_id")
+    met = materialize(places.mapInArrow(_several, "gram bigint, set_id bigint, size int, place int"), "copies-met")
+    pairs = materialize(_stars(met), "copies-first")
+    stars = materialize(_similar(pairs, classes, docs).unionAll(more), "copies-stars")
+    root = components(stars).select(F.col("node").alias("set_id"), "root")
     named = materialize(met.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "copies-named")
     several = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    open_rows = named.join(several.select("gram"), "gram", "left_semi").select("gram", "set_id", "size", "place", "root")
-    open_rows = open_rows.repartition("gram").sortWithinPartitions("gram", "root", "set_id")
-    across = open_rows.mapInArrow(_met(_across), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
-    return found.unionAll(_similar(materialize(across, "copies-across"), sets))
+    open_rows = named.join(several.select("gram"), "gram", "left_semi").join(classes.select("set_id", "sketch"), "set_id")
+    open_rows = materialize(open_rows, "copies-open")
+    discard(met, named)
+    cells = _across_cells(open_rows).repartition("cell").sortWithinPartitions("cell", "root", "set_id")
+    across = cells.mapInArrow(_across, "a bigint, b bigint").distinct()
+    across = materialize(across.join(pairs, ["a", "b"], "left_anti"), "copies-across")
+    both = materialize(stars.unionAll(_similar(across, classes, docs)), "copies-links")
+    discard(classes, pairs, stars, open_rows, across)
+    return both
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and component_id, the smallest id reachable over links of either
     rule, of every document."""
-    found, count = materialize_counted(shingled(docs), "copies-sets")
+    order = docs.sparkSession.sparkContext.broadcast(_learned_order(docs))
+    found = materialize(described(docs, order), "copies-found")
     prints = found.select("doc_id", "text_hash", "fp", "set_id")
     grown = materialize(simhash.roots(prints).select("fp", F.col("root").alias("group")), "copies-prints")
     # Texts without words have one set of their own, apart from all others: that of their fingerprint.
@@ -237,14 +354,16 @@ def copies(docs: DataFrame) -> DataFrame:
     sets = named.select("group", "set_id").distinct()
     head = sets.groupBy("group").agg(F.min("set_id").alias("b"))
     more = sets.join(head, "group").filter("set_id <> b").select(F.col("set_id").alias("a"), "b")
-    root = components(links(found, count, more)).select(F.col("node").alias("set_id"), "root")
+    linked = links(found, order, docs, more)
+    root = components(linked).select(F.col("node").alias("set_id"), "root")
     classes = named.groupBy("set_id").agg(F.min("doc_id").alias("least_id")).join(root, "set_id", "left")
     classes = classes.withColumn("root", F.coalesce("root", "set_id"))
     least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = materialize(classes.join(least, "root").select("set_id", "component_id"), "copies-components")
+    discard(found, grown, linked)
     return named.join(ids, "set_id").select("doc_id", "text_hash", "component_id")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The documents, as they came, without copies: see ``simhash.keep_least``."""
-    return simhash.keep_least(docs, materialize(copies(docs), "copies-found"))
+    return simhash.keep_least(docs, materialize(copies(docs), "copies-ids"))

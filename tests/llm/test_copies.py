@@ -74,3 +74,52 @@ def test_sets_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     assert len(want) == len(grams(text))
     monkeypatch.setattr(simhash, "PIECE", 333)
     assert copies.shingle_sets(pa.array([text]))[0].tolist() == want
+
+
+def test_repeated_rows_null_ids_and_hot_shingles(spark, monkeypatch):
+    """Many sets share their rarest shingles; cells and parts of a few rows find the same components."""
+    rng = random.Random(6)
+    base = [rng.choice(VOCABULARY) for _ in range(60)]
+    texts = [" ".join(edited(rng, base, 1)) for _ in range(60)] + [" ".join([*base[:30], *edited(rng, base[30:], 12)]) for _ in range(25)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 2 + [(None, texts[5]), (None, "else entirely, that is"), (None, None)]
+    sets = [grams(t) for _, t in rows]
+    fps = [fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            close = sets[i] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))
+            if close or (fps[i] ^ fps[j]).bit_count() <= 2:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    want = {}
+    for (doc_id, _), g in zip(rows, group, strict=True):
+        want.setdefault(g, set()).add(doc_id)
+    want = sorted(sorted(map(str, w)) for w in want.values())
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").selectExpr("*", "1 AS set_id", "2 AS grams", "3 AS llm_id")
+    for cell in (copies.CELL, 5):
+        monkeypatch.setattr(copies, "CELL", cell)
+        monkeypatch.setattr(copies, "SEEN", cell)
+        got = {}
+        for r in copies.copies(df.repartition(3)).collect():
+            got.setdefault((r.component_id, r.text_hash if r.component_id is None else 0), set()).add(r.doc_id)
+        assert sorted(sorted(map(str, w)) for w in got.values()) == want
+    assert copies.copies(df.limit(0)).count() == 0
+
+
+def test_what_is_written_stays_below_the_input(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(VOCABULARY) + str(rng.randrange(50)) for _ in range(400))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    sizes = []
+    real = copies.materialize
+
+    def measured(table, label):
+        out = real(table, label)
+        files = spark.read.format("binaryFile").load(out.scratch_path).select("length").collect()
+        sizes.append((label, sum(f.length for f in files)))
+        return out
+
+    monkeypatch.setattr(copies, "materialize", measured)
+    assert copies.copies(df).count() == 300
+    assert sum(n for _, n in sizes) < sum(len(t) for _, t in rows)
+    assert dict(sizes)["copies-found"] < sum(len(t) for _, t in rows) / 2
