@@ -13,7 +13,6 @@ from heirloom.plans import fixtures as fx
 from heirloom.plans import sql as q
 from heirloom.plans.registry import query
 from heirloom.session import scratch_path
-from heirloom.sinks import dataset as ds
 from heirloom.sources import sessions as src
 
 # Fixed values, written out here so that a wrong pattern in the code does not agree with itself.
