@@ -100,15 +100,18 @@ WITH known(said, name) AS (VALUES
   ('this work is licensed under a creative commons attribution 4 0 international license', 'cc_by_4_work'),
   ('all rights reserved license', 'reserved')),
 cut AS (SELECT row_number() OVER () AS row_no, doc_id,
-  string_split_regex(coalesce(text, ''), '[.!?;:]+[ \t\r\n\f]+|[\r\n]+') AS lines,
   string_split_regex(coalesce(text, ''), '[.!?;:]+[ \t\r\n\f]+|\n[ \t\r\n\f]*\n') AS paragraphs FROM documents),
-pieces AS (SELECT row_no, 1 AS way, unnest(lines) AS part, generate_subscripts(lines, 1) AS pos FROM cut
-  UNION ALL SELECT row_no, 2, unnest(paragraphs), generate_subscripts(paragraphs, 1) FROM cut),
-ids AS (SELECT row_no, way, count(*) AS n, string_agg(name, ',' ORDER BY pos) AS names,
-  string_agg('<' || name || '>', '' ORDER BY pos) AS tags
-  FROM pieces JOIN known ON said = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) GROUP BY row_no, way),
-best AS (SELECT row_no, arg_max(names, 2 * n + (way = 1)::INT) AS names,
-  arg_max(tags, 2 * n + (way = 1)::INT) AS tags FROM ids GROUP BY row_no),
+parts AS (SELECT row_no, unnest(paragraphs) AS part, generate_subscripts(paragraphs, 1) AS pos FROM cut),
+wholes AS (SELECT parts.*, name FROM parts
+  LEFT JOIN known ON said = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
+split AS (SELECT row_no, pos, string_split_regex(part, '[\r\n]+') AS lines FROM wholes
+  WHERE name IS NULL AND regexp_matches(part, '[\r\n]')),
+lines AS (SELECT row_no, pos, unnest(lines) AS part, generate_subscripts(lines, 1) AS line FROM split),
+hits AS (SELECT row_no, pos, 0 AS line, name FROM wholes WHERE name IS NOT NULL
+  UNION ALL SELECT row_no, pos, line, name FROM lines
+  JOIN known ON said = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
+best AS (SELECT row_no, string_agg(name, ',' ORDER BY pos, line) AS names,
+  string_agg('<' || name || '>', '' ORDER BY pos, line) AS tags FROM hits GROUP BY row_no),
 r0 AS (SELECT row_no, names, replace(tags, '<bsd_use><bsd_source><bsd_binary><bsd_name>', '<>') AS tags,
   '' || CASE WHEN contains(tags, '<bsd_use><bsd_source><bsd_binary><bsd_name>') THEN 'BSD-3-Clause,' ELSE '' END AS found FROM best),
 r1 AS (SELECT row_no, names, replace(tags, '<bsd_use><bsd_source><bsd_binary>', '<>') AS tags,

@@ -66,3 +66,28 @@ and/or other materials provided with the distribution.
     assert got[0][0] == "bsd_use,bsd_source,bsd_binary,cc_by_nc_4"
     assert got[1][0] == "cc_by_nc_4,bsd_use,bsd_source,bsd_binary"
     assert got[3] == ("apache2_the", "Apache-2.0", "")
+
+
+def test_the_oracle_agrees_where_both_cuts_find_something(spark):
+    import duckdb
+
+    from heirloom.llm.sql import ORACLES
+
+    wrapped = (
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+        "following\nconditions are met:\n\nRedistributions of source code must retain the above copyright\nnotice, this list of "
+        "conditions and the following disclaimer.\n\nRedistributions in binary form must reproduce the above copyright notice,\n"
+        "this list of conditions and the following disclaimer in the documentation\nand/or other materials provided with the "
+        "distribution.\n\n"
+    )
+    line = "some prose without a stop\nLicensed under CC BY-NC 4.0.\n"
+    texts = [wrapped + line, line + "\n" + wrapped, line * 3 + wrapped, wrapped + line * 3, wrapped, line, "", None]
+    rows = list(enumerate(texts)) + [(1, texts[1])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(ORACLES["op6_license_scan"]).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    found = {r.doc_id: r.licenses for r in got}
+    assert found[0] == found[1] == "BSD-2-Clause,CC-BY-NC-4.0"
