@@ -6,9 +6,11 @@ each, so these prefixes alone are dealt by shingle and those who meet there are
 less those whose sizes or places cannot reach the bound. Any order finds all pairs; that of
 a sample which grows with the input, rare first, keeps common shingles out of the prefixes.
 
-Those who meet are first compared with one of them, and the links contracted. Only pairs
-that are in different components after that are compared one by one, so a group of
-thousands of close copies costs one comparison for each and not one for each pair.
+Those who meet are first compared with one of them, and the links contracted. Then, in
+rounds, each component is compared with the one other set it meets that is likeliest to be
+linked, and contracted again. Only pairs that are in different components after that are
+compared one by one, so a group of thousands of close copies costs a few comparisons for
+each and not one for each pair.
 
 No shingles are kept but the prefixes. Of each set a sketch stays: the parity of its
 hashes' low bits. Two sets differ in at least as many shingles as their sketches in bits,
@@ -55,6 +57,8 @@ CELL = 1 << 12
 STEP, SEEN = 1 << 20, 1 << 20
 #: Sketches compared at once.
 PART = 1 << 14
+#: Rounds in which components are compared with their likeliest neighbours at most.
+ROUNDS = 4
 #: Bits of a sketch.
 SKETCH = 1024
 
@@ -223,23 +227,36 @@ def _across_cells(rows: DataFrame) -> DataFrame:
     return rows.select(cell, side.alias("side"), "set_id", "size", "place", "root", "sketch")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in cells; rows come by cell and component."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:-1]])
-        rows = np.concatenate([rows, batch.columns[-1].flatten().to_numpy().reshape(len(batch), -1).T])
-        rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
-        cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last cell may go on
-        yield from _cell_pairs(rows[:, :cut])
-        rest = rows[:, cut:]
-    if rest is not None:
-        yield from _cell_pairs(rest)
+def _across(likeliest: bool):
+    """Pairs of different components in cells; rows come by cell and component.
+
+    Either all of them, or for each component in a cell the likeliest pair, and (a, a) for
+    every set of any pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:-1]])
+            rows = np.concatenate([rows, batch.columns[-1].flatten().to_numpy().reshape(len(batch), -1).T])
+            rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last cell may go on
+            yield from _cell_pairs(rows[:, :cut], likeliest)
+            rest = rows[:, cut:]
+        if rest is not None:
+            yield from _cell_pairs(rest, likeliest)
+
+    return run
+
 
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-def _cell_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _cell_pairs(rows: np.ndarray, likeliest: bool) -> Iterator[pa.RecordBatch]:
     """Everyone with all of later components in the same cell, if size, place and sketch let them be similar."""
     n = rows.shape[1]
     if not n:
@@ -252,6 +269,10 @@ def _cell_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     at = np.arange(n)
     begin = runs[np.searchsorted(runs, at, "right")]
     count = cells[np.searchsorted(cells, at, "right")] - begin
+    run_of = np.cumsum(new) - 1
+    met = np.zeros(n, bool)
+    best = np.full(len(runs) - 1, np.inf)
+    pair = np.zeros((2, len(runs) - 1), np.int64)
     lo, total = 0, np.cumsum(count)
     while lo < n:
         done = total[lo - 1] if lo else 0
@@ -263,23 +284,39 @@ def _cell_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         can = (5 * small >= 4 * large) & (9 * left >= 4 * (small + large)) & ((side[x] == 0) | (side[x] != side[y]))
         x, y = x[can], y[can]
         bits = [np.bitwise_count(sketch[x[k : k + PART]] ^ sketch[y[k : k + PART]]).sum(axis=1) for k in range(0, len(x), PART)]
-        near = 9 * np.concatenate([np.zeros(0, np.int64), *bits]) <= size[x] + size[y]
-        a, b = ids[x[near]], ids[y[near]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        bits = np.concatenate([np.zeros(0, np.int64), *bits])
+        near = 9 * bits <= size[x] + size[y]
+        x, y, bits = x[near], y[near], bits[near]
+        if likeliest:
+            met[x] = met[y] = True
+            score = bits / (size[x] + size[y])
+            of, score, both = np.append(run_of[x], run_of[y]), np.append(score, score), np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((score, of))
+            first = order[np.append(True, of[order][1:] != of[order][:-1])] if len(order) else order
+            first = first[score[first] < best[of[first]]]
+            best[of[first]] = score[first]
+            pair[:, of[first]] = x[both[first]], y[both[first]]
+        else:
+            yield _pair_rows(ids[x], ids[y])
         lo = hi
+    if likeliest:
+        x, y = pair[:, np.isfinite(best)]
+        yield _pair_rows(np.append(ids[x], ids[met]), np.append(ids[y], ids[met]))
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose sets share four fifths, compared shingle by shingle."""
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that differ in few enough bits of their sketches."""
     bits = F.lit(0)
     for i in range(SKETCH // 64):
         bits = bits + F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i]))
     known = classes.select("set_id", "size", "sketch")
     near = pairs.join(known.alias("x"), F.col("a") == F.col("x.set_id"))
     near = near.join(known.alias("y"), F.col("b") == F.col("y.set_id"))
-    near = near.filter(9 * bits <= F.col("x.size") + F.col("y.size")).select("a", "b")
-    near, count = materialize_counted(near, "copies-near")
+    return near.filter(9 * bits <= F.col("x.size") + F.col("y.size")).select("a", "b")
+
+
+def _similar(near: DataFrame, count: int, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs, ``count`` of them, whose sets share four fifths, compared shingle by shingle."""
     # Each set goes to those it is compared with (b), and a set that others are compared with (a) to its own parts.
     parts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
     guests = near.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("set_id"))
@@ -315,6 +352,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
 
 
+def _open(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows gram, set_id, ... of shingles that several components have, with their ``root``."""
+    root = components(linked).select(F.col("node").alias("set_id"), "root")
+    named = rows.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    several = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    return named.join(several.select("gram"), "gram", "left_semi")
+
+
 def links(found: DataFrame, order, docs: DataFrame, more: DataFrame) -> DataFrame:
     """Links (a, b) of set_id that with ``more`` have the components of all similar pairs and ``more``.
 
@@ -326,19 +371,38 @@ def links(found: DataFrame, order, docs: DataFrame, more: DataFrame) -> DataFram
     places = _places(found, order).repartition("gram", "part").sortWithinPartitions("gram", "set_id")
     met = materialize(places.mapInArrow(_several, "gram bigint, set_id bigint, size int, place int"), "copies-met")
     pairs = materialize(_stars(met), "copies-first")
-    stars = materialize(_similar(pairs, classes, docs).unionAll(more), "copies-stars")
-    root = components(stars).select(F.col("node").alias("set_id"), "root")
-    named = materialize(met.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "copies-named")
-    several = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    open_rows = named.join(several.select("gram"), "gram", "left_semi").join(classes.select("set_id", "sketch"), "set_id")
-    open_rows = materialize(open_rows, "copies-open")
-    discard(met, named)
-    cells = _across_cells(open_rows).repartition("cell").sortWithinPartitions("cell", "root", "set_id")
-    across = cells.mapInArrow(_across, "a bigint, b bigint").distinct()
-    across = materialize(across.join(pairs, ["a", "b"], "left_anti"), "copies-across")
-    both = materialize(stars.unionAll(_similar(across, classes, docs)), "copies-links")
-    discard(classes, pairs, stars, open_rows, across)
-    return both
+    near, count = materialize_counted(_near(pairs, classes), "copies-near")
+    linked = materialize(_similar(near, count, classes, docs).unionAll(more), "copies-stars")
+    open_rows = materialize(_open(met, linked).join(classes.select("set_id", "sketch"), "set_id"), "copies-open")
+    discard(met, near)
+    left = ROUNDS
+    while True:
+        last = not left
+        cells = _across_cells(open_rows).repartition("cell").sortWithinPartitions("cell", "root", "set_id")
+        found_pairs = materialize(cells.mapInArrow(_across(not last), "a bigint, b bigint").distinct(), "copies-across")
+        if not last:
+            # Sets that no other component comes near are done with.
+            active = found_pairs.filter("a = b").select(F.col("a").alias("set_id"))
+            before, open_rows = open_rows, materialize(open_rows.join(active, "set_id", "left_semi"), "copies-active")
+            discard(before)
+        new = found_pairs.filter("a <> b").join(pairs, ["a", "b"], "left_anti")
+        new, count = materialize_counted(new, "copies-pairs")
+        discard(found_pairs)
+        if count:
+            similar, links_found = materialize_counted(_similar(new, count, classes, docs), "copies-similar")
+            both = materialize(linked.unionAll(similar), "copies-links")
+            seen = materialize(pairs.unionAll(new), "copies-seen")
+            discard(linked, similar, pairs)
+            linked, pairs = both, seen
+        discard(new)
+        if last:
+            break
+        left = left - 1 if count and links_found else 0
+        if count and links_found:
+            before, open_rows = open_rows, materialize(_open(open_rows.drop("root"), linked), "copies-open")
+            discard(before)
+    discard(classes, pairs, open_rows)
+    return linked
 
 
 def copies(docs: DataFrame) -> DataFrame:
