@@ -98,25 +98,39 @@ def headings(lines: Column) -> Column:
     return F.filter(texts, lambda x: (x["level"] <= 6) & (x["text"] != ""))
 
 
+#: Elements of an array that a fold takes in one go.
+BLOCK = 256
+
+
+def _blocks(size: Column) -> Column:
+    """The numbers of the blocks of an array: none for an empty one."""
+    return F.when(size == 0, F.array().cast("array<int>")).otherwise(
+        F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int"))
+    )
+
+
 def heading_trails(heads: Column) -> Column:
     """For each heading the live ancestors and itself, outermost first.
 
-    Element 0 is the empty trail that holds before the first heading.
+    Element 0 is the empty trail that holds before the first heading. A block of headings
+    is folded into a short array, so that the long one is copied once a block.
     """
     start = F.expr("cast(array(array()) as array<array<struct<level: int, text: string>>>)")
-    return F.aggregate(
-        heads,
-        start,
-        lambda trails, h: F.concat(
-            trails,
-            F.array(
-                F.concat(
-                    F.filter(F.element_at(trails, -1), lambda x: x["level"] < h["level"]),
-                    F.array(F.struct(h["level"].alias("level"), h["text"].alias("text"))),
-                )
-            ),
-        ),
-    )
+
+    def step(trails: Column, h: Column) -> Column:
+        above = F.filter(F.element_at(trails, -1), lambda x: x["level"] < h["level"])
+        own = F.array(F.struct(h["level"].alias("level"), h["text"].alias("text")))
+        return F.concat(trails, F.array(F.concat(above, own)))
+
+    def block(hs: Column):
+        return lambda trails, k: F.aggregate(
+            F.slice(hs, k * BLOCK + 1, F.lit(BLOCK)),
+            F.slice(trails, F.lit(-1), F.lit(1)),
+            step,
+            lambda more: F.concat(trails, F.slice(more, F.lit(2), F.size(more) - 1)),
+        )
+
+    return t.let(heads, lambda hs: F.aggregate(_blocks(F.size(hs)), start, block(hs)))
 
 
 def sections(title: Column, lines: Column, heads: Column) -> Column:
@@ -148,39 +162,64 @@ def sections(title: Column, lines: Column, heads: Column) -> Column:
     )
 
 
-def merge_short_forward(secs: Column, cfg: ChunkConfig = ChunkConfig()) -> Column:
-    """Carry a short section into the next one, which then takes the earlier path."""
-    start = F.expr(
-        f"named_struct('done', cast(array() as array<{CHUNK_TYPE}>), "
-        f"'carry', cast(null as {CHUNK_TYPE}))"
-    )
-    no_carry = F.lit(None).cast(CHUNK_TYPE)
+def _merge_starts(lengths: Column, cfg: ChunkConfig) -> Column:
+    """The sections that begin a merged one, by the lengths of all.
 
-    def step(acc: Column, sec: Column) -> Column:
-        joined = F.when(acc["carry"].isNull(), sec).otherwise(
-            F.struct(
-                acc["carry"]["heading_path"].alias("heading_path"),
-                F.concat(acc["carry"]["body"], F.lit("\n\n"), sec["body"]).alias("body"),
-            )
+    Only numbers are folded: where merged sections begin, and how long the one is that is
+    still too short (-1: none). A block is folded into a short array first.
+    """
+    none = F.lit(-1).cast("bigint")
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = acc["held"] < 0
+        grown = F.when(fresh, x["n"]).otherwise(acc["held"] + 2 + x["n"])
+        return F.struct(
+            F.when(fresh, F.concat(acc["starts"], F.array(x["i"]))).otherwise(acc["starts"]).alias("starts"),
+            F.when(grown < cfg.min_section, grown).otherwise(none).alias("held"),
         )
-        return t.let(
-            joined,
-            lambda cur: F.when(
-                F.length(cur["body"]) < cfg.min_section,
-                F.struct(acc["done"].alias("done"), cur.alias("carry")),
-            ).otherwise(
-                F.struct(
-                    F.concat(acc["done"], F.array(cur)).alias("done"), no_carry.alias("carry")
-                )
+
+    def block(acc: Column, k: Column, ls: Column) -> Column:
+        return F.aggregate(
+            F.slice(ls, k * BLOCK + 1, F.lit(BLOCK)),
+            F.struct(F.array().cast("array<int>").alias("starts"), acc["held"].alias("held")),
+            step,
+            lambda more: F.struct(
+                F.concat(acc["starts"], more["starts"]).alias("starts"), more["held"].alias("held")
             ),
         )
 
-    return F.aggregate(
+    start = F.struct(F.array().cast("array<int>").alias("starts"), none.alias("held"))
+    sized = F.transform(lengths, lambda n, i: F.struct(i.alias("i"), n.cast("bigint").alias("n")))
+    return t.let(
+        sized,
+        lambda ls: F.aggregate(
+            _blocks(F.size(ls)), start, lambda acc, k: block(acc, k, ls), lambda acc: acc["starts"]
+        ),
+    )
+
+
+def merge_short_forward(secs: Column, cfg: ChunkConfig = ChunkConfig()) -> Column:
+    """Carry a short section into the next one, which then takes the earlier path.
+
+    Where merged sections begin is found from lengths; each body is then copied once.
+    """
+
+    def merged(ss: Column, starts: Column) -> Column:
+        def one(a: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(ss))
+            bodies = F.transform(F.slice(ss, a + 1, end - a), lambda s: s["body"])
+            return F.struct(
+                F.get(ss, a)["heading_path"].alias("heading_path"),
+                F.array_join(bodies, "\n\n").alias("body"),
+            )
+
+        return F.transform(starts, one)
+
+    return t.let(
         secs,
-        start,
-        step,
-        lambda acc: F.when(acc["carry"].isNull(), acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(acc["carry"]))
+        lambda ss: t.let(
+            _merge_starts(F.transform(ss, lambda s: F.length(s["body"])), cfg),
+            lambda starts: merged(ss, starts),
         ),
     )
 

@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from conftest import LONG
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -42,6 +45,36 @@ def test_short_section_merges_forward_under_the_earlier_path(spark):
     assert chunks(spark, doc) == [(["Doc", "Frame"], f"tiny\n\n{LONG}"), (["Doc", "Tail"], "end")]
 
 
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_merging_and_trails_do_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(chunk, "BLOCK", block)
+    lengths = [3, 9, 40, 1, 2, 60, 50, 4, 4, 30, 8]
+    doc = "Doc\n\n" + "\n\n".join(f"{'#' * (2 + i % 3)} H{i}\n\n{'x' * n}" for i, n in enumerate(lengths))
+    want, carry, trail = [], None, []
+    for i, n in enumerate(lengths):
+        trail = [*[t for t in trail if t[0] < i % 3], (i % 3, f"H{i}")]
+        path, body = carry or (["Doc", *[t[1] for t in trail]], None)
+        body = "x" * n if body is None else body + "\n\n" + "x" * n
+        carry = (path, body) if len(body) < 20 else None
+        if not carry:
+            want.append((path, body))
+    want += [carry] if carry else []
+    assert chunks(spark, doc, min_section=20, max_chunk=100_000 + block) == want
+
+
+def test_many_short_sections_cost_time_in_proportion(spark):
+    def seconds(n):
+        doc = "Doc\n\n" + "\n\n".join(f"## H{i}\n\nbody {i}" for i in range(n))
+        begun = time.monotonic()
+        got = chunks(spark, doc, min_section=4)
+        assert len(got) == n and got[-1] == (["Doc", f"H{n - 1}"], f"body {n - 1}")
+        return time.monotonic() - begun
+
+    seconds(100)
+    small, large = seconds(5_000), seconds(50_000)
+    assert large < 30 * small + 5
+
+
 def test_preamble_without_title_keeps_its_first_line(spark):
     doc = f"{LONG}\nmore\n## S\n{LONG}"
     assert chunks(spark, doc) == [([], f"{LONG}\nmore"), (["S"], LONG)]
