@@ -113,7 +113,8 @@ def placed(rows: DataFrame, per_file: bool, out: str, few: int = FEW_SPLITS) ->
     if per_file:
         along = W.partitionBy("file_path").orderBy("block_start")
     else:
-        folder = F.regexp_extract("file_path", rf"/{SPLIT}=([^/]+)/[^/]*$", 1)
+        # The number of a part file tells its place in its own folder only.
+        folder = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
         along = W.orderBy(folder, part_number(F.col("file_path")), "file_path", "block_start")
     before = F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1))
     offset = (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_offset")

@@ -159,3 +159,12 @@ def test_places_come_from_one_scan(spark, tmp_path, few, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [f"{k}-{i}" for k, n in enumerate((5, 700, 1)) for i in range(n)]
     assert sorted(r["at"] for r in numbered.collect()) == list(range(706))
+
+
+def test_part_numbers_order_files_in_their_own_folder_only(spark, tmp_path):
+    for folder, part in (("x=a", 7), ("x=b", 0), ("x=b", 3)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        record = {"id": f"{folder}-{part}", "content": "c", "memory_type": "procedural"}
+        (tmp_path / folder / f"part-{part:05d}-u.txt").write_text(json.dumps([record]))
+    got = src.read_memory_export(spark, str(tmp_path)).orderBy("src_ord").collect()
+    assert [r["id"] for r in got] == ["x=a-7", "x=b-0", "x=b-3"]
