@@ -171,20 +171,20 @@ def read_session_jsonl(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "src5_read_trace_bundle",
-    f"""WITH {STAMPS} SELECT 'node' AS node_id, count(*) AS sessions,
-  count(model) AS with_model, count(stamped_class) AS with_class FROM st""",
+    f"""WITH {STAMPS} SELECT concat('node', conv_id // 64) AS node_id, count(*) AS sessions,
+  count(model) AS with_model, count(stamped_class) AS with_class FROM st
+  GROUP BY conv_id // 64""",
 )
 def read_trace_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    """The sidecar of a folder of sessions; a folder without one has none."""
-    root = scratch_path(spark, "sessions")
-    fx.session_folder(spark, sf, root)
-    bundle = src.read_bundle(spark, root).unionByName(src.read_bundle(spark, f"{root}/archive"))
-    found = src.stamps(bundle).agg(
+    """The sidecars of a folder of exports, one folder a host, each on its own; the root has none."""
+    root = scratch_path(spark, "exports")
+    fx.bundle_folders(spark, sf, root)
+    bundles = src.read_bundle(spark, root).unionByName(src.read_bundle(spark, f"{root}/*"))
+    return src.stamps(bundles, "node_id").groupBy("node_id").agg(
         F.count("*").alias("sessions"),
         F.count("model").alias("with_model"),
         F.count("stamped_class").alias("with_class"),
     )
-    return found.select(F.lit(bundle.first()["node_id"]).alias("node_id"), "*")
 
 
 @query(

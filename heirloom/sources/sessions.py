@@ -118,7 +118,7 @@ def parse_bundles(texts: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_bundle(spark: SparkSession, directory: str) -> DataFrame:
-    """The sidecar of a directory as zero or one row; a missing file is absent."""
+    """The sidecar of a directory as zero or one row, or of each that a glob names; a missing file is absent."""
     try:
         text = spark.read.text(f"{directory.rstrip('/')}/harvest.json", wholetext=True)
     except AnalysisException as e:
@@ -128,13 +128,14 @@ def read_bundle(spark: SparkSession, directory: str) -> DataFrame:
     return parse_bundles(text)
 
 
-def stamps(bundle: DataFrame) -> DataFrame:
-    """One stamp per session id, the first where the sidecar repeats one."""
+def stamps(bundle: DataFrame, *per: str) -> DataFrame:
+    """One stamp per session id, the first where the sidecar repeats one; with ``per`` for each of its values."""
     return (
-        bundle.select(F.posexplode("sessions").alias("ix", "s"))
-        .groupBy(F.col("s.session_id").alias("session_id"))
+        bundle.select(*per, F.posexplode("sessions").alias("ix", "s"))
+        .groupBy(*per, F.col("s.session_id").alias("session_id"))
         .agg(F.min_by("s", "ix").alias("s"))
         .select(
+            *per,
             "session_id",
             F.col("s.agent_id").alias("agent_id"),
             F.col("s.model").alias("model"),

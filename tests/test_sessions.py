@@ -221,3 +221,14 @@ def test_openers_are_found_by_halving(spark):
     assert got == [0, 1, 1, 2, 3, 3, 4, 4]
     empty = spark.createDataFrame([([], 5)], "places ARRAY<BIGINT>, at BIGINT")
     assert empty.select(_at_or_before(F.col("places"), F.col("at")).alias("n")).first()["n"] == 0
+
+
+def test_sidecars_of_many_hosts_are_kept_apart(spark, tmp_path):
+    for host, agents in (("h1", ("ada", "bob")), ("h2", ("cyd",))):
+        (tmp_path / host).mkdir()
+        stamped = [{"session_id": 5, "agent_id": a} for a in agents]
+        (tmp_path / host / "harvest.json").write_text(json.dumps({"node_id": host, "sessions": stamped}))
+    bundles = src.read_bundle(spark, f"{tmp_path}/*")
+    got = src.stamps(bundles, "node_id").orderBy("node_id").collect()
+    assert [(r["node_id"], r["session_id"], r["agent_id"]) for r in got] == [("h1", 5, "ada"), ("h2", 5, "cyd")]
+    assert src.stamps(bundles).count() == 1
