@@ -13,6 +13,8 @@ once, and both counts and rows are read from there.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,12 +153,34 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     return placed(lines, True, "line_no").withColumn("line_no", F.col("line_no") + 1)
 
 
+def open_files(spark: SparkSession, source: str, paths: str | list[str], *columns: Column, **options) -> DataFrame:
+    """``columns`` of the files that ``paths`` name; each may end in a pattern of file names.
+
+    Spark takes each file that a pattern matches for a path of its own and lists it in a task of
+    its own. Here the folder is listed, and its files are chosen by name. A folder without a
+    match has no rows, a missing one is an error.
+    """
+    parts = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        reader = spark.read.format(source).options(**options)
+        folder, _, name = path.rpartition("/")
+        if not folder or not set(name) & set("*?[{"):
+            parts.append(reader.load(path).select(*columns))
+            continue
+        found = reader.options(pathGlobFilter=name, recursiveFileLookup=True).load(folder)
+        # Files of folders inside are not matched by the pattern. Only names are tested, so nothing of them is opened.
+        local = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        local = local.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(local)
+        depth = len(local.toUri().getPath().rstrip("/").split("/"))
+        below = F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+        parts.append(found.where(F.size(F.split(below, "/")) == depth + 1).select(*columns))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def file_inventory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file, from the listing alone: no content is read."""
-    return (
-        spark.read.format("binaryFile")
-        .load(paths)
-        .select(F.col("path").alias("file_path"), F.col("length").alias("file_bytes"))
+    return open_files(
+        spark, "binaryFile", paths, F.col("path").alias("file_path"), F.col("length").alias("file_bytes")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from heirloom.config import LICENSE_CLASSES
 from heirloom.schemas import STR, TRACE_BUNDLE, U64, row
-from heirloom.sources.lines import file_inventory, file_stem
+from heirloom.sources.lines import file_inventory, file_stem, open_files
 
 # Bounds of the session id ranges.
 WORKER_SESSION_BASE = 2**62
@@ -29,12 +29,11 @@ def session_globs(spark: SparkSession, directory: str) -> list[str]:
     found = []
     for glob in (f"{base}/*.jsonl", f"{base}/archive/*.jsonl"):
         try:
-            file_inventory(spark, glob)
+            if not file_inventory(spark, glob).isEmpty():
+                found.append(glob)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        else:
-            found.append(glob)
     if not found:
         raise NoSessionFiles(f"no session files in {directory}")
     return found
@@ -79,14 +78,13 @@ def session_lines(spark: SparkSession, globs: list[str]) -> DataFrame:
     The file test uses only the file name, so skipped files are pruned from the
     scan and their content is never opened.
     """
-    name = F.col("_metadata.file_path")
-    kept = spark.read.option("lineSep", "\n").text(globs).where(
-        file_verdict(session_id(name)).isNull()
-    )
+    columns = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+    lines = open_files(spark, "text", globs, *columns, lineSep="\n")
     return (
-        kept.select(
-            name.alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block"),
+        lines.where(file_verdict(session_id(F.col("file_path"))).isNull())
+        .select(
+            "file_path",
+            "block",
             F.monotonically_increasing_id().alias("pos"),
             F.regexp_replace("value", r"\r\z", "").alias("line"),
         )

@@ -168,3 +168,44 @@ def test_part_numbers_order_files_in_their_own_folder_only(spark, tmp_path):
         (tmp_path / folder / f"part-{part:05d}-u.txt").write_text(json.dumps([record]))
     got = src.read_memory_export(spark, str(tmp_path)).orderBy("src_ord").collect()
     assert [r["id"] for r in got] == ["x=a-7", "x=b-0", "x=b-3"]
+
+
+def test_a_folder_is_listed_once_and_its_files_chosen_by_name(spark, tmp_path):
+    """A file is not listed in a task of its own; folders inside and other names stay out."""
+    from heirloom.sources import lines
+
+    for k in range(40):
+        (tmp_path / f"session-{k}.jsonl").write_text("{}\n")
+    for folder in ("archive", "x=1", "x=1/y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "session-99.jsonl").write_text("{}\n")
+    (tmp_path / "notes.txt").write_text("no\n")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        found = lines.file_inventory(spark, [f"{tmp_path}/*.jsonl", f"file://{tmp_path}//archive/*.jsonl"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    names = sorted("/".join(r["file_path"].split("/")[-2:]) for r in found.collect())
+    assert names == sorted([f"{tmp_path.name}/session-{k}.jsonl" for k in range(40)] + ["archive/session-99.jsonl"])
+    assert lines.file_inventory(spark, f"{tmp_path}/*.none").isEmpty()
+    assert lines.file_inventory(spark, f"{tmp_path}/notes.txt").count() == 1
+
+
+def test_files_are_the_same_whoever_writes_them(spark, tmp_path):
+    from heirloom.plans import fixtures as fx
+
+    rows = [(("archive", None)[k % 2], f"session-{k}.jsonl", p / 2, f"{k} é {p}\r" if p else "") for k in range(9) for p in (2, 0, 1)]
+    rows = spark.createDataFrame(rows, "folder STRING, name STRING, pos DOUBLE, value STRING")
+
+    def files(root):
+        return {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file() and p.name[0] != "."}
+
+    fx.write_files(rows, str(tmp_path / "tasks"))
+    dealt = rows.repartition("folder", "name").sortWithinPartitions("folder", "name", "pos").drop("pos")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(str(tmp_path)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fx._written_and_renamed(dealt, str(tmp_path / "renamed"), path, fs)
+    assert files(tmp_path / "tasks") == files(tmp_path / "renamed")
+    assert files(tmp_path / "tasks")["session-1.jsonl"] == "\n1 é 1\r\n1 é 2\r\n".encode()
+    assert not list((tmp_path / "tasks").rglob(".*")) and len(files(tmp_path / "tasks")) == 9
