@@ -11,7 +11,7 @@ from heirloom.plans.registry import query
 from heirloom.session import scratch_path
 from heirloom.sinks.dataset import dataset_lines
 from heirloom.sources import jobs as src
-from heirloom.sources.lines import placed, read_lines
+from heirloom.sources.lines import placed, read_lines, running_total
 
 SNAPS = """sn AS (SELECT event_id, event_id + 1 AS line_no, concat('j', user_id) AS id,
   user_id % 120 % 50 AS ft, CASE WHEN event_id % 6 <> 0 THEN concat('ft-', user_id % 50) END AS pid,
@@ -252,7 +252,10 @@ LOG = """lg AS (SELECT user_id AS run_id, event_id AS ix, CASE WHEN event_id % 5
 )
 def read_trainer_state(spark: SparkSession, sf: str) -> DataFrame:
     """State files of at most a thousand steps each, named by their run, and read back."""
-    log = fx.train_log(spark, sf).withColumn("part", F.floor(F.col("ix") / 1000))
+    # Steps are counted within their run: by event number a file would hold a step or two of it.
+    log = fx.train_log(spark, sf).withColumn("block", F.floor(F.col("ix") / (1 << 20)))
+    log = running_total(log, ["run_id"], "block", ["ix"], F.lit(1), "step")
+    log = log.withColumn("part", F.floor((F.col("step") - 1) / 1000))
     step = F.struct("ix", F.struct("loss", F.col("epoch")).alias("s"))
     states = (
         log.groupBy("run_id", "part")

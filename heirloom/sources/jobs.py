@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from heirloom.operators.jobs import parse_snapshots
 from heirloom.schemas import STR, TRAINER_STATE, row
-from heirloom.sources.lines import file_stem, read_lines, with_line_numbers
+from heirloom.sources.lines import file_stem, open_files, read_lines, with_line_numbers
 
 
 def read_job_log(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +37,5 @@ def parse_trainer_states(texts: DataFrame, text: str = "value") -> DataFrame:
 
 def read_trainer_state(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Trainer state files; the run is named by its file."""
-    texts = spark.read.text(path, wholetext=True)
-    return parse_trainer_states(
-        texts.select(file_stem(F.col("_metadata.file_path")).alias("run_id"), "value")
-    )
+    run = file_stem(F.col("_metadata.file_path")).alias("run_id")
+    return parse_trainer_states(open_files(spark, "text", path, run, F.col("value"), wholetext=True))

@@ -81,3 +81,17 @@ def test_loss_curve(spark, tmp_path):
     assert means == {0: (7 / 3, 3), 1: (3.0, 1)}
     s = loss.loss_summary(log).first()
     assert (s["run_id"], s["steps"], s["first_step_loss"], s["last_step_loss"]) == ("run1", 4, 4.0, 1.0)
+
+
+def test_steps_of_a_run_lie_in_as_few_state_files_as_hold_them(spark, monkeypatch):
+    from heirloom.plans import fixtures as fx
+    from heirloom.plans import job_queries
+
+    steps = [(7, 3_000 * i) for i in range(5)] + [(8, i) for i in range(1001)] + [(9, 5_000_000 * i) for i in range(3)]
+    log = spark.createDataFrame([(r, i, 1.0, 0.0) for r, i in steps], "run_id BIGINT, ix BIGINT, loss DOUBLE, epoch DOUBLE")
+    written, write = [], fx.write_files
+    monkeypatch.setattr(fx, "train_log", lambda spark, sf: log)
+    monkeypatch.setattr(fx, "write_files", lambda rows, root: (written.append(rows), write(rows, root)))
+    got = {r["run_id"]: r["rows_in"] for r in job_queries.read_trainer_state(spark, "").collect()}
+    assert got == {"7": 5, "8": 1001, "9": 3}
+    assert sorted(r["name"] for r in written[0].collect()) == ["7.json", "8.json", "8.json", "9.json"]
