@@ -24,6 +24,15 @@ def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
 
 
+def _by_shuffle(table: DataFrame) -> DataFrame:
+    """A table of up to a row a model, to be joined without sending it to all tasks.
+
+    Spark would go by the size of its file, which packs names many times closer than the
+    driver holds them, and a walk over the forest has dozens of such joins.
+    """
+    return table.hint("merge")
+
+
 def resolve_dataset(models: DataFrame, dataset_meta: DataFrame) -> DataFrame:
     """Attach what the sidecar says about the dataset a record refers to.
 
@@ -52,7 +61,7 @@ def resolve_dataset(models: DataFrame, dataset_meta: DataFrame) -> DataFrame:
 def parent_edges(models: DataFrame) -> DataFrame:
     """``name, parent`` for parents that are registered."""
     known = models.select(F.col("name").alias("parent"))
-    return models.where(F.col("parent").isNotNull()).select("name", "parent").join(known, "parent")
+    return models.where(F.col("parent").isNotNull()).select("name", "parent").join(_by_shuffle(known), "parent")
 
 
 @dataclass(frozen=True)
@@ -81,7 +90,7 @@ def _doubled(state: DataFrame, label: str) -> tuple[DataFrame, int, int]:
         *[F.col(c).alias(f"_{c}") for c in ("jump", "root", "depth", "least")],
     )
     below = state.where(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("node")).agg(F.sum("size").alias("_size"))
-    moved = state.join(onward, "jump", "left").join(below, "node", "left").select(
+    moved = state.join(_by_shuffle(onward), "jump", "left").join(_by_shuffle(below), "node", "left").select(
         "node",
         "to",
         "cut",
@@ -108,9 +117,8 @@ def forest(models: DataFrame) -> Forest:
     ahead of it as soon as a jump is as long as the cycle; its edge is cut then and the
     jumps begin anew.
     """
-    edges = models.select(F.col("name").alias("node")).join(
-        parent_edges(models).select(F.col("name").alias("node"), F.col("parent").alias("to")), "node", "left"
-    )
+    parents = parent_edges(models).select(F.col("name").alias("node"), F.col("parent").alias("to"))
+    edges = models.select(F.col("name").alias("node")).join(_by_shuffle(parents), "node", "left")
     edges = materialize(edges.withColumn("cut", F.lit(False)), "forest-edges")
     cuts = 0
     while True:
@@ -133,7 +141,7 @@ def forest(models: DataFrame) -> Forest:
             break
         cuts += closed
         least = states[-1].where(F.col("least") == F.col("node")).select("node", F.lit(True).alias("_cut"))
-        opened = edges.join(least, "node", "left").select(
+        opened = edges.join(_by_shuffle(least), "node", "left").select(
             "node", F.when(F.col("_cut").isNull(), F.col("to")).alias("to"), (F.col("cut") | F.col("_cut").isNotNull()).alias("cut")
         )
         edges = materialize(opened, "forest-edges")
@@ -142,8 +150,8 @@ def forest(models: DataFrame) -> Forest:
     if not cuts:
         return found
     entered = found.nodes.where("cut").select(F.col("node").alias("name"))
-    behind = models.join(entered, "name").select(F.col("name").alias("root"), F.col("parent").alias("start"))
-    rings = _paths(found, behind.select("start")).join(behind, "start")
+    behind = models.join(_by_shuffle(entered), "name").select(F.col("name").alias("root"), F.col("parent").alias("start"))
+    rings = _paths(found, behind.select("start")).join(_by_shuffle(behind), "start")
     rings = materialize(rings.select("root", F.col("model").alias("node"), F.col("generation").alias("back")), "forest-rings")
     return replace(found, rings=rings)
 
@@ -151,10 +159,10 @@ def forest(models: DataFrame) -> Forest:
 def _paths(trees: Forest, starts: DataFrame) -> DataFrame:
     """``start, generation, model`` up to the root of each start; a round adds as many generations as there are."""
     known = trees.nodes.select(F.col("node").alias("start"))
-    pairs = known.join(starts.select("start").distinct(), "start", "left_semi")
+    pairs = known.join(_by_shuffle(starts.select("start").distinct()), "start", "left_semi")
     pairs = [materialize(pairs.select("start", F.lit(0).cast("bigint").alias("generation"), F.col("start").alias("model")), "paths")]
     for k, jump in enumerate(trees.jumps):
-        further = _union(pairs).join(jump, F.col("model") == F.col("node")).select(
+        further = _union(pairs).join(_by_shuffle(jump), F.col("model") == F.col("node")).select(
             "start", (F.col("generation") + 2**k).alias("generation"), F.col("jump").alias("model")
         )
         further, n = materialize_counted(further, "paths")
@@ -171,13 +179,13 @@ def _nearest(trees: Forest, marks: DataFrame) -> DataFrame:
     """
     none = F.struct(F.lit(None).cast("bigint").alias("away"), F.lit(None).cast("bigint").alias("mark"))
     own = F.when(F.col("mark").isNotNull(), F.struct(F.lit(0).cast("bigint").alias("away"), "mark")).otherwise(none)
-    near = trees.nodes.select("node").join(marks, "node", "left").select("node", F.when(F.col("mark").isNotNull(), own).alias("near"))
+    near = trees.nodes.select("node").join(_by_shuffle(marks), "node", "left").select("node", F.when(F.col("mark").isNotNull(), own).alias("near"))
     for k, jump in enumerate(trees.jumps):
         ahead = near.select(F.col("node").alias("jump"), F.col("near").alias("_near"))
         there = F.when(
             F.col("_near").isNotNull(), F.struct((F.col("_near.away") + 2**k).alias("away"), F.col("_near.mark").alias("mark"))
         )
-        moved = near.join(jump, "node", "left").join(ahead, "jump", "left")
+        moved = near.join(_by_shuffle(jump), "node", "left").join(_by_shuffle(ahead), "jump", "left")
         near = materialize(moved.select("node", F.coalesce("near", there).alias("near")), "nearest")
     return near.select("node", "near.away", "near.mark")
 
@@ -195,7 +203,8 @@ def chain_ends(models: DataFrame, trees: Forest | None = None) -> DataFrame:
     # From the cut root a walk goes on to its parent and comes round to where it entered.
     entered = _nearest(trees, trees.rings.select("node", F.col("back").alias("mark")))
     last = trees.rings.select("root", (F.col("back") + 1).alias("mark"), F.col("node").alias("_last"))
-    return plain.join(entered.select(F.col("node").alias("start"), "mark"), "start").join(last, ["root", "mark"], "left").select(
+    marked = plain.join(_by_shuffle(entered.select(F.col("node").alias("start"), "mark")), "start")
+    return marked.join(_by_shuffle(last), ["root", "mark"], "left").select(
         "start",
         (F.col("depth") + F.coalesce("mark", F.lit(0))).alias("last_generation"),
         F.coalesce("_last", "root").alias("last_model"),
@@ -232,13 +241,13 @@ def labelled(trees: Forest) -> DataFrame:
     base = summed.groupBy(F.col("to").alias("_to")).agg(F.min("_before").alias("_base"))
     # Behind its parent and the families of the siblings before it.
     aside = F.col("_before") - F.col("_base") + F.col("to").isNotNull().cast("bigint")
-    place = summed.join(base, F.col("to").eqNullSafe(F.col("_to"))).select("node", aside.alias("pre"))
+    place = summed.join(_by_shuffle(base), F.col("to").eqNullSafe(F.col("_to"))).select("node", aside.alias("pre"))
     place = materialize(place, "places")
     for jump in trees.jumps:
         ahead = place.select(F.col("node").alias("jump"), F.col("pre").alias("_pre"))
-        moved = place.join(jump, "node", "left").join(ahead, "jump", "left")
+        moved = place.join(_by_shuffle(jump), "node", "left").join(_by_shuffle(ahead), "jump", "left")
         place = materialize(moved.select("node", (F.col("pre") + F.coalesce("_pre", F.lit(0))).alias("pre")), "places")
-    return materialize(trees.nodes.join(place, "node"), "labelled")
+    return materialize(trees.nodes.join(_by_shuffle(place), "node"), "labelled")
 
 
 def _reach(uses: DataFrame) -> DataFrame:
@@ -264,11 +273,11 @@ def _uses(models: DataFrame, trees: Forest, labels: DataFrame) -> DataFrame:
     All models that lead into a cycle walk round it, so what a model of a cycle uses reaches all of them.
     """
     named = models.where(F.col("dataset").isNotNull()).select(F.col("name").alias("node"), F.col("dataset.name").alias("dataset"))
-    own = labels.join(named, "node").select("node", "dataset", "pre", "size")
+    own = labels.join(_by_shuffle(named), "node").select("node", "dataset", "pre", "size")
     if trees.rings is not None:
         roots = labels.select(F.col("node").alias("root"), F.col("pre").alias("_pre"), F.col("size").alias("_size"))
-        ring = trees.rings.join(roots, "root").select("node", "_pre", "_size")
-        own = own.join(ring, "node", "left").select(
+        ring = trees.rings.join(_by_shuffle(roots), "root").select("node", "_pre", "_size")
+        own = own.join(_by_shuffle(ring), "node", "left").select(
             "node", "dataset", F.coalesce("_pre", "pre").alias("pre"), F.coalesce("_size", "size").alias("size")
         )
     return own.select("dataset", F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi"))
@@ -292,7 +301,7 @@ def _at_places(labels: DataFrame, weighted: DataFrame, out: str) -> DataFrame:
         F.struct(F.col("hi").alias("pre"), (-F.col("weight")).alias("_step")),
     )))
     steps = ends.groupBy("pre").agg(F.sum("_step").alias("_step"))
-    rows = labels.select("node", "pre").join(steps, "pre", "left").withColumn("_block", F.floor(F.col("pre") / BLOCK_ROWS))
+    rows = labels.select("node", "pre").join(_by_shuffle(steps), "pre", "left").withColumn("_block", F.floor(F.col("pre") / BLOCK_ROWS))
     return running_total(rows, [], "_block", ["pre"], F.coalesce("_step", F.lit(0)), out).select("node", out)
 
 
@@ -316,14 +325,14 @@ def model_reach(models: DataFrame, used_memories: DataFrame, trees: Forest | Non
     examples = _at_places(labels, reached.join(fed, "key"), "examples")
     named = models.where(F.col("dataset").isNotNull()).select(F.col("name").alias("node"), F.col("dataset.name").alias("key"))
     marks = materialize(named.join(fed, "key", "left_semi").select("node", F.lit(0).cast("bigint").alias("mark")), "fed-models")
-    near = trees.nodes.join(_nearest(trees, marks).select("node", "away"), "node")
+    near = trees.nodes.join(_by_shuffle(_nearest(trees, marks).select("node", "away")), "node")
     nearest = F.col("away")
     if trees.rings is not None:
-        round_ = trees.rings.join(marks, "node").groupBy("root").agg(F.min("back").alias("_back"))
-        near = near.join(round_, "root", "left")
+        round_ = trees.rings.join(_by_shuffle(marks), "node").groupBy("root").agg(F.min("back").alias("_back"))
+        near = near.join(_by_shuffle(round_), "root", "left")
         nearest = F.coalesce("away", F.col("depth") + 1 + F.col("_back"))
     near = near.select("node", nearest.alias("nearest")).where(F.col("nearest").isNotNull())
-    return near.join(memories, "node").join(examples, "node").select(
+    return near.join(_by_shuffle(memories), "node").join(_by_shuffle(examples), "node").select(
         F.col("node").alias("start"), "memories", "examples", "nearest"
     )
 

@@ -220,3 +220,31 @@ def test_a_batch_is_judged_one_by_one(spark, models):
         0: "parent_missing", 1: "dataset_missing", 2: None, 3: "already_exists", 4: None, 5: None,
         6: "parent_missing", 7: "already_exists", 8: "invalid_name", 9: None,
     }
+
+
+def test_tables_of_models_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Whatever the size of their files; a ring and a tree, so that all steps are taken."""
+    import re
+
+    from heirloom.operators import lineage
+
+    names = [("a", "b", "d1"), ("b", "a", None), ("c", "b", "d2"), ("r", None, "d1"), ("s", "r", None), ("t", "s", "d2")]
+    models = spark.createDataFrame(
+        [(n, p, d and {"name": d}) for n, p, d in names], "name STRING, parent STRING, dataset STRUCT<name: STRING>"
+    )
+    used = spark.createDataFrame([("d1", "m1", 2), ("d2", "m1", 1), ("d2", "m2", 1)], "dataset STRING, memory_id STRING, examples BIGINT")
+    plans = []
+
+    def recorded(write):
+        return lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, label))[1]
+
+    for step in ("materialize", "materialize_counted"):
+        monkeypatch.setattr(lineage, step, recorded(getattr(lineage, step)))
+    reach = lineage.model_reach(models, used)
+    plans.append(reach._jdf.queryExecution().executedPlan().toString())
+    got = {r["start"]: (r["memories"], r["examples"], r["nearest"]) for r in reach.collect()}
+    assert got == {
+        "a": (1, 2, 0), "b": (1, 2, 1), "c": (2, 4, 0), "r": (1, 2, 0), "s": (1, 2, 1), "t": (2, 4, 0),
+    }
+    sent = [k for plan in plans for k in re.findall(r"BroadcastHashJoin \[(\w+)#", plan)]
+    assert not set(sent) & {"node", "jump", "name", "parent", "to", "start", "pre", "root"}
