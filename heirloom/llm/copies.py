@@ -3,7 +3,8 @@
 A prefix-filtered set join. A document's shingles are ordered from rare to common; two
 sets that share four fifths have a shingle in common among the first fifth and one of
 each, so these prefixes alone are dealt by shingle and those who meet there are candidates,
-less those whose sizes or places cannot reach the bound. Any order finds all pairs; that of
+less those whose sizes or places cannot reach the bound; a set that reaches it with nobody
+at a shingle goes no further with that shingle. Any order finds all pairs; that of
 a sample which grows with the input, rare first, keeps common shingles out of the prefixes.
 
 Those who meet are first compared with one of them, and the links contracted. Then, in
@@ -16,7 +17,9 @@ No shingles are kept but the prefixes. Of each set a sketch stays: the parity of
 hashes' low bits. Two sets differ in at least as many shingles as their sketches in bits,
 so most candidates go by exact bounds before any text is cut again; only the texts of the
 rest are, each once, and their shingles are dealt once, by the set they are compared with.
-Exactly the pairs of the rule are links.
+A sketch says little of a set of many more shingles than it has bits, so large sets have a
+wider one besides, a bit for each shingle, which is read for pairs alone: the wider of two
+folds to the other. Exactly the pairs of the rule are links.
 
 Documents that op3's rule links (fingerprints of three-word shingles, two bits) stay
 together, so the components here hold those of op3.
@@ -53,8 +56,12 @@ KNOWN = 1 << 20
 FEW = 1 << 19
 #: Rows of one shingle, or sets compared with one set, that a task takes; more are dealt to several.
 CELL = 1 << 12
+#: Rows of one shingle that are compared with each other before they are written.
+WHOLE = 1 << 6
 #: Comparisons of sizes and places at once; sets that a task remembers.
-STEP, SEEN = 1 << 20, 1 << 20
+STEP, SEEN = 1 << 18, 1 << 20
+#: Bytes of text cut at once, which bounds the shingles that a task holds.
+TEXTS = 1 << 22
 #: Sketches compared at once.
 PART = 1 << 14
 #: Rounds in which components are compared with their likeliest neighbours at most.
@@ -90,7 +97,7 @@ def _cut(docs: DataFrame, keep: list[str]) -> DataFrame:
     def work(text: pa.Array) -> list[pa.Array]:
         return [_arrays(shingle_sets(text))]
 
-    return with_results(docs, keep, {"text": F.col("text")}, [StructField("grams", ArrayType(LongType()))], work)
+    return with_results(docs, keep, {"text": F.col("text")}, [StructField("grams", ArrayType(LongType()))], work, TEXTS)
 
 
 def _learned_order(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +122,24 @@ def _prefix(grams: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarr
     return grams[np.lexsort((grams, common))[: len(grams) - (4 * len(grams) + 4) // 5 + 1]]
 
 
-def _sketch(grams: np.ndarray) -> np.ndarray:
-    odd = np.bincount(grams & (SKETCH - 1), minlength=SKETCH) & 1
+def _sketch(grams: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    odd = np.bincount(grams & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _wide(grams: np.ndarray) -> np.ndarray:
+    """The sketch of a bit or two for each shingle; none if the usual one is as wide."""
+    return _sketch(grams, 1 << (len(grams) - 1).bit_length()) if len(grams) > SKETCH else grams[:0]
+
+
+def _bits_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """The bits in which two sketches differ, the wider folded to the other."""
+    a, b = sorted((a.view(np.uint64), b.view(np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def described(docs: DataFrame, order) -> DataFrame:
-    """doc_id, text_hash, fp, set_id (null without words), size, sketch and prefix of every document."""
+    """doc_id, text_hash, fp, set_id (null without words), size, sketch, wide sketch and prefix of every document."""
 
     def work(text: pa.Array) -> list[pa.Array]:
         known, times = order.value
@@ -131,13 +149,14 @@ def described(docs: DataFrame, order) -> DataFrame:
             pa.array([xxhash.xxh64_intdigest(x.tobytes()) - 2**63 if len(x) else None for x in sets], pa.int64()),
             pa.array([len(x) for x in sets], pa.int32()),
             _arrays([_sketch(x) for x in sets]),
+            _arrays([_wide(x) for x in sets]),
             _arrays([_prefix(x, known, times) if len(x) else x for x in sets]),
         ]
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     made = [StructField("fp", LongType()), StructField("set_id", LongType()), StructField("size", IntegerType())]
-    made += [StructField(c, ArrayType(LongType())) for c in ("sketch", "prefix")]
-    return with_results(rows, ["doc_id", "text_hash"], {"text": F.col("text")}, made, work)
+    made += [StructField(c, ArrayType(LongType())) for c in ("sketch", "wide", "prefix")]
+    return with_results(rows, ["doc_id", "text_hash"], {"text": F.col("text")}, made, work, TEXTS)
 
 
 def _places(found: DataFrame, order) -> DataFrame:
@@ -174,22 +193,46 @@ def _places(found: DataFrame, order) -> DataFrame:
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set once, at shingles that several sets have or that are known to be common; rows come by shingle."""
-    last = None  # the row that waits for the next to tell whether others have its shingle
-    met = False  # whether those before it have
+    """Each set once, at shingles where another can be similar, or that many sets have or are
+    known to have; rows come by shingle."""
+    rest = None  # rows of the last shingle, which may go on; of one that many have only the last
+    many = False  # whether those before are written
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
-        if last is not None:
-            rows = np.concatenate([last, rows], axis=1)
+        if rest is not None:
+            rows = np.concatenate([rest, rows], axis=1)
         rows = rows[:, np.append(True, (rows[[0, 2], 1:] != rows[[0, 2], :-1]).any(axis=0))]
-        same = rows[0, 1:] == rows[0, :-1]
-        keep = np.append(met, same) | np.append(same, False) | (rows[1] > 0)
-        last, met = rows[:, -1:], bool(same[-1]) if len(same) else met
-        yield _met_rows(rows[:, :-1][:, keep[:-1]])
-    if last is not None and (met or last[1, 0] > 0):
-        yield _met_rows(last)
+        n = rows.shape[1]
+        cut = int(np.searchsorted(rows[0], rows[0, -1]))
+        long = n - cut > WHOLE
+        yield _met_rows(_partnered(rows[:, : n - 1 if long else cut], many))
+        rest, many = rows[:, n - 1 if long else cut :], long or (many and not cut)
+    if rest is not None:
+        yield _met_rows(_partnered(rest, many))
+
+
+def _partnered(rows: np.ndarray, many: bool) -> np.ndarray:
+    """The rows whose sizes and places let another at their shingle be similar, and all at
+    shingles that many have, the first one's too if ``many``."""
+    gram, part, _, size, place = rows
+    n = len(gram)
+    if not n:
+        return rows
+    first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    length = np.diff(np.append(first, n))
+    whole = length < WHOLE
+    whole[0] &= not many
+    keep = np.repeat(~whole, length) | (part > 0)
+    later = np.where(np.repeat(whole, length), np.repeat(first + length, length) - np.arange(n) - 1, 0)
+    x = np.repeat(np.arange(n), later)
+    y = x + 1 + simhash._within(later)
+    small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+    left = np.minimum(size[x] - place[x], size[y] - place[y]) + 1
+    can = (5 * small >= 4 * large) & (9 * left >= 4 * (small + large))
+    keep[x[can]] = keep[y[can]] = True
+    return rows[:, keep]
 
 
 def _met_rows(rows: np.ndarray) -> pa.RecordBatch:
@@ -219,7 +262,8 @@ def _across_cells(rows: DataFrame) -> DataFrame:
     """
     count = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
     count = count.select("gram", F.ceil(F.col("n") / CELL).cast("int").alias("buckets"))
-    rows = rows.join(count, "gram", "left").withColumn("buckets", F.coalesce("buckets", F.lit(1)))
+    # One row for each CELL rows at most, so that the others, which hold sketches, are moved once only.
+    rows = rows.join(F.broadcast(count), "gram", "left").withColumn("buckets", F.coalesce("buckets", F.lit(1)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("set_id"), "buckets").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
     cell = F.xxhash64("gram", F.least("bucket", "other"), F.greatest("bucket", "other")).alias("cell")
@@ -305,14 +349,22 @@ def _cell_pairs(rows: np.ndarray, likeliest: bool) -> Iterator[pa.RecordBatch]:
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that differ in few enough bits of their sketches."""
-    bits = F.lit(0)
-    for i in range(SKETCH // 64):
-        bits = bits + F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i]))
-    known = classes.select("set_id", "size", "sketch")
+    """The pairs that differ in few enough bits of their widest sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = sum(batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[4:]]
+            x, y = ([values[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])] for values, cuts in lists)
+            bits = np.fromiter((_bits_apart(*both) for both in zip(x, y, strict=True)), np.int64, len(x))
+            yield batch.select(["a", "b"]).filter(pa.array(9 * bits <= sizes))
+
+    widest = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("sketch"))
+    known = classes.select("set_id", "size", widest.alias("sketch"))
     near = pairs.join(known.alias("x"), F.col("a") == F.col("x.set_id"))
     near = near.join(known.alias("y"), F.col("b") == F.col("y.set_id"))
-    return near.filter(9 * bits <= F.col("x.size") + F.col("y.size")).select("a", "b")
+    near = near.select("a", "b", F.col("x.size").alias("m"), F.col("y.size").alias("n"), "x.sketch", F.col("y.sketch").alias("other"))
+    return near.mapInArrow(run, "a bigint, b bigint")
 
 
 def _similar(near: DataFrame, count: int, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -367,7 +419,8 @@ def links(found: DataFrame, order, docs: DataFrame, more: DataFrame) -> DataFram
     """
     once = found.filter("set_id IS NOT NULL").groupBy("set_id")
     text_of = F.min(F.struct("doc_id", "text_hash")).alias("text_of")
-    classes = materialize(once.agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), text_of), "copies-sets")
+    same = [F.first(c).alias(c) for c in ("size", "sketch", "wide")]
+    classes = materialize(once.agg(*same, text_of), "copies-sets")
     places = _places(found, order).repartition("gram", "part").sortWithinPartitions("gram", "set_id")
     met = materialize(places.mapInArrow(_several, "gram bigint, set_id bigint, size int, place int"), "copies-met")
     pairs = materialize(_stars(met), "copies-first")
@@ -389,10 +442,11 @@ def links(found: DataFrame, order, docs: DataFrame, more: DataFrame) -> DataFram
         new, count = materialize_counted(new, "copies-pairs")
         discard(found_pairs)
         if count:
-            similar, links_found = materialize_counted(_similar(new, count, classes, docs), "copies-similar")
+            near, near_count = materialize_counted(_near(new, classes), "copies-near")
+            similar, links_found = materialize_counted(_similar(near, near_count, classes, docs), "copies-similar")
             both = materialize(linked.unionAll(similar), "copies-links")
             seen = materialize(pairs.unionAll(new), "copies-seen")
-            discard(linked, similar, pairs)
+            discard(linked, near, similar, pairs)
             linked, pairs = both, seen
         discard(new)
         if last:

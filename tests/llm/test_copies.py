@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 from brute_simhash import fingerprint
 
@@ -123,3 +124,42 @@ def test_what_is_written_stays_below_the_input(spark, monkeypatch):
     assert copies.copies(df).count() == 300
     assert sum(n for _, n in sizes) < sum(len(t) for _, t in rows)
     assert dict(sizes)["copies-found"] < sum(len(t) for _, t in rows) / 2
+
+
+def test_a_shared_passage_alone_sends_nobody_on(spark, monkeypatch):
+    """Texts of other sizes go no further with a shingle they share, and large sets are not cut again for it."""
+    rng = random.Random(8)
+    counts = {}
+    real = copies.materialize
+
+    def counted(table, label):
+        out = real(table, label)
+        counts.setdefault(label, []).append(out.count())
+        return out
+
+    def pairs(*sizes):
+        rows = []
+        for _ in range(12):
+            line = [f"line{rng.random()}" for _ in range(60)]
+            rows += [[f"own{rng.random()}" for _ in range(n - 60)] + line for n in sizes]
+        counts.clear()
+        df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id BIGINT, text STRING")
+        assert [r.component_id for r in copies.copies(df).orderBy("doc_id").collect()] == list(range(len(rows)))
+
+    monkeypatch.setattr(copies, "materialize", counted)
+    pairs(400, 900)
+    assert counts["copies-met"] == [0]
+    pairs(3000, 3000)
+    assert counts["copies-met"][0] > 0 and sum(counts["copies-goes"]) == 0
+
+
+def test_wide_sketches_bound_the_shingles_apart():
+    rng = np.random.default_rng(9)
+    for n in (300, 1024, 1025, 2049, 5000):
+        for new, gone in ((0, 0), (1, 0), (n // 20, n // 9), (n, 0)):
+            a = rng.integers(-(2**63), 2**63 - 1, n)
+            b = np.concatenate([a[new + gone :], rng.integers(-(2**63), 2**63 - 1, new)])
+            x, y = (copies._wide(g) if len(g) > copies.SKETCH else copies._sketch(g) for g in (a, b))
+            apart = copies._bits_apart(x, y)
+            assert apart <= len(np.setxor1d(a, b))
+            assert new < n or n <= copies.SKETCH or 9 * apart > len(a) + len(b)
